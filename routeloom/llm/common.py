@@ -43,16 +43,16 @@ def map_text(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], sche
     return df.mapInArrow(run, schema)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the shared folder; executors may be lost afterwards.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session; one of its own only where that is unset, as in tests."""
+    return spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints/routeloom"
+
 
-    The folder is ``spark.checkpoint.dir`` of the session; it is set here only where it is
-    unset, which is the case in tests on one machine.
-    """
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage through the shared folder, so that lost executors take nothing with them."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or "/tmp/checkpoints/routeloom")
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 

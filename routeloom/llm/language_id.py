@@ -153,9 +153,11 @@ def decode(model: dict, z: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return order[:, 0], share[rows, order[:, 0]] / share.sum(1), loss[rows, order[:, 1]] - loss[rows, order[:, 0]] < AMBIGUITY
 
 
-def identify(docs: DataFrame, model: dict) -> DataFrame:
-    """doc_id, lang_pred, score, ambiguous for every row."""
+def identify(docs: DataFrame, model: dict, names: tuple[str, str, str] = ("lang_pred", "score", "ambiguous")) -> DataFrame:
+    """Every row of ``docs`` with three more columns; columns of these names are replaced."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS x bits floats
+    others = [f for f in docs.schema.fields if f.name not in names]
+    kept = [f.name for f in others]
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         m = shared.value
@@ -172,10 +174,19 @@ def identify(docs: DataFrame, model: dict) -> DataFrame:
                 n += len(block)
             z[i] = total * SCALE / max(1, n) + m["b"]
         best, score, ambiguous = decode(m, z) if m["languages"] else (np.zeros(len(texts), int), np.zeros(len(texts)), np.zeros(len(texts), bool))
-        names = [m["languages"][k] if ok else UNDETERMINED for k, ok in zip(best, known)]
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(names, pa.string()), pa.array(np.where(known, score, 0.0), pa.float64()), pa.array(ambiguous & known, pa.bool_())], names=["doc_id", "lang_pred", "score", "ambiguous"])
+        languages = [m["languages"][k] if ok else UNDETERMINED for k, ok in zip(best, known)]
+        new = [pa.array(languages, pa.string()), pa.array(np.where(known, score, 0.0), pa.float64()), pa.array(ambiguous & known, pa.bool_())]
+        return pa.RecordBatch.from_arrays([batch.column(c) for c in kept] + new, names=[*kept, *names])
 
-    return map_text(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, lang_pred string, score double, ambiguous boolean")
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in others] + [f"`{n}` {t}" for n, t in zip(names, ("string", "double", "boolean"))])
+    return map_text(docs.select(*[f"`{c}`" for c in kept]), run, schema)
+
+
+def keep_known(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose language is told without doubt, by a model fitted on their own labels."""
+    names = ("__lang_pred", "__lang_score", "__lang_ambiguous")
+    judged = identify(docs, fit(training_rows(docs)), names)
+    return judged.where((F.col(names[0]) != UNDETERMINED) & ~F.col(names[2])).select(*[f"`{c}`" for c in docs.columns])
 
 
 def training_rows(docs: DataFrame) -> DataFrame:
@@ -186,4 +197,5 @@ def training_rows(docs: DataFrame) -> DataFrame:
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = fit(training_rows(docs))
-    return identify(docs, model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "ambiguous")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return identify(rows, model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "ambiguous")
