@@ -142,6 +142,8 @@ class Transducer:
         self.longest = max(map(len, self.score), default=1)
         #: prefix -> whether some piece starts with it; ends the reading of arcs early
         self.prefixes = {t[:i] for t in self.score for i in range(1, len(t) + 1)}
+        #: prefix -> the longest piece that is a shorter prefix of it, or ""
+        self.shorter = {t: next((t[:i] for i in range(len(t) - 1, 0, -1) if t[:i] in self.score), "") for t in self.prefixes}
         inner = {c for t in self.score if len(t) > 1 for c in t}
         if any(SPACE in t.lstrip(SPACE) for t in self.score):
             raise ValueError("a piece holds a space mark after another character")
@@ -178,12 +180,12 @@ class Transducer:
 
     def holds(self, a: str, b: str) -> bool:
         """Whether the machine has the arc from ``a`` to ``b``."""
-        if not self.bpe or not a:
-            return not self.bpe or self.merges(b) == [b]
+        if not self.bpe:
+            return True
         key = (a, b)
         known = self.border.get(key)
         if known is None:
-            known = self.border.put(key, self.merges(a + b) == [a, b])
+            known = self.border.put(key, self.merges(a + b) == ([a, b] if a else [b]))
         return known
 
     def arcs(self, text: str, at: int):
@@ -204,12 +206,7 @@ class Transducer:
         """Pieces on the tropical shortest path of ``text`` composed with the machine."""
         n = len(text)
         if self.bpe:
-            last = self._only_path(text)
-            out, at = [], n
-            while at:
-                out.append(last[at])
-                at -= len(last[at])
-            return out[::-1]
+            return self._only_path(text)
         best: list[tuple[float, str]] = [(0.0, "")] + [(float("inf"), "")] * n
         for at in range(n):
             for piece, cost in self.arcs(text, at):
@@ -223,23 +220,52 @@ class Transducer:
         return out[::-1]
 
     def _only_path(self, text: str) -> list[str]:
-        """Last piece of the path to each position.  Borders make the BPE machine unambiguous: every prefix has
-        exactly one path, the merge result of that prefix, so the first path that arrives is the shortest."""
-        n, longest, prefixes, score, holds = len(text), self.longest, self.prefixes, self.score, self.holds
-        last = [""] * (n + 1)
-        for at in range(n):
-            here = last[at]
-            if not here and at:
-                raise AssertionError(f"no path to {at}")
-            for end in range(at + 1, min(n, at + longest) + 1):
+        """The composition is opened up lazily, longest arc first.  Borders make the BPE machine unambiguous: every
+        prefix has exactly one path, the merge result of that prefix.  So a position has one state at most, one that
+        led nowhere need not be tried again, and the first path that arrives is the only one, hence the shortest."""
+        n, longest, prefixes, score, shorter, border = len(text), self.longest, self.prefixes, self.score, self.shorter, self.border.young
+        out: list[str] = []
+        last, at, dead = "", 0, set()
+        piece = None
+        while at < n:
+            if piece is None:  # the longest piece that starts here
+                end, top = at + 1, min(n, at + longest)
+                while end < top and text[at : end + 1] in prefixes:
+                    end += 1
                 piece = text[at:end]
-                if piece not in prefixes:
+                if piece not in score:
+                    piece = shorter.get(piece) or text[at]
+            while True:
+                if at + len(piece) not in dead:
+                    ok = border.get((last, piece))
+                    if ok is None:
+                        ok = self.holds(last, piece)
+                        border = self.border.young
+                    if ok:
+                        break
+                piece = shorter.get(piece)
+                if not piece:
                     break
-                if not last[end] and piece in score and holds(here, piece):
-                    last[end] = piece
-            if text[at] not in score:
-                last[at + 1] = text[at]
-        return last
+            if piece:
+                out.append(piece)
+                at += len(piece)
+                last, piece = piece, None
+            else:
+                dead.add(at)
+                piece = out.pop()
+                at -= len(piece)
+                last = out[-1] if out else ""
+                piece = shorter.get(piece)
+                if not piece:
+                    # nothing shorter starts there either: go on with the step before
+                    piece = ""
+                    while not piece:
+                        dead.add(at)
+                        piece = out.pop()
+                        at -= len(piece)
+                        last = out[-1] if out else ""
+                        piece = shorter.get(piece)
+        return out
 
     def emit(self, part: str) -> bytes:
         """Little-endian int32 ids of one part."""
