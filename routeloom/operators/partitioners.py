@@ -14,16 +14,19 @@ from ..session import cut, is_empty
 SEED = 42
 
 
-def _nested(nodes: DataFrame, factors: list[int], split) -> DataFrame:
-    """Split top down: each parent cell is one group of ``split(rows, k) -> node_id, part``."""
-    cells = nodes.withColumn("cell", F.lit(0).cast("long"))
-    for k in factors:
+def _splitter(split, k: int):
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("node_id", ignore_index=True)
+        return pd.DataFrame({"node_id": rows["node_id"], "part": rows["cell"] * k + split(rows, k)})
+
+    return run
 
-        def run(rows: pd.DataFrame, k: int = k) -> pd.DataFrame:
-            rows = rows.sort_values("node_id", ignore_index=True)
-            return pd.DataFrame({"node_id": rows["node_id"], "part": rows["cell"] * k + split(rows, k)})
 
-        parts = cells.groupBy("cell").applyInPandas(run, "node_id long, part long")
+def _nested(nodes: DataFrame, factors: list[int], split, cells: DataFrame | None = None) -> DataFrame:
+    """Split top down: each parent cell is one group of ``split(rows, k) -> node_id, part``."""
+    cells = nodes.withColumn("cell", F.lit(0).cast("long")) if cells is None else cells
+    for k in factors:
+        parts = cells.groupBy("cell").applyInPandas(_splitter(split, k), "node_id long, part long")
         cells = cut(nodes.join(parts.withColumnRenamed("part", "cell"), "node_id"))
     return cells.select("node_id", F.col("cell").alias("partition"))
 
@@ -56,17 +59,38 @@ def kmeans(nodes: DataFrame, factors: list[int], group_rows: int = 1_000_000) ->
     from pyspark.ml.feature import VectorAssembler
 
     ready = VectorAssembler(inputCols=["lat", "lng"], outputCol="features").transform(n)
-    top = cut(KMeans(k=factors[0], seed=SEED).fit(ready).transform(ready).select("node_id", F.col("prediction").cast("long").alias("top")))
-    rest = n.join(top, "node_id")
-    for k in factors[1:]:
-
-        def run(rows: pd.DataFrame, k: int = k) -> pd.DataFrame:
-            rows = rows.rename(columns={"top": "cell"}).sort_values("node_id", ignore_index=True)
-            return pd.DataFrame({"node_id": rows["node_id"], "part": rows["cell"] * k + _lloyd(rows, k)})
-
-        parts = rest.groupBy("top").applyInPandas(run, "node_id long, part long")
-        rest = cut(n.join(parts.withColumnRenamed("part", "top"), "node_id"))
-    return rest.select("node_id", F.col("top").alias("partition")), tuple(factors[::-1])
+    top = KMeans(k=factors[0], seed=SEED).fit(ready).transform(ready).select("node_id", F.col("prediction").cast("long").alias("cell"))
+    return _nested(n, factors[1:], _lloyd, cut(n.join(top, "node_id"))), tuple(factors[::-1])
+
+
+def _farthest_points(k: int):
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        ids = sorted(rows["node_id"].tolist())
+        near: dict[int, list[int]] = {v: [] for v in ids}
+        for v, targets in zip(rows["node_id"], rows["near"]):
+            near[v] = sorted(w for w in targets if w in near)
+        far = 1 << 60
+        distance, owner = dict.fromkeys(ids, far), dict.fromkeys(ids, 0)
+        core = ids[-1]
+        for c in range(k):
+            if c:
+                core = max(ids, key=lambda v: (distance[v], v))
+                if distance[core] == 0:
+                    break
+            distance[core], owner[core] = 0, c
+            front, hop = [core], 0
+            while front:
+                hop += 1
+                new = []
+                for v in front:
+                    for w in near[v]:
+                        if hop < distance[w]:
+                            distance[w], owner[w] = hop, c
+                            new.append(w)
+                front = new
+        return pd.DataFrame({"node_id": ids, "part": [int(rows["cell"].iloc[0]) * k + owner[v] for v in ids]})
+
+    return run
 
 
 def gonzalez(nodes: DataFrame, edges: DataFrame, factors: list[int]) -> tuple[DataFrame, tuple[int, ...]]:
@@ -80,37 +104,10 @@ def gonzalez(nodes: DataFrame, edges: DataFrame, factors: list[int]) -> tuple[Da
     adjacency = edges.select("src", "dst").union(edges.select("dst", "src")).distinct()
     cells = cut(nodes.select("node_id", F.lit(0).cast("long").alias("cell")))
     for k in factors:
-
-        def run(rows: pd.DataFrame, k: int = k) -> pd.DataFrame:
-            ids = sorted(rows["node_id"].tolist())
-            near: dict[int, list[int]] = {v: [] for v in ids}
-            for v, targets in zip(rows["node_id"], rows["near"]):
-                near[v] = sorted(w for w in targets if w in near)
-            far = 1 << 60
-            distance, owner = dict.fromkeys(ids, far), dict.fromkeys(ids, 0)
-            core = ids[-1]
-            for c in range(k):
-                if c:
-                    core = max(ids, key=lambda v: (distance[v], v))
-                    if distance[core] == 0:
-                        break
-                distance[core], owner[core] = 0, c
-                front, hop = [core], 0
-                while front:
-                    hop += 1
-                    new = []
-                    for v in front:
-                        for w in near[v]:
-                            if hop < distance[w]:
-                                distance[w], owner[w] = hop, c
-                                new.append(w)
-                    front = new
-            return pd.DataFrame({"node_id": ids, "part": [int(rows["cell"].iloc[0]) * k + owner[v] for v in ids]})
-
         own = cells.toDF("dst", "c2")
         inside = adjacency.join(cells.toDF("src", "c1"), "src").join(own, "dst").where("c1 = c2").groupBy("src").agg(F.collect_list("dst").alias("near"))
         grouped = cells.join(inside.withColumnRenamed("src", "node_id"), "node_id", "left").withColumn("near", F.coalesce("near", F.array().cast("array<long>")))
-        cells = cut(grouped.groupBy("cell").applyInPandas(run, "node_id long, part long").withColumnRenamed("part", "cell").select("node_id", "cell"))
+        cells = cut(grouped.groupBy("cell").applyInPandas(_farthest_points(k), "node_id long, part long").withColumnRenamed("part", "cell").select("node_id", "cell"))
     return cells.withColumnRenamed("cell", "partition"), tuple(factors[::-1])
 
 
@@ -127,18 +124,20 @@ def merge(nodes: DataFrame, edges: DataFrame, sizes: list[int]) -> tuple[DataFra
     snapshots = []
     for size in sizes:
         while True:
-            n = cells.groupBy("cell").agg(F.count("*").alias("n"))
+            n = cut(cells.groupBy("cell").agg(F.count("*").alias("n")))
             between = pairs.join(cells.toDF("u", "a"), "u").join(cells.toDF("v", "b"), "v").where("a <> b")
-            directed = between.select("u", "v", "a", "b").union(between.select("v", "u", "b", "a"))
-            border = directed.groupBy("a").agg(F.countDistinct("u").alias("border"))
-            # nodes of a with an edge to b, and the edges: each pair from a's side
+            sides = F.explode(F.array(F.struct(F.col("a"), F.col("b"), F.col("u")), F.struct(F.col("b").alias("a"), F.col("a").alias("b"), F.col("v").alias("u"))))
+            directed = cut(between.select(sides.alias("x")).select("x.*"))
+            # each cell: its nodes with a foreign neighbour; each ordered pair: the edges, and the nodes on the first side
+            cell = directed.groupBy("a").agg(F.countDistinct("u").alias("border")).join(n.toDF("a", "n"), "a")
             sided = directed.groupBy("a", "b").agg(F.countDistinct("u").alias("shared"), F.count("*").alias("conn"))
-            back = sided.select(F.col("b").alias("a"), F.col("a").alias("b"), F.col("shared").alias("shared_back"))
-            s = sided.join(back, ["a", "b"]).join(n.toDF("a", "na"), "a").join(n.toDF("b", "nb"), "b").where(F.col("na") + F.col("nb") <= size).join(border, "a").join(border.toDF("b", "border_b"), "b")
-            jitter = 1 + F.pmod(F.xxhash64(F.least("a", "b"), F.greatest("a", "b"), F.lit(SEED)), F.lit(1 << 20)) / F.lit(float(1 << 20)) * 0.01
-            priority = F.col("conn") * (1 + F.col("border") + F.col("border_b") - F.col("shared") - F.col("shared_back")) / (F.col("na") * F.col("nb")) * jitter
-            best = s.withColumn("p", priority).groupBy("a").agg(F.max_by("b", F.struct("p", F.least("a", "b"), F.greatest("a", "b"))).alias("b"))
-            mutual = cut(best.join(best.toDF("b", "a2"), "b").where("a = a2 and a < b").select(F.col("a").alias("into"), F.col("b").alias("cell")))
+            one = sided.join(cell, "a").select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"), "conn", "shared", "border", "n")
+            both = one.groupBy("lo", "hi").agg(F.first("conn").alias("conn"), F.sum("shared").alias("shared"), F.sum("border").alias("border"), F.sum("n").alias("size"), F.product("n").alias("product")).where(F.col("size") <= size)
+            jitter = 1 + F.pmod(F.xxhash64("lo", "hi", F.lit(SEED)), F.lit(1 << 20)) / F.lit(float(1 << 20)) * 0.01
+            ranked = cut(both.select("lo", "hi", F.struct((F.col("conn") * (1 + F.col("border") - F.col("shared")) / F.col("product") * jitter).alias("p"), "lo", "hi").alias("key")))
+            best = ranked.select(F.explode(F.array("lo", "hi")).alias("cell"), "key").groupBy("cell").agg(F.max("key").alias("key"))
+            # a pair merges if it is the best of both its cells
+            mutual = cut(best.groupBy("key").agg(F.count("*").alias("k")).where("k = 2").select(F.col("key.lo").alias("into"), F.col("key.hi").alias("cell")))
             if is_empty(mutual):
                 break
             cells = cut(cells.join(mutual, "cell", "left").select("node_id", F.coalesce("into", "cell").alias("cell")))

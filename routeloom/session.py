@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -12,11 +14,16 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise through the shared folder: loops keep short plans and survive lost executors."""
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint(eager=True)
+    """Materialise as a Parquet table in the shared folder: loops keep short plans and survive lost executors.
+
+    A table is chosen over a checkpoint because its size is known.  A checkpoint carries the
+    estimate of the plan it cuts, and in a loop of joins those estimates multiply round by
+    round until planning itself takes longest.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/routeloom-tables/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def is_empty(df: DataFrame) -> bool:
