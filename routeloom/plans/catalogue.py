@@ -260,6 +260,14 @@ for _method in paths.METHODS:
         return paths.solve(g, batch(g), method).select("id", "cost")
 
 
+@query("route_workload")
+def route_workload(spark, sf_dir):
+    """A thousand random queries, snapped by position and answered on the overlay."""
+    g = overlay(spark, sf_dir)
+    q = spatial.snap(io.random_queries(g, 1000), g.nodes, spatial.grid_bounds(g.nodes))
+    return paths.solve(g, q, "prp").select("id", "path", "cost")
+
+
 @query("path_costs", BATCH_SQL.replace("dist.cost FROM q", "dist.cost AS path_cost FROM q"))
 def path_costs(spark, sf_dir):
     g = geo_graph(spark, sf_dir)

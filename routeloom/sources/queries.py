@@ -15,8 +15,9 @@ QUERY = f"id long, orig_start_id long, orig_end_id long, start_id long, end_id l
 
 
 def read_queries(spark: SparkSession, path: str) -> DataFrame:
-    """The array of query objects of an evaluation file."""
-    return spark.read.schema(QUERY).json(path, multiLine=True)
+    """Query objects of an evaluation file: one array, or one object a line."""
+    first = spark.read.text(path).where("trim(value) <> ''").first()
+    return spark.read.schema(QUERY).json(path, multiLine=bool(first) and first[0].lstrip().startswith("["))
 
 
 def write_json(df: DataFrame, path: str) -> None:
