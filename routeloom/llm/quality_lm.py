@@ -46,21 +46,23 @@ MAX_LANGUAGES = 64
 OTHER = "\u0000other"
 PAD = 1
 BAND, MIN_SPREAD, SHORT_TEXT = 5.0, 0.015, 2.5
+#: Bytes of text worked on at a time; some twelve arrays of eight bytes for each stand beside it.
+BLOCK_BYTES = 1 << 20
 #: Packed 5-grams that a task holds before it hands its counts on.
 HELD_GRAMS = 1 << 20
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
-SPACE_RUNS = re.compile(r"\s+")
+SPACE_RUNS = re.compile(r"\s{2,}|[^\S ]")
 MARK_RUNS = re.compile(r"([^\w\s])\1+")
 HAS_WORD = re.compile(r"[^\x20\x09-\x0D]").search
-_SYMBOLS = str.maketrans("", "", "#*$%&|<>")
+SYMBOLS = "#*$%&|<>"
 _ODD = np.uint64(0x9E3779B97F4A7C15)
-_DIGITS = str.maketrans("123456789", "000000000")
 
 
 def folded(text: str) -> np.ndarray:
     """Code points of the normalised text, below 4096."""
-    plain = MARK_RUNS.sub(r"\1", SPACE_RUNS.sub(" ", text.lower().translate(_DIGITS)))
+    plain = MARK_RUNS.sub(r"\1", SPACE_RUNS.sub(" ", text.lower()))
     c = np.frombuffer(plain.encode("utf-32-le", "replace"), np.uint32)
+    c = np.where((c > 48) & (c < 58), np.uint32(48), c)
     return np.where(c < 4096, c, 2048 + (c & 2047)).astype(np.uint64) if len(c) and c.max() >= 4096 else c.astype(np.uint64)
 
 
@@ -93,7 +95,7 @@ def count_grams(texts: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array(keys.view(np.int64)), pa.array(n)], names=["lang", "gram", "c"])
 
         for batch in batches:
-            for piece in slices(batch):
+            for piece in slices(batch, limit=BLOCK_BYTES):
                 by_lang: dict[str, list[np.ndarray]] = {}
                 for lang, text in zip(piece.column("lang").to_pylist(), piece.column("text").to_pylist()):
                     if text:
@@ -103,10 +105,10 @@ def count_grams(texts: DataFrame) -> DataFrame:
                     starts = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
                     parts = held.setdefault(lang, [])
                     parts.append((g[starts], np.diff(np.append(starts, len(g)))))
-                    if len(parts) > 1:
+                    if sum(len(k) for k, _ in parts) > HELD_GRAMS:
                         parts[:] = [add_up(parts)]
-                    if len(parts[0][0]) > HELD_GRAMS:
-                        yield out(lang)
+                        if len(parts[0][0]) > HELD_GRAMS // 2:
+                            yield out(lang)
         for lang in list(held):
             yield out(lang)
 
@@ -196,12 +198,23 @@ def _find(entry, slots: np.ndarray, column: int) -> np.ndarray:
     return np.where(keys[at] == slots, entry[column][at], np.nan)
 
 
-def log_probability(model: dict, lang: str, grams: np.ndarray) -> np.ndarray:
-    """Log probability of each packed 5-gram's last character; unseen ones back off."""
+def log_probability(model: dict, lang: str, grams: np.ndarray, spread: np.ndarray | None = None) -> np.ndarray:
+    """Log probability of each packed 5-gram's last character; unseen ones back off.
+
+    ``spread``, an array of SLOTS not-a-numbers, is lent for the highest order, which answers
+    nearly all: its sorted slots are laid out there, so that a look-up is one access, and
+    taken away again.
+    """
     out, weight, open_ = np.full(len(grams), np.nan), np.zeros(len(grams)), np.arange(len(grams))
     for k in range(ORDER, 0, -1):
-        g = grams[open_] & np.uint64((1 << (CHAR_BITS * k)) - 1)
-        found = _find(model[lang, k], slot(g, k), 1)
+        g = grams if k == ORDER else grams[open_] & np.uint64((1 << (CHAR_BITS * k)) - 1)
+        if k == ORDER and spread is not None:
+            slots, logp, _ = model[lang, k]
+            spread[slots] = logp
+            found = spread[slot(g, k).astype(np.int32)]
+            spread[slots] = np.nan
+        else:
+            found = _find(model[lang, k], slot(g, k), 1)
         seen = ~np.isnan(found)
         out[open_[seen]] = weight[open_[seen]] + found[seen]
         open_, g = open_[~seen], g[~seen]
@@ -240,7 +253,7 @@ def base_figures(text: str) -> tuple[int, int, int, int, int]:
                 np.add.at(mark, at, 1)
                 np.add.at(mark, at + 8, -1)
                 repeat = int((np.cumsum(mark)[:n] > 0).sum())
-    return n, sum(map(len, words)), len(text) - len(text.translate(_SYMBOLS)), len(lines) - len(set(lines)), repeat
+    return n, sum(map(len, words)), sum(map(text.count, SYMBOLS)), len(lines) - len(set(lines)), repeat
 
 
 def model_language(docs: DataFrame) -> tuple[DataFrame, Column]:
@@ -255,9 +268,9 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
     names = ["doc_id", "model_lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "log_ppl"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
+        m, spread = shared.value, np.full(SLOTS, np.nan, np.float32)
         for batch in batches:
-            for piece in slices(batch):
+            for piece in slices(batch, limit=BLOCK_BYTES):
                 langs, texts = piece.column("lang").to_pylist(), piece.column("text").to_pylist()
                 base = np.array([base_figures(t or "") for t in texts], np.int64).reshape(-1, 5)
                 ppl: list[float | None] = [None] * len(texts)
@@ -266,7 +279,7 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
                     if not rows:
                         continue
                     grams = [packed(texts[i]) for i in rows]
-                    logp = log_probability(m, lang, np.concatenate(grams))
+                    logp = log_probability(m, lang, np.concatenate(grams), spread)
                     sizes = [len(g) for g in grams]
                     for i, s, total in zip(rows, sizes, np.add.reduceat(logp, np.cumsum([0] + sizes[:-1]))):
                         ppl[i] = -total / s
