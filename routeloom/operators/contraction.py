@@ -72,6 +72,7 @@ def _contract_cell(rows: pd.DataFrame) -> pd.DataFrame:
                 del lists[a][b]
 
     todo = set()
+    rows = rows.sort_values(["kind", "edge_id", "src"])  # the order of arrival must not matter
     for r in rows.itertuples(index=False):
         if r.kind == "n":
             todo.add(int(r.src))
