@@ -97,7 +97,7 @@ def sample(labelled: DataFrame, rows_per_language: int) -> DataFrame:
     chance = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 30)) / float(1 << 30)
     share = {r["lang"]: rows_per_language / r["n"] for r in sizes.collect()}  # one row a language
     if not share:
-        return labelled.select("lang", F.array().cast("array<int>").alias("at"), F.array().cast("array<float>").alias("x"))
+        return labelled.select("doc_id", "lang", F.array().cast("array<int>").alias("at"), F.array().cast("array<float>").alias("x"))
     wanted = F.create_map(*[F.lit(v) for pair in share.items() for v in pair])
     chosen = labelled.where(chance < wanted[F.col("lang")]).select("doc_id", "lang", "text")
 

@@ -155,8 +155,15 @@ def _ip(m: re.Match, permute: Permute) -> str | None:
     parts = [int(x) for x in m[0].split(".")]
     if max(parts) > 255 or any(len(x) > 1 and x[0] == "0" for x in m[0].split(".")):
         return None
-    value = permute("ip", 1 << 32, int.from_bytes(bytes(parts), "big"))
-    return ".".join(map(str, value.to_bytes(4, "big")))
+    # each octet keeps its number of digits: 0-9, 10-99 or 100-255
+    shape, value, size = [(0, 10) if x < 10 else (10, 90) if x < 100 else (100, 156) for x in parts], 0, 1
+    for x, (least, n) in zip(parts, shape):
+        value, size = value * n + x - least, size * n
+    value, out = permute(f"ip{shape}", size, value), []
+    for least, n in reversed(shape):
+        value, r = divmod(value, n)
+        out.append(str(least + r))
+    return ".".join(reversed(out))
 
 
 def _email(m: re.Match, permute: Permute) -> str | None:
