@@ -30,6 +30,9 @@ from ..session import cut, numbered
 
 #: Ranks of one level lie below this times the level plus one.
 LEVEL_RANKS = 1 << 40
+#: A cell stops where the next node has more pairs of an in- and an out-edge than this: with several costs the
+#: shortcuts of a dense core multiply.  What is left joins the top level and is never contracted.
+STOP_PAIRS = 400
 
 
 def node_levels(g: Graph) -> DataFrame:
@@ -90,6 +93,8 @@ def _contract_cell(rows: pd.DataFrame) -> pd.DataFrame:
         if (now := size(v)) > h:
             heapq.heappush(heap, (now, v))
             continue
+        if h > STOP_PAIRS:
+            break
         todo.remove(v)
         before, after = into.pop(v, {}), out.pop(v, {})
         for u in before:
@@ -120,6 +125,7 @@ def _contract_cell(rows: pd.DataFrame) -> pd.DataFrame:
     # a dropped shortcut may be part of one made before it was dropped; it stays, without further use
     data = [("e", cell, e["id"], e["src"], e["dst"], list(e["cost"]), e["first"], e["second"], bool(e.get("dropped"))) for e in made]
     data += [("n", cell, k, v, v, [], 0, 0, False) for k, v in enumerate(order)]
+    data += [("l", cell, 0, v, v, [], 0, 0, False) for v in sorted(todo)]
     return pd.DataFrame(data, columns=["kind", "cell", "local", "src", "dst", "cost", "first", "second", "dropped"])
 
 
@@ -136,6 +142,9 @@ def contract(g: Graph) -> Graph:
         rows = live.where("c1 = c2").select(F.lit("e").alias("kind"), F.col("c1").alias("cell"), "edge_id", "src", "dst", "cost", F.col("via").isNotNull().alias("short"))
         going = info.where("goes").select(F.lit("n").alias("kind"), "cell", F.lit(0).cast("long").alias("edge_id"), F.col("node_id").alias("src"), F.col("node_id").alias("dst"), F.array().cast("array<double>").alias("cost"), F.lit(False).alias("short"))
         made = cut(rows.unionByName(going).groupBy("cell").applyInPandas(_contract_cell, "kind string, cell long, local long, src long, dst long, cost array<double>, first long, second long, dropped boolean"))
+        # nodes that are left go up; the edges around them stay
+        left = made.where("kind = 'l'").select(F.col("src").alias("node_id"), F.lit(len(levels)).alias("up"))
+        nodes = cut(nodes.join(left, "node_id", "left").withColumn("level", F.coalesce("up", "level")).drop("up"))
         rank = made.where("kind = 'n'").select(F.col("src").alias("node_id"), (F.lit(level * LEVEL_RANKS) + F.col("local")).alias("rank"))
         ranks = rank if ranks is None else ranks.unionByName(rank)
         first_id = (live if done is None else live.select("edge_id").union(done.select("edge_id"))).agg(F.coalesce(F.max("edge_id"), F.lit(-1)).alias("m")).first()[0] + 1
@@ -148,9 +157,10 @@ def contract(g: Graph) -> Graph:
         goes = nodes.where(F.col("level") == level).select("node_id")
         flagged = short.join(goes.withColumn("s", F.lit(True)).withColumnRenamed("node_id", "src"), "src", "left").join(goes.withColumn("t", F.lit(True)).withColumnRenamed("node_id", "dst"), "dst", "left").withColumn("used", F.col("dropped") | F.coalesce("s", F.lit(False)) | F.coalesce("t", F.lit(False)))
         flagged = cut(flagged.select("edge_id", "src", "dst", "cost", F.lit(None).cast("int").alias("level"), "via", "used"))
-        gone = live.where("g1 or g2").select("edge_id", "src", "dst", "cost", "level", "via").unionByName(flagged.where("used").drop("used"))
+        ends = live.drop("g1", "g2").join(goes.withColumn("g1", F.lit(True)).withColumnRenamed("node_id", "src"), "src", "left").join(goes.withColumn("g2", F.lit(True)).withColumnRenamed("node_id", "dst"), "dst", "left").na.fill(False, ["g1", "g2"])
+        gone = ends.where("g1 or g2").select("edge_id", "src", "dst", "cost", "level", "via").unionByName(flagged.where("used").drop("used"))
         done = cut(gone if done is None else done.unionByName(gone))
-        live = cut(live.where("not (g1 or g2)").select("edge_id", "src", "dst", "cost", "level", "via").unionByName(flagged.where("not used").drop("used")))
+        live = cut(ends.where("not (g1 or g2)").select("edge_id", "src", "dst", "cost", "level", "via").unionByName(flagged.where("not used").drop("used")))
     edges = cut(live.withColumn("level", F.lit(len(levels))).unionByName(done))
     nodes = cut(nodes.drop("rank").join(ranks, "node_id", "left").withColumn("rank", F.coalesce("rank", F.lit(UNRANKED))).select("node_id", "lat", "lng", "rank", "partition", "level"))
     return g.with_(nodes=nodes, edges=edges)
