@@ -88,7 +88,11 @@ class Side:
 
 
 class Count:
-    pops = relaxed = 0
+    """Counters of one search; with ``steps`` also what it visited, in order: ('node', id), ('edge', id), ('meeting', id)."""
+
+    def __init__(self, steps: list | None = None):
+        self.pops = self.relaxed = 0
+        self.steps = steps
 
 
 def one_way(a: Arrays, s: int, t: int, w: list[float], n: Count) -> tuple[list[int], float] | None:
@@ -97,6 +101,8 @@ def one_way(a: Arrays, s: int, t: int, w: list[float], n: Count) -> tuple[list[i
         d, v = heapq.heappop(side.heap)
         side.done.add(v)
         n.pops += 1
+        if n.steps is not None:
+            n.steps.append(("node", v))
         if v == t:
             path = []
             while v != s:
@@ -106,6 +112,8 @@ def one_way(a: Arrays, s: int, t: int, w: list[float], n: Count) -> tuple[list[i
             return path[::-1], d
         for i in side.lists.get(v, ()):
             n.relaxed += 1
+            if n.steps is not None:
+                n.steps.append(("edge", a.edge_id[i]))
             u, c = a.dst[i], d + w[i]
             if c < side.best.get(u, inf):
                 side.best[u], side.last[u] = c, i
@@ -134,11 +142,15 @@ def two_way(a: Arrays, method: str, s: int, t: int, w: list[float], n: Count) ->
         d, v = heapq.heappop(side.heap)
         side.done.add(v)
         n.pops += 1
+        if n.steps is not None:
+            n.steps.append(("node", v))
         low = least_level(v) if overlay and not (method == "prp" and a.node_level.get(v) == 0) else -2
         for i in side.lists.get(v, ()):
             if a.level[i] < low:
                 continue
             n.relaxed += 1
+            if n.steps is not None:
+                n.steps.append(("edge", a.edge_id[i]))
             u, c = side.ends[i], d + w[i]
             if c < side.best.get(u, inf):
                 side.best[u], side.last[u] = c, i
@@ -147,6 +159,8 @@ def two_way(a: Arrays, method: str, s: int, t: int, w: list[float], n: Count) ->
                     best, meet = c + other.best[u], u
     if meet is None:
         return None
+    if n.steps is not None:
+        n.steps.append(("meeting", meet))
     path, v = [], meet
     while v != s:
         i = f.last[v]
@@ -204,3 +218,21 @@ def search(g: Graph, queries: DataFrame, method: str, counters: bool = False) ->
     q = queries.select(F.col("id").cast("long").alias("id"), F.col("start_id").cast("long").alias("start_id"), F.col("end_id").cast("long").alias("end_id"), F.col("alpha").cast("array<double>").alias("alpha"))
     out = q.repartition(spark.sparkContext.defaultParallelism, "id").sortWithinPartitions("alpha", "start_id").mapInArrow(run, "id long, path array<long>, cost double, heap_pops long, relaxed_edges long")
     return out if counters else out.select("id", "path", "cost")
+
+
+def trace(g: Graph, queries: DataFrame, method: str) -> DataFrame:
+    """id, step, kind, value: the nodes settled, edges relaxed and the meeting node of each search, in order."""
+    shared = g.edges.sparkSession.sparkContext.broadcast(collect(g))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a = Arrays(*shared.value)
+        for batch in batches:
+            for q in batch.to_pylist():
+                n, w = Count([]), (a.cost @ np.array(q["alpha"], float)).tolist()
+                if q["start_id"] in a.rank and q["end_id"] in a.rank:
+                    _ = one_way(a, q["start_id"], q["end_id"], w, n) if method == "normal" else two_way(a, method, q["start_id"], q["end_id"], w, n)
+                k = len(n.steps)
+                yield pa.RecordBatch.from_arrays([pa.array([q["id"]] * k, pa.int64()), pa.array(range(k), pa.int64()), pa.array([s[0] for s in n.steps], pa.string()), pa.array([s[1] for s in n.steps], pa.int64())], names=["id", "step", "kind", "value"])
+
+    q = queries.select(F.col("id").cast("long").alias("id"), F.col("start_id").cast("long").alias("start_id"), F.col("end_id").cast("long").alias("end_id"), F.col("alpha").cast("array<double>").alias("alpha"))
+    return q.mapInArrow(run, "id long, step long, kind string, value long")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import all_partition_ids, differing_level, dot, haversine_km, normalise_preference
 from ..graph import Graph
-from ..operators import adjacency, components, contraction, evaluation, partitioners, paths, spatial
+from ..operators import adjacency, components, contraction, evaluation, kernel, partitioners, paths, spatial
 from ..session import cut
 from ..sources import queries as io
 from ..sources.derived import geo_graph, part_graph, points, trade_graph
@@ -297,6 +297,12 @@ def search_counters(spark, sf_dir):
     return evaluation.mean_counters(out)
 
 
+@query("search_traces")
+def search_traces(spark, sf_dir):
+    g = overlay(spark, sf_dir)
+    return kernel.trace(g, batch(g), "prp")
+
+
 def hops_sql(start: str, edges: str, limit: str = "") -> str:
     return f"""WITH RECURSIVE {GEO}, e AS ({edges}), h(node_id, hop, core) USING KEY (node_id) AS (
   {start}

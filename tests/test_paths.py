@@ -101,3 +101,22 @@ def test_counters(spark, overlay):
     c = {m: tuple(solve(overlay, q, m, counters=True).select("heap_pops", "relaxed_edges").first()) for m in METHODS}
     assert all(p > 0 and r > 0 for p, r in c.values())
     assert c["normal"] == tuple(solve(overlay, q, "normal", counters=True).select("heap_pops", "relaxed_edges").first())
+
+
+def test_trace_and_its_files(spark, overlay, tmp_path):
+    from pyspark.sql import functions as F
+
+    from routeloom.operators.kernel import trace
+    from routeloom.sources import queries as io
+
+    q = queries(spark, [(0, 63, [0.5, 0.5])])
+    for m in METHODS:
+        steps = trace(overlay, q, m).collect()
+        pops, relaxed = solve(overlay, q, m, counters=True).select("heap_pops", "relaxed_edges").first()
+        assert (sum(s["kind"] == "node" for s in steps), sum(s["kind"] == "edge" for s in steps)) == (pops, relaxed)
+        assert sum(s["kind"] == "meeting" for s in steps) == (m != "normal")
+    p = solve(overlay, q)
+    visited = spark.createDataFrame([(s["value"],) for s in steps if s["kind"] == "node"], "node_id long").join(overlay.nodes, "node_id").withColumn("kind", F.lit(0))
+    ends = overlay.nodes.where("node_id in (0, 63)").withColumn("kind", F.lit(0))
+    io.export_query(str(tmp_path / "q"), ends, visited, io.path_coordinates(path_nodes(p, overlay.edges), overlay.nodes), overlay.originals(), overlay.nodes)
+    assert [spark.read.text(str(tmp_path / f"q-{n}")).count() > 0 for n in ("query.wkt", "nodes.wkt", "path.csv", "edges.wkt")] == [True] * 4
