@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -32,13 +35,28 @@ def slices(batch: pa.RecordBatch, text_col: str = "text", limit: int = SLICE_CHA
     yield batch.slice(start, n - start)
 
 
-def map_text(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, text_col: str = "text") -> DataFrame:
-    """Run ``fn`` on bounded slices of the Arrow batches of ``df``."""
+def release() -> None:
+    """Give memory that a task has freed back to the system: workers live on, and an executor's limit counts them all."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library has no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def map_text(
+    df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, text_col: str = "text", limit: int = SLICE_CHARS, after: Callable[[], None] | None = None
+) -> DataFrame:
+    """Run ``fn`` on bounded slices of the Arrow batches of ``df``; ``after`` ends each task, since workers live on and their memory counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for piece in slices(batch, text_col):
-                yield fn(piece)
+        try:
+            for batch in batches:
+                for piece in slices(batch, text_col, limit):
+                    yield fn(piece)
+        finally:
+            if after is not None:
+                after()
+            release()
 
     return df.mapInArrow(run, schema)
 

@@ -27,6 +27,7 @@ from __future__ import annotations
 import re
 import struct
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -37,8 +38,8 @@ from .common import map_text, table
 SPACE = "▁"
 #: Piece types of the model format.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-#: Entries of each memo of one Python worker.
-MEMO_ENTRIES = 250_000
+#: Entries of a generation of the memos of parts and of borders, some 300 bytes each, in one Python worker.
+PART_ENTRIES, BORDER_ENTRIES = 150_000, 75_000
 #: Cost of the byte fallback arc, above the cost of any path of pieces.
 FALLBACK_COST = 1e6
 
@@ -110,22 +111,21 @@ def load_model(path: str) -> dict:
     return out | {"pieces": pieces}
 
 
-class Memo:
-    """Two generations of at most MEMO_ENTRIES: what is in use moves to the young one, the old one is dropped when that is full."""
+class Memo(dict):
+    """What ``make`` gives for a key, in two generations of at most ``limit`` entries: what is in use moves to the young one, the old one is dropped when that is full."""
 
-    def __init__(self):
-        self.young, self.old = {}, {}
+    def __init__(self, limit: int, make: Callable):
+        super().__init__()
+        self.limit, self.make, self.old = limit, make, {}
 
-    def get(self, key):
-        found = self.young.get(key)
-        if found is None and (found := self.old.get(key)) is not None:
-            self.put(key, found)
-        return found
-
-    def put(self, key, value):
-        if len(self.young) >= MEMO_ENTRIES:
-            self.young, self.old = {}, self.young
-        self.young[key] = value
+    def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(self) >= self.limit:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
         return value
 
 
@@ -144,16 +144,20 @@ class Transducer:
         self.prefixes = {t[:i] for t in self.score for i in range(1, len(t) + 1)}
         #: prefix -> the longest piece that is a shorter prefix of it, or ""
         self.shorter = {t: next((t[:i] for i in range(len(t) - 1, 0, -1) if t[:i] in self.score), "") for t in self.prefixes}
+        self.pairs = {t[i : i + 2] for t in self.score for i in range(len(t) - 1)}
         inner = {c for t in self.score if len(t) > 1 for c in t}
         if any(SPACE in t.lstrip(SPACE) for t in self.score):
             raise ValueError("a piece holds a space mark after another character")
         alone = "".join(re.escape(c) for c in "\n\r\t" if c not in inner)
         self.parts = re.compile(f"{SPACE}+[^{SPACE}{alone}]*|[^{SPACE}{alone}]+" + (f"|[{alone}]" if alone else "")).findall
-        self.memo, self.border = Memo(), Memo()
+        self.forget()
         self.piece_bytes = []
         for t, _, k in model["pieces"]:
             self.piece_bytes.append(bytes([int(t[3:5], 16)]) if k == BYTE else b"" if k == CONTROL else " ⁇ ".encode() if k == UNKNOWN else t.replace(SPACE, " ").encode("utf-8"))
 
+    def forget(self) -> None:
+        self.memo, self.border = Memo(PART_ENTRIES, self.emit), Memo(BORDER_ENTRIES, self.holds)
+
     def normalise(self, text: str) -> str:
         m = self.model
         if m["remove_extra_whitespaces"]:
@@ -178,15 +182,10 @@ class Transducer:
             s[at : at + 2] = [s[at] + s[at + 1]]
         return s
 
-    def holds(self, a: str, b: str) -> bool:
-        """Whether the machine has the arc from ``a`` to ``b``."""
-        if not self.bpe:
-            return True
-        key = (a, b)
-        known = self.border.get(key)
-        if known is None:
-            known = self.border.put(key, self.merges(a + b) == ([a, b] if a else [b]))
-        return known
+    def holds(self, ends: tuple[str, str]) -> bool:
+        """Whether the machine has the arc from one piece (or the start, "") to another."""
+        a, b = ends
+        return not self.bpe or self.merges(a + b) == ([a, b] if a else [b])
 
     def arcs(self, text: str, at: int):
         """Arcs that read from ``at``: (piece, cost)."""
@@ -223,7 +222,7 @@ class Transducer:
         """The composition is opened up lazily, longest arc first.  Borders make the BPE machine unambiguous: every
         prefix has exactly one path, the merge result of that prefix.  So a position has one state at most, one that
         led nowhere need not be tried again, and the first path that arrives is the only one, hence the shortest."""
-        n, longest, prefixes, score, shorter, border = len(text), self.longest, self.prefixes, self.score, self.shorter, self.border.young
+        n, longest, prefixes, score, shorter, border = len(text), self.longest, self.prefixes, self.score, self.shorter, self.border
         out: list[str] = []
         last, at, dead = "", 0, set()
         piece = None
@@ -236,13 +235,8 @@ class Transducer:
                 if piece not in score:
                     piece = shorter.get(piece) or text[at]
             while True:
-                if at + len(piece) not in dead:
-                    ok = border.get((last, piece))
-                    if ok is None:
-                        ok = self.holds(last, piece)
-                        border = self.border.young
-                    if ok:
-                        break
+                if at + len(piece) not in dead and border[last, piece]:
+                    break
                 piece = shorter.get(piece)
                 if not piece:
                     break
@@ -269,9 +263,11 @@ class Transducer:
 
     def emit(self, part: str) -> bytes:
         """Little-endian int32 ids of one part."""
-        known = self.memo.get(part)
-        if known is not None:
-            return known
+        # no merge crosses two characters that stand side by side in no piece: what lies between such places is solved alone
+        pairs = self.pairs
+        cuts = [i for i in range(1, len(part)) if part[i - 1 : i + 1] not in pairs]
+        if cuts:
+            return b"".join([self.ids(part[i:j]) for i, j in zip([0, *cuts], [*cuts, len(part)])])
         ids: list[int] = []
         for piece in self.shortest(part):
             i = self.id.get(piece)
@@ -281,11 +277,16 @@ class Transducer:
                 ids.extend(self.byte_id[b] for b in piece.encode("utf-8"))
             else:
                 ids.append(self.unk)
-        found = np.array(ids, "<i4").tobytes()
-        return self.memo.put(part, found) if len(part) <= 64 else found  # longer parts are rare and would make the memo's size unbounded
+        return struct.pack(f"<{len(ids)}i", *ids)
+
+    def ids(self, part: str) -> bytes:
+        return self.memo[part] if len(part) <= 64 else self.emit(part)  # longer parts are rare and would make the memo's size unbounded
 
     def encode(self, text: str) -> bytes:
-        return b"".join(map(self.emit, self.parts(self.normalise(text))))
+        parts = self.parts(self.normalise(text))
+        if parts and max(map(len, parts)) > 64:
+            return b"".join(map(self.ids, parts))
+        return b"".join(map(self.memo.__getitem__, parts))
 
     def decode(self, ids) -> str:
         out = b"".join(map(self.piece_bytes.__getitem__, ids)).decode("utf-8", "replace")
@@ -323,7 +324,11 @@ def encode(docs: DataFrame, model_path: str) -> DataFrame:
             names=["doc_id", "n_pieces", "n_fallback", "ids", "round_trip"],
         )
 
-    return map_text(docs.selectExpr("cast(doc_id as bigint) doc_id", "text"), run, "doc_id long, n_pieces long, n_fallback long, ids array<int>, round_trip boolean")
+    def forget() -> None:
+        for machine in _machines.values():
+            machine.forget()
+
+    return map_text(docs.selectExpr("cast(doc_id as bigint) doc_id", "text"), run, "doc_id long, n_pieces long, n_fallback long, ids array<int>, round_trip boolean", after=forget)
 
 
 def decode(encoded: DataFrame, model_path: str) -> DataFrame:

@@ -88,10 +88,13 @@ class Memo(dict):
         super().__init__(dict.fromkeys(proven, 1))
         self.proven, self.ranks, self.alphabet = proven, ranks, byte_alphabet()
 
+    def forget(self) -> None:
+        self.clear()
+        self.update(dict.fromkeys(self.proven, 1))
+
     def __missing__(self, token: str) -> int:
         if len(self) > MEMO_ENTRIES + len(self.proven):
-            self.clear()
-            self.update(dict.fromkeys(self.proven, 1))
+            self.forget()
         a = self.alphabet
         n = merge_count([a[b] for b in token.encode("utf-8")], self.ranks)
         self[token] = n
@@ -136,7 +139,11 @@ def token_counts(docs: DataFrame, vocab_path: str, context: int = 1024) -> DataF
             names=["doc_id", "n_bytes", "n_tokens", "over_limit"],
         )
 
-    return map_text(docs.selectExpr("cast(doc_id as bigint) doc_id", "text"), count, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    def forget() -> None:
+        for counter in _counters.values():
+            counter.memo.forget()
+
+    return map_text(docs.selectExpr("cast(doc_id as bigint) doc_id", "text"), count, "doc_id long, n_bytes long, n_tokens long, over_limit boolean", after=forget)
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
