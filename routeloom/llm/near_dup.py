@@ -11,11 +11,12 @@ with about the probability of the Jaccard similarity.  BANDS bands of BAND_ROWS
 give bucket keys; two documents at the least similarity share no bucket with a probability
 below 1e-6.
 
-Links.  Small buckets give all their pairs.  In a large bucket all members are held against
-one pivot, and after each round of links the members that are already in one component need
-no link among each other any more; what is still apart after PIVOT_ROUNDS is paired between
-components.  Each pair is estimated by maximum likelihood from its registers and the set
-sizes; those that may reach the similarity are verified on their full sets.  Components come
+Links.  A small bucket first pairs its members with its smallest id.  The members of a large
+bucket are compared in chunks of CHUNK, by their registers.  In BEST_ROUNDS rounds each member names its closest
+partner of another component; such links join a group of near copies through its centre, and
+what is in one component needs no link among itself any more.  After that every pair between
+components that may link is taken, from large buckets at the first band it shares.  A pair may link if the maximum likelihood estimate from
+its registers and the set sizes allows it; such pairs are verified on their full sets.  Components come
 from alternating large-star and small-star steps.  No pairs of copies are formed, nothing is
 sampled or capped, and nothing but a Bloom filter of fixed size goes through the driver.
 
@@ -34,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, map_text, table
+from .common import checkpointed, map_text, release, table
 
 SHINGLE = 5
 #: Link when PARTS * intersection >= LEAST * union.
@@ -42,12 +43,20 @@ LEAST, PARTS = 85, 100
 BANDS, BAND_ROWS = 24, 5
 REGISTERS = BANDS * BAND_ROWS
 BASE, RATE, LIMIT = 1.001, 20.0, 65534
-#: Pairs whose likelihood estimate is below this lie six standard deviations under the least similarity.
-LEAST_ESTIMATE = 0.65
+#: Pairs whose likelihood estimate is below this lie over four standard deviations under the least similarity.
+LEAST_ESTIMATE = 0.70
 SMALL_BUCKET = 16
-PIVOT_ROUNDS = 3
-BLOOM_BITS = 1 << 26
-BLOCK = 1 << 22
+BEST_ROUNDS = 2
+#: Equal registers below which an estimate isn't worth its time; a similarity of LEAST_ESTIMATE gives 84.
+FEW_EQUAL = 66
+#: Rows of an id table, and of a register table, for one task: small tables don't spread over all shuffle partitions.
+ID_ROWS, REGISTER_ROWS = 250_000, 20_000
+#: Members of a large bucket that are compared with as many others at a time (120 kB of registers on each side).
+CHUNK = 512
+#: Bits of the Bloom filter: eight for each id, from 2 ** 20 to 2 ** 30 (128 MB); past that more rows pass, and the joins behind it stay exact.
+BLOOM_LEAST, BLOOM_MOST = 20, 30
+#: Bytes of text hashed at a time; some fifteen arrays of eight bytes for each stand beside it.
+BLOCK = 1 << 20
 U64 = np.uint64
 _M = U64(0xD6E8FEB86659FD93)
 _M_INVERSE = U64(pow(0xD6E8FEB86659FD93, -1, 1 << 64))
@@ -56,6 +65,13 @@ _A = _rng.integers(1 << 31, 1 << 32, (2, REGISTERS), dtype=np.uint64).astype(np.
 _S = _rng.integers(0, 1 << 32, (2, REGISTERS), dtype=np.uint64).astype(np.uint32)
 
 
+def compact(df: DataFrame, rows_per_task: int = ID_ROWS) -> tuple[DataFrame, int]:
+    """The table behind a lineage cut, in as many partitions as its rows need, and that number."""
+    cut = checkpointed(df)
+    n = 1 + cut.count() // rows_per_task
+    return cut.coalesce(n), n
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> U64(30))) * U64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> U64(27))) * U64(0x94D049BB133111EB)
@@ -179,11 +195,11 @@ def sketches(docs: DataFrame) -> DataFrame:
         regs = [registers(x).tobytes() if len(x) else None for x in sets]
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(x) for x in sets], pa.int64()), pa.array(k1), pa.array(k2), pa.array(regs, pa.binary())], names=["doc_id", "n", "k1", "k2", "regs"])
 
-    return map_text(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, n long, k1 long, k2 long, regs binary")
+    return map_text(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, n long, k1 long, k2 long, regs binary", limit=BLOCK)
 
 
 def band_rows(reps: DataFrame) -> DataFrame:
-    """bucket, rep, n: BANDS rows for each representative."""
+    """bucket, band, rep, n: BANDS rows for each representative."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -193,77 +209,91 @@ def band_rows(reps: DataFrame) -> DataFrame:
             key = np.broadcast_to(np.arange(1, BANDS + 1, dtype=U64), regs.shape[:2]).copy()
             for k in range(BAND_ROWS):
                 key = mix(key * _M + regs[:, :, k])
-            yield pa.RecordBatch.from_arrays([pa.array(key.reshape(-1).view(np.int64)), pa.array(np.repeat(np.asarray(batch.column("rep")), BANDS)), pa.array(np.repeat(np.asarray(batch.column("n")), BANDS))], names=["bucket", "rep", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(key.reshape(-1).view(np.int64)), pa.array(np.tile(np.arange(BANDS, dtype=np.int32), batch.num_rows)), pa.array(np.repeat(np.asarray(batch.column("rep")), BANDS)), pa.array(np.repeat(np.asarray(batch.column("n")), BANDS))], names=["bucket", "band", "rep", "n"])
 
-    return reps.select("rep", "n", "regs").mapInArrow(run, "bucket long, rep long, n long")
+    return reps.select("rep", "n", "regs").mapInArrow(run, "bucket long, band int, rep long, n long")
 
 
-def bloom_split(rows: DataFrame, column: str, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows whose id may be among ``ids``, and those whose id is surely not: a filter of BLOOM_BITS bits, built on the executors and merged by or."""
-    words = BLOOM_BITS // 64
+class Bloom:
+    """Bits over ids, a power of two of them; executors build parts, which are merged by or."""
 
-    def places(x: np.ndarray) -> list[np.ndarray]:
+    def __init__(self, words: np.ndarray):
+        self.words = words
+
+    @staticmethod
+    def places(x: np.ndarray, bits: int) -> list[np.ndarray]:
         h = mix(x.astype(np.int64).view(U64))
-        return [(h >> U64(6 * k)) & U64(BLOOM_BITS - 1) for k in (0, 2, 5)]
+        return [(h >> U64(17 * k)) & U64(bits - 1) for k in (0, 1, 2)]
 
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits: dict[int, int] = {}
-        for batch in batches:
-            for p in places(np.asarray(batch.column("id"))):
-                w, bit = p >> U64(6), U64(1) << (p & U64(63))
-                order = np.argsort(w, kind="stable")
-                w, bit = w[order], bit[order]
-                starts = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]])) if len(w) else np.zeros(0, int)
-                for a, v in zip(w[starts].tolist(), np.bitwise_or.reduceat(bit, starts).tolist() if len(w) else []):
-                    bits[a] = bits.get(a, 0) | v
-        yield pa.RecordBatch.from_arrays([pa.array(list(bits), pa.int32()), pa.array(np.array(list(bits.values()), U64).view(np.int64))], names=["w", "v"])
-
-    made = ids.select(F.col(ids.columns[0]).alias("id")).mapInArrow(build, "w int, v long").groupBy("w").agg(F.bit_or("v").alias("v")).toArrow()  # at most BLOOM_BITS / 64 rows
-    table_ = np.zeros(words, U64)
-    table_[np.asarray(made.column("w"))] = np.asarray(made.column("v")).view(U64)
-    shared = rows.sparkSession.sparkContext.broadcast(table_)
+    def may_hold(self, ids: pa.Array) -> np.ndarray:
+        ok = np.array(ids.is_valid(), bool)
+        for p in self.places(np.asarray(ids.fill_null(0)), 64 * len(self.words)):
+            ok &= (self.words[p >> U64(6)] >> (p & U64(63))) & U64(1) == 1
+        return ok
 
-    def part(maybe: bool) -> DataFrame:
-        def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                x = batch.column(column)
-                t, ok = shared.value, np.asarray(x.is_valid()).copy()
-                for p in places(np.asarray(x.fill_null(0))):
-                    ok &= (t[p >> U64(6)] >> (p & U64(63))) & U64(1) == 1
-                yield batch.filter(pa.array(ok == maybe))
+    @classmethod
+    def of(cls, ids: DataFrame) -> Bloom:
+        """Of the first column of ``ids``."""
+        size = 1 << min(BLOOM_MOST, max(BLOOM_LEAST, (8 * ids.count()).bit_length()))
 
-        return rows.mapInArrow(keep, rows.schema)
+        def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            bits = np.zeros(size // 64, U64)
+            for batch in batches:
+                for p in cls.places(np.asarray(batch.column("id")), size):
+                    np.bitwise_or.at(bits, p >> U64(6), U64(1) << (p & U64(63)))
+            found = np.flatnonzero(bits)
+            yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), pa.array(bits[found].view(np.int64))], names=["w", "v"])
 
-    return part(True), part(False)
+        made = ids.select(F.col(ids.columns[0]).alias("id")).where("id is not null").mapInArrow(build, "w int, v long").groupBy("w").agg(F.bit_or("v").alias("v")).toArrow()  # at most size / 64 rows
+        words = np.zeros(size // 64, U64)
+        words[np.asarray(made.column("w"))] = np.asarray(made.column("v")).view(U64)
+        return cls(words)
 
 
 def without(docs: DataFrame, removed: DataFrame) -> DataFrame:
     """``docs`` without the rows whose doc_id is in ``removed``; only rows that pass the filter are shuffled."""
-    maybe, sure = bloom_split(docs, "doc_id", removed)
-    return sure.unionByName(maybe.join(removed.select("doc_id").distinct(), "doc_id", "left_anti").select(*sure.columns))
+    shared = docs.sparkSession.sparkContext.broadcast(Bloom.of(removed.select("doc_id")))
+
+    def part(maybe: bool) -> DataFrame:
+        def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield batch.filter(pa.array(shared.value.may_hold(batch.column("doc_id")) == maybe))
+
+        return docs.mapInArrow(keep, docs.schema)
 
+    return part(False).unionByName(part(True).join(removed.select("doc_id").distinct(), "doc_id", "left_anti").select(*[f"`{c}`" for c in docs.columns]))
 
-def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) that link: estimate first, then full sets."""
 
-    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def likely(pairs: DataFrame, reps: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose estimate allows a link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
             ka, kb = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint16).reshape(-1, REGISTERS) for c in ("ra", "rb"))
-            ok = [estimate(ka[i : i + 2000], kb[i : i + 2000], np.asarray(b.column("na"))[i : i + 2000].astype(float), np.asarray(b.column("nb"))[i : i + 2000].astype(float)) >= LEAST_ESTIMATE for i in range(0, b.num_rows, 2000)]
+            na, nb = (np.asarray(b.column(c)).astype(float) for c in ("na", "nb"))
+            ok = [estimate(ka[i : i + 2000], kb[i : i + 2000], na[i : i + 2000], nb[i : i + 2000]) >= LEAST_ESTIMATE for i in range(0, b.num_rows, 2000)]
             yield b.select(["a", "b"]).filter(pa.array(np.concatenate(ok)))
+        release()
 
     r = reps.select("rep", "regs", "n")
     with_regs = pairs.join(r.toDF("a", "ra", "na"), "a").join(r.toDF("b", "rb", "nb"), "b").select("a", "b", "ra", "rb", "na", "nb")
-    close = checkpointed(with_regs.mapInArrow(likely, "a long, b long"))
-    wanted = close.select(F.col("a").alias("rep")).union(close.select("b"))
+    return with_regs.mapInArrow(run, "a long, b long")
+
+
+def verified(close: DataFrame, docs: DataFrame) -> DataFrame:
+    """The pairs (a, b) that link by their full sets."""
+    close, n = compact(close)
+    wanted = close.select(F.col("a").alias("rep")).union(close.select("b")).distinct().coalesce(n)
+    shared = docs.sparkSession.sparkContext.broadcast(Bloom.of(wanted))
 
     def to_sets(batch: pa.RecordBatch) -> pa.RecordBatch:
+        batch = batch.filter(pa.array(shared.value.may_hold(batch.column("doc_id"))))
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([x.tobytes() for x in shingle_sets(batch.column("text").to_pylist())], pa.binary())], names=["rep", "shingles"])
 
-    texts, _ = bloom_split(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id", wanted)
-    sets = checkpointed(map_text(texts, to_sets, "rep long, shingles binary"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    sets = checkpointed(map_text(texts, to_sets, "rep long, shingles binary", limit=BLOCK))
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -273,26 +303,27 @@ def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 ok.append(PARTS * both >= LEAST * (len(x) + len(y) - both))
             yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+        release()
 
-    # the many-sided key is joined last, so that a pivot's set meets its partners once
+    # the many-sided key is joined last, so that the set of a group's centre meets its partners once
     joined = close.join(sets.toDF("b", "sb"), "b").join(sets.toDF("a", "sa"), "a").select("a", "b", "sa", "sb")
-    return checkpointed(joined.mapInArrow(exact, "a long, b long").distinct())
+    return compact(joined.mapInArrow(exact, "a long, b long"))[0].distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
     """node, component (smallest node reachable) for the nodes of ``edges`` (a, b)."""
-    e = checkpointed(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
+    e, n = compact(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     while True:
-        both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = e.union(e.select("v", "u"))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).coalesce(n).distinct().coalesce(n)
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        new = checkpointed(small)
-        # a forest of stars: no centre is a leaf; then nothing changes any more
-        if new.join(new.select(F.col("u").alias("x")), new["v"] == F.col("x"), "left_semi").limit(1).count() == 0 and new.groupBy("u").agg(F.count("*").alias("k")).where("k > 1").limit(1).count() == 0:
-            return new.select(F.col("u").alias("node"), F.col("v").alias("component")).union(new.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
-        e = new
+        small = large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u <> v").coalesce(n).distinct()
+        e = checkpointed(small.coalesce(n))
+        # a forest of stars: every node has one centre, and no centre is a leaf; then nothing changes any more
+        leaves = e.groupBy("u").agg(F.count("*").alias("k")).coalesce(n)
+        if leaves.where("k > 1").limit(1).count() == 0 and e.join(leaves.select(F.col("u").alias("v")), "v", "left_semi").limit(1).count() == 0:
+            return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct().coalesce(n))
 
 
 def fits(a: str, b: str):
@@ -300,38 +331,97 @@ def fits(a: str, b: str):
     return (F.col(a) * PARTS >= F.col(b) * LEAST) & (F.col(b) * PARTS >= F.col(a) * LEAST)
 
 
+def across(rows: DataFrame, reps: DataFrame, best: bool) -> DataFrame:
+    """a, b: pairs of different components in one bucket that may link, or each member's closest only; rows: bucket, band, size, rep, n, c."""
+    chunks = F.ceil(F.col("size") / CHUNK).cast("int")
+    member = rows.join(reps.select("rep", "regs"), "rep").withColumn("chunk", F.pmod(F.xxhash64("rep"), chunks).cast("int"))
+    packs = checkpointed(member.groupBy("bucket", "band", "chunk").agg(F.collect_list(F.struct("rep", "n", "c", "regs")).alias("m"), F.any_value(chunks).alias("chunks")))
+    left = packs.select("bucket", "band", "m", F.explode(F.sequence("chunk", F.col("chunks") - 1)).alias("chunk"), F.col("chunk").alias("own"))
+    both = left.join(packs.select("bucket", "chunk", F.col("m").alias("o")), ["bucket", "chunk"]).select("band", (F.col("own") == F.col("chunk")).alias("same"), *[F.col(f"{x}.{f}").alias(x + f) for x in "mo" for f in ("rep", "n", "c", "regs")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                cell = {c: batch.column(c)[i] for c in batch.schema.names}
+                (ra, na, ca, ka), (rb, nb, cb, kb) = (
+                    (*(np.asarray(cell[x + f].values) for f in ("rep", "n", "c")), np.frombuffer(b"".join(cell[x + "regs"].as_py()), np.uint16).reshape(-1, REGISTERS)) for x in "mo"
+                )
+                band, same, ja, jb = cell["band"].as_py(), cell["same"].as_py(), [], []
+                top = np.full(len(rb), FEW_EQUAL - 1)
+                who = np.full(len(rb), -1)
+                for j in range(len(ra)):
+                    ok = (cb != ca[j]) & (PARTS * nb >= LEAST * na[j]) & (PARTS * na[j] >= LEAST * nb)
+                    if same:
+                        ok[: j + 1] = False
+                    at = np.flatnonzero(ok)
+                    if not len(at):
+                        continue
+                    equal = kb[at] == ka[j]
+                    n = equal.sum(1)
+                    if best:
+                        closer = n > top[at]
+                        top[at[closer]], who[at[closer]] = n[closer], j
+                        found = at[[n.argmax()]] if n.max() >= FEW_EQUAL else at[:0]
+                    else:
+                        # a pair is the business of the first band it shares
+                        found = at[(n >= FEW_EQUAL) & ~equal.reshape(-1, BANDS, BAND_ROWS)[:, :band].all(2).any(1)]
+                    ja.append(np.full(len(found), j))
+                    jb.append(found)
+                if best:
+                    ja.append(who[who >= 0])
+                    jb.append(np.flatnonzero(who >= 0))
+                ja, jb = np.concatenate(ja or [who[:0]]), np.concatenate(jb or [who[:0]])
+                for k in range(0, len(ja), 2000):
+                    x, y = ja[k : k + 2000], jb[k : k + 2000]
+                    may = estimate(ka[x], kb[y], na[x].astype(float), nb[y].astype(float)) >= LEAST_ESTIMATE
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ra[x], rb[y])[may]), pa.array(np.maximum(ra[x], rb[y])[may])], names=["a", "b"])
+        release()
+
+    # pairs whose first shared bucket is small have been through it
+    return both.mapInArrow(run, "a long, b long").distinct()
+
+
 def links(reps: DataFrame, docs: DataFrame) -> DataFrame:
     """a, b: enough verified links between representatives for all components."""
     rows = band_rows(reps)
     sizes = rows.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
-    shared = checkpointed(rows.join(sizes, "bucket"))
-    few = shared.where(F.col("size") <= SMALL_BUCKET).groupBy("bucket").agg(F.array_sort(F.collect_list(F.struct("rep", "n"))).alias("m"))
-    at = few.select(F.posexplode("m").alias("i", "x"), "m")
-    pairs = at.select(F.col("x.rep").alias("a"), F.col("x.n").alias("na"), F.explode(F.expr("slice(m, i + 2, size(m))")).alias("y")).select("a", F.col("y.rep").alias("b"), "na", F.col("y.n").alias("nb")).where(fits("na", "nb"))
-    found = verified(checkpointed(pairs.select("a", "b").distinct()), reps, docs)
-    many = shared.where(F.col("size") > SMALL_BUCKET).select("bucket", "rep", "n")
-    if many.limit(1).count() == 0:
-        return found
-    for step in range(PIVOT_ROUNDS + 1):
-        labelled = many.join(components(found).toDF("rep", "c"), "rep", "left").withColumn("c", F.coalesce("c", "rep"))
-        apart = labelled.groupBy("bucket").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.min_by(F.struct("rep", "n", "c"), F.xxhash64("rep", F.lit(step))).alias("p")).where("c0 <> c1")
-        open_ = checkpointed(labelled.join(apart.select("bucket", "p"), "bucket"))
+    shared, _ = compact(rows.join(sizes, "bucket"))
+    small, many = shared.where(F.col("size") <= SMALL_BUCKET), shared.where(F.col("size") > SMALL_BUCKET)
+
+    def members(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("bucket").agg(F.array_sort(F.collect_list(F.struct("rep", "n", "c"))).alias("m"))  # at most SMALL_BUCKET
+
+    def pairs(at: DataFrame) -> DataFrame:
+        """(a, b) of rows (x, rest): x with each of the rest that its size and component allow."""
+        one = at.select(F.col("x.rep").alias("a"), F.col("x.n").alias("na"), F.col("x.c").alias("ca"), F.explode("rest").alias("y"))
+        one = one.select("a", "na", "ca", F.col("y.rep").alias("b"), F.col("y.n").alias("nb"), F.col("y.c").alias("cb"))
+        return one.where(fits("na", "nb") & (F.col("ca") != F.col("cb"))).select("a", "b").distinct()
+
+    def apart(rows: DataFrame, found: DataFrame) -> DataFrame:
+        """The rows of buckets that still hold several components, with the component c of each."""
+        labelled = rows.join(components(found).toDF("rep", "c"), "rep", "left").withColumn("c", F.coalesce("c", "rep"))
+        several = labelled.groupBy("bucket").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1")
+        return compact(labelled.join(several.select("bucket"), "bucket", "left_semi"))[0]
+
+    stars = members(small.withColumn("c", F.col("rep"))).select(F.col("m")[0].alias("x"), F.expr("slice(m, 2, size(m))").alias("rest"))
+    found = verified(likely(pairs(stars), reps), docs)
+    for _ in range(BEST_ROUNDS):
+        open_ = apart(many, found)
         if open_.limit(1).count() == 0:
             break
-        if step < PIVOT_ROUNDS:
-            new = open_.where((F.col("c") != F.col("p.c")) & (F.col("n") * PARTS >= F.col("p.n") * LEAST) & (F.col("p.n") * PARTS >= F.col("n") * LEAST)).select(F.least("rep", "p.rep").alias("a"), F.greatest("rep", "p.rep").alias("b"))
-        else:
-            left, right = (open_.select("bucket", F.col("rep").alias(f"r{s}"), F.col("n").alias(f"n{s}"), F.col("c").alias(f"c{s}")) for s in "ab")
-            new = left.join(right, "bucket").where((F.col("ca") < F.col("cb")) & fits("na", "nb")).select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"))
-        fresh = checkpointed(new.distinct())
-        found = checkpointed(found.union(verified(fresh, reps, docs)))
-    return found
+        found = compact(found.union(verified(across(open_, reps, True), docs)))[0]
+    open_ = apart(shared, found)
+    if open_.limit(1).count() == 0:
+        return found
+    within = members(open_.where(F.col("size") <= SMALL_BUCKET)).select(F.posexplode("m").alias("i", "x"), "m").select("x", F.expr("slice(m, i + 2, size(m))").alias("rest"))
+    close = likely(pairs(within), reps).union(across(open_.where(F.col("size") > SMALL_BUCKET), reps, False)).distinct()
+    return compact(found.union(verified(close, docs)))[0]
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row."""
     sketched = checkpointed(sketches(docs))
-    reps = checkpointed(sketched.where("n > 0").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep"), F.any_value("regs").alias("regs")))
+    reps, _ = compact(sketched.where("n > 0").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep"), F.any_value("regs").alias("regs")), REGISTER_ROWS)
     found = components(links(reps.where("rep is not null"), docs)).toDF("rep", "component")
     classes = reps.select("k1", "k2", "n", "rep").join(found, "rep", "left").select("k1", "k2", "n", F.coalesce("component", "rep").alias("component"))
     out = sketched.select("doc_id", "n", "k1", "k2").join(classes, ["k1", "k2", "n"], "left")

@@ -49,10 +49,10 @@ def near_texts():
     return texts | {500: None, 501: "", 502: " \n", 503: "one", 504: "ONE", 505: "a b c d", 506: "A b c d"}
 
 
-@pytest.mark.parametrize("small, rounds, chunk", [(16, 3, 512), (2, 0, 4), (2, 1, 3)])
+@pytest.mark.parametrize("small, rounds, chunk", [(16, 2, 512), (2, 0, 4), (2, 2, 3)])
 def test_near_duplicates(spark, monkeypatch, small, rounds, chunk):
     monkeypatch.setattr(near_dup, "SMALL_BUCKET", small)
-    monkeypatch.setattr(near_dup, "PIVOT_ROUNDS", rounds)
+    monkeypatch.setattr(near_dup, "BEST_ROUNDS", rounds)
     monkeypatch.setattr(near_dup, "CHUNK", chunk)
     texts = near_texts()
     d = spark.createDataFrame([*texts.items(), (0, texts[0])], "doc_id long, text string").withColumn("n", F.lit("clash"))
