@@ -43,12 +43,12 @@ LEAST, PARTS = 85, 100
 BANDS, BAND_ROWS = 24, 5
 REGISTERS = BANDS * BAND_ROWS
 BASE, RATE, LIMIT = 1.001, 20.0, 65534
-#: Pairs whose likelihood estimate is below this lie over four standard deviations under the least similarity.
-LEAST_ESTIMATE = 0.70
+#: Pairs whose likelihood estimate is below this lie six standard deviations under the least similarity.
+LEAST_ESTIMATE = 0.65
 SMALL_BUCKET = 16
 BEST_ROUNDS = 2
-#: Equal registers below which an estimate isn't worth its time; a similarity of LEAST_ESTIMATE gives 84.
-FEW_EQUAL = 66
+#: Equal registers below which an estimate isn't worth its time; a similarity of LEAST_ESTIMATE gives 78.
+FEW_EQUAL = 60
 #: Rows of an id table, and of a register table, for one task: small tables don't spread over all shuffle partitions.
 ID_ROWS, REGISTER_ROWS = 250_000, 20_000
 #: Members of a large bucket that are compared with as many others at a time (120 kB of registers on each side).
