@@ -13,7 +13,8 @@ calendar date (1900 to 2099), access key id and quoted token or key assignments.
 
 Defined results: a null text stays null, an empty text stays empty; texts are scanned whole;
 values that fail validation stay as they are; overlapping candidates go to the first kind in
-the order above; repeated rows give equal results; columns other than text keep their values.
+the order above; a phone number ends before an address, a date or any other value behind it, and
+where its country fixes the number of digits, there; repeated rows give equal results; columns other than text keep their values.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ from .common import map_text, table
 ROUNDS = 8
 #: Stands in where no key is passed; a production run passes its own.
 DEMO_KEY = b"routeloom demonstration key"
+#: Country codes whose national numbers have one length.
+NATIONAL_DIGITS = {"1": 10, "7": 10, "31": 9, "33": 9, "34": 9, "41": 9, "45": 8, "47": 8, "48": 9, "52": 10, "61": 9, "65": 8, "91": 10, "351": 9, "420": 9, "852": 8}
 DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
 
@@ -151,6 +154,20 @@ def _phone(m: re.Match, permute: Permute) -> str | None:
     return m[1] + _put_digits(rest, f"{permute(f'phone{m[1]}{n}', 10**n, int(digits)):0{n}d}")
 
 
+def _phone_alone(m: re.Match, taken: list[tuple[int, int, str]]) -> re.Match | None:
+    """The phone number at the start of the match, without values behind it that the pattern took for more of its groups."""
+    text, start, code = m.string, m.start(), m[1][1:]
+    stop = min((a for a, b, _ in taken if b > start), default=len(text))
+    groups = [g.start() for g in re.finditer(r"(?<=\s)\d", m[0])]
+    # by their shapes, which pseudonyms keep
+    behind = min((start + g for g in groups if any(KINDS[k][0].match(text, start + g) for k in ("ip", "date"))), default=len(text))
+    ends = [m.end(), *sorted({start + g.start() for g in re.finditer(r"(?<=[\d)])[ .-]", m[0])}, reverse=True)]
+    found = [x for e in ends if e <= stop and (x := m.re.fullmatch(text, start, e)) and 7 <= sum(c in DIGITS for c in x[2]) <= 12]
+    found = [x for x in found if x.end() <= behind] or found
+    fixed = next((k + NATIONAL_DIGITS[code[:k]] for k in range(1, len(code) + 1) if code[:k] in NATIONAL_DIGITS), 0)
+    return next((x for x in found if sum(c in DIGITS for c in x[0]) == fixed), found[0] if found else None)
+
+
 def _ip(m: re.Match, permute: Permute) -> str | None:
     parts = [int(x) for x in m[0].split(".")]
     if max(parts) > 255 or any(len(x) > 1 and x[0] == "0" for x in m[0].split(".")):
@@ -239,6 +256,8 @@ class Pseudonymiser:
         taken: list[tuple[int, int, str]] = []
         for kind, (pattern, replace) in KINDS.items():
             for m in pattern.finditer(text):
+                if kind == "phone" and (m := _phone_alone(m, taken)) is None:
+                    continue
                 if any(a < m.end() and m.start() < b for a, b, _ in taken):
                     continue
                 new = replace(m, self.permute)
