@@ -15,12 +15,16 @@ from routeloom.llm import decontaminate, language_id, near_dup, pii, sentencepie
 from routeloom.llm.common import shared_folder, table
 
 
+#: Similarity of word shingles from which the pipeline drops near copies, in hundredths (op8's contract has 85).
+NEAR = 80
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return language_id.keep_known(docs)
 
 
 def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return near_dup.deduplicate(docs)
+    return near_dup.deduplicate(docs, NEAR)
 
 
 def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,9 +7,9 @@ so copies cost one row each whatever their number.
 
 Registers.  REGISTERS exponentially distributed minima of the set, on a logarithmic scale
 with base BASE and truncated to 0..LIMIT: register values are mergeable by maximum and equal
-with about the probability of the Jaccard similarity.  BANDS bands of BAND_ROWS registers
-give bucket keys; two documents at the least similarity share no bucket with a probability
-below 1e-6.
+with about the probability of the Jaccard similarity.  Bands of registers give bucket keys;
+their length follows from the least similarity (``level``), so that two documents at it share
+no bucket with a probability below 1e-6: 24 bands of 5 at 0.85, 30 of 4 at 0.8.
 
 Links.  A small bucket first pairs its members with its smallest id.  The members of a large
 bucket are compared in chunks of CHUNK, by their registers.  In BEST_ROUNDS rounds each member names its closest
@@ -27,8 +27,10 @@ blocks for hashing only; an empty table gives no rows; other columns are ignored
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -38,17 +40,12 @@ from pyspark.sql import functions as F
 from .common import checkpointed, map_text, release, table
 
 SHINGLE = 5
-#: Link when PARTS * intersection >= LEAST * union.
-LEAST, PARTS = 85, 100
-BANDS, BAND_ROWS = 24, 5
-REGISTERS = BANDS * BAND_ROWS
+PARTS = 100
+REGISTERS = 120
+MISS = 1e-6
 BASE, RATE, LIMIT = 1.001, 20.0, 65534
-#: Pairs whose likelihood estimate is below this lie six standard deviations under the least similarity.
-LEAST_ESTIMATE = 0.65
 SMALL_BUCKET = 16
 BEST_ROUNDS = 2
-#: Equal registers below which an estimate isn't worth its time; a similarity of LEAST_ESTIMATE gives 78.
-FEW_EQUAL = 60
 #: Rows of an id table, and of a register table, for one task: small tables don't spread over all shuffle partitions.
 ID_ROWS, REGISTER_ROWS = 250_000, 20_000
 #: Members of a large bucket that are compared with as many others at a time (120 kB of registers on each side).
@@ -65,6 +62,35 @@ _A = _rng.integers(1 << 31, 1 << 32, (2, REGISTERS), dtype=np.uint64).astype(np.
 _S = _rng.integers(0, 1 << 32, (2, REGISTERS), dtype=np.uint64).astype(np.uint32)
 
 
+class Level(NamedTuple):
+    """What follows from the least similarity, ``least`` hundredths: link when 100 * intersection >= least * union."""
+
+    least: int
+    #: bands * band_rows = REGISTERS.
+    bands: int
+    band_rows: int
+    #: Pairs whose likelihood estimate is below this lie six standard deviations under the least similarity.
+    least_estimate: float
+    #: Equal registers below which an estimate isn't worth its time; far fewer than least_estimate gives.
+    few_equal: int
+
+
+@cache
+def level(least: int) -> Level:
+    """The longest bands in which two documents at the least similarity share no bucket with a probability below MISS."""
+    if not 30 <= least <= 100:
+        raise ValueError("the least similarity must be 30 to 100 hundredths")
+    j = least / 100
+    rows = max(r for r in range(1, REGISTERS + 1) if REGISTERS % r == 0 and (1 - j**r) ** (REGISTERS // r) < MISS)
+    estimate_ = math.floor(100 * (j - 6 * math.sqrt(j * (1 - j) / REGISTERS)) + 1e-9) / 100
+    return Level(least, REGISTERS // rows, rows, estimate_, max(1, math.floor(REGISTERS * (estimate_ - 0.15) + 1e-9)))
+
+
+#: Of op8.
+CONTRACT = level(85)
+LEAST_ESTIMATE = CONTRACT.least_estimate
+
+
 def compact(df: DataFrame, rows_per_task: int = ID_ROWS) -> tuple[DataFrame, int]:
     """The table behind a lineage cut, in as many partitions as its rows need, and that number."""
     cut = checkpointed(df)
@@ -198,18 +224,18 @@ def sketches(docs: DataFrame) -> DataFrame:
     return map_text(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, n long, k1 long, k2 long, regs binary", limit=BLOCK)
 
 
-def band_rows(reps: DataFrame) -> DataFrame:
-    """bucket, band, rep, n: BANDS rows for each representative."""
+def band_rows(reps: DataFrame, at: Level) -> DataFrame:
+    """bucket, band, rep, n: a row for each band of each representative."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            regs = np.frombuffer(b"".join(batch.column("regs").to_pylist()), np.uint16).reshape(-1, BANDS, BAND_ROWS).astype(U64)
-            key = np.broadcast_to(np.arange(1, BANDS + 1, dtype=U64), regs.shape[:2]).copy()
-            for k in range(BAND_ROWS):
+            regs = np.frombuffer(b"".join(batch.column("regs").to_pylist()), np.uint16).reshape(-1, at.bands, at.band_rows).astype(U64)
+            key = np.broadcast_to(np.arange(1, at.bands + 1, dtype=U64), regs.shape[:2]).copy()
+            for k in range(at.band_rows):
                 key = mix(key * _M + regs[:, :, k])
-            yield pa.RecordBatch.from_arrays([pa.array(key.reshape(-1).view(np.int64)), pa.array(np.tile(np.arange(BANDS, dtype=np.int32), batch.num_rows)), pa.array(np.repeat(np.asarray(batch.column("rep")), BANDS)), pa.array(np.repeat(np.asarray(batch.column("n")), BANDS))], names=["bucket", "band", "rep", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(key.reshape(-1).view(np.int64)), pa.array(np.tile(np.arange(at.bands, dtype=np.int32), batch.num_rows)), pa.array(np.repeat(np.asarray(batch.column("rep")), at.bands)), pa.array(np.repeat(np.asarray(batch.column("n")), at.bands))], names=["bucket", "band", "rep", "n"])
 
     return reps.select("rep", "n", "regs").mapInArrow(run, "bucket long, band int, rep long, n long")
 
@@ -264,7 +290,7 @@ def without(docs: DataFrame, removed: DataFrame) -> DataFrame:
     return part(False).unionByName(part(True).join(removed.select("doc_id").distinct(), "doc_id", "left_anti").select(*[f"`{c}`" for c in docs.columns]))
 
 
-def likely(pairs: DataFrame, reps: DataFrame) -> DataFrame:
+def likely(pairs: DataFrame, reps: DataFrame, at: Level = CONTRACT) -> DataFrame:
     """The pairs (a, b) whose estimate allows a link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -273,7 +299,7 @@ def likely(pairs: DataFrame, reps: DataFrame) -> DataFrame:
                 continue
             ka, kb = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint16).reshape(-1, REGISTERS) for c in ("ra", "rb"))
             na, nb = (np.asarray(b.column(c)).astype(float) for c in ("na", "nb"))
-            ok = [estimate(ka[i : i + 2000], kb[i : i + 2000], na[i : i + 2000], nb[i : i + 2000]) >= LEAST_ESTIMATE for i in range(0, b.num_rows, 2000)]
+            ok = [estimate(ka[i : i + 2000], kb[i : i + 2000], na[i : i + 2000], nb[i : i + 2000]) >= at.least_estimate for i in range(0, b.num_rows, 2000)]
             yield b.select(["a", "b"]).filter(pa.array(np.concatenate(ok)))
         release()
 
@@ -282,7 +308,7 @@ def likely(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     return with_regs.mapInArrow(run, "a long, b long")
 
 
-def verified(close: DataFrame, docs: DataFrame) -> DataFrame:
+def verified(close: DataFrame, docs: DataFrame, at: Level) -> DataFrame:
     """The pairs (a, b) that link by their full sets."""
     close, n = compact(close)
     wanted = close.select(F.col("a").alias("rep")).union(close.select("b")).distinct().coalesce(n)
@@ -301,7 +327,7 @@ def verified(close: DataFrame, docs: DataFrame) -> DataFrame:
             for x, y in zip(b.column("sa"), b.column("sb")):
                 x, y = np.frombuffer(x.as_buffer(), U64), np.frombuffer(y.as_buffer(), U64)
                 both = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(PARTS * both >= LEAST * (len(x) + len(y) - both))
+                ok.append(PARTS * both >= at.least * (len(x) + len(y) - both))
             yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
         release()
 
@@ -326,12 +352,12 @@ def components(edges: DataFrame) -> DataFrame:
             return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct().coalesce(n))
 
 
-def fits(a: str, b: str):
+def fits(a: str, b: str, at: Level):
     """Whether two set sizes allow the least similarity."""
-    return (F.col(a) * PARTS >= F.col(b) * LEAST) & (F.col(b) * PARTS >= F.col(a) * LEAST)
+    return (F.col(a) * PARTS >= F.col(b) * at.least) & (F.col(b) * PARTS >= F.col(a) * at.least)
 
 
-def across(rows: DataFrame, reps: DataFrame, best: bool) -> DataFrame:
+def across(rows: DataFrame, reps: DataFrame, best: bool, level_: Level) -> DataFrame:
     """a, b: pairs of different components in one bucket that may link, or each member's closest only; rows: bucket, band, size, rep, n, c."""
     chunks = F.ceil(F.col("size") / CHUNK).cast("int")
     member = rows.join(reps.select("rep", "regs"), "rep").withColumn("chunk", F.pmod(F.xxhash64("rep"), chunks).cast("int"))
@@ -347,10 +373,10 @@ def across(rows: DataFrame, reps: DataFrame, best: bool) -> DataFrame:
                     (*(np.asarray(cell[x + f].values) for f in ("rep", "n", "c")), np.frombuffer(b"".join(cell[x + "regs"].as_py()), np.uint16).reshape(-1, REGISTERS)) for x in "mo"
                 )
                 band, same, ja, jb = cell["band"].as_py(), cell["same"].as_py(), [], []
-                top = np.full(len(rb), FEW_EQUAL - 1)
+                top = np.full(len(rb), level_.few_equal - 1)
                 who = np.full(len(rb), -1)
                 for j in range(len(ra)):
-                    ok = (cb != ca[j]) & (PARTS * nb >= LEAST * na[j]) & (PARTS * na[j] >= LEAST * nb)
+                    ok = (cb != ca[j]) & (PARTS * nb >= level_.least * na[j]) & (PARTS * na[j] >= level_.least * nb)
                     if same:
                         ok[: j + 1] = False
                     at = np.flatnonzero(ok)
@@ -361,10 +387,10 @@ def across(rows: DataFrame, reps: DataFrame, best: bool) -> DataFrame:
                     if best:
                         closer = n > top[at]
                         top[at[closer]], who[at[closer]] = n[closer], j
-                        found = at[[n.argmax()]] if n.max() >= FEW_EQUAL else at[:0]
+                        found = at[[n.argmax()]] if n.max() >= level_.few_equal else at[:0]
                     else:
                         # a pair is the business of the first band it shares
-                        found = at[(n >= FEW_EQUAL) & ~equal.reshape(-1, BANDS, BAND_ROWS)[:, :band].all(2).any(1)]
+                        found = at[(n >= level_.few_equal) & ~equal.reshape(-1, level_.bands, level_.band_rows)[:, :band].all(2).any(1)]
                     ja.append(np.full(len(found), j))
                     jb.append(found)
                 if best:
@@ -373,7 +399,7 @@ def across(rows: DataFrame, reps: DataFrame, best: bool) -> DataFrame:
                 ja, jb = np.concatenate(ja or [who[:0]]), np.concatenate(jb or [who[:0]])
                 for k in range(0, len(ja), 2000):
                     x, y = ja[k : k + 2000], jb[k : k + 2000]
-                    may = estimate(ka[x], kb[y], na[x].astype(float), nb[y].astype(float)) >= LEAST_ESTIMATE
+                    may = estimate(ka[x], kb[y], na[x].astype(float), nb[y].astype(float)) >= level_.least_estimate
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ra[x], rb[y])[may]), pa.array(np.maximum(ra[x], rb[y])[may])], names=["a", "b"])
         release()
 
@@ -381,9 +407,9 @@ def across(rows: DataFrame, reps: DataFrame, best: bool) -> DataFrame:
     return both.mapInArrow(run, "a long, b long").distinct()
 
 
-def links(reps: DataFrame, docs: DataFrame) -> DataFrame:
+def links(reps: DataFrame, docs: DataFrame, level_: Level) -> DataFrame:
     """a, b: enough verified links between representatives for all components."""
-    rows = band_rows(reps)
+    rows = band_rows(reps, level_)
     sizes = rows.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
     shared, _ = compact(rows.join(sizes, "bucket"))
     small, many = shared.where(F.col("size") <= SMALL_BUCKET), shared.where(F.col("size") > SMALL_BUCKET)
@@ -395,7 +421,7 @@ def links(reps: DataFrame, docs: DataFrame) -> DataFrame:
         """(a, b) of rows (x, rest): x with each of the rest that its size and component allow."""
         one = at.select(F.col("x.rep").alias("a"), F.col("x.n").alias("na"), F.col("x.c").alias("ca"), F.explode("rest").alias("y"))
         one = one.select("a", "na", "ca", F.col("y.rep").alias("b"), F.col("y.n").alias("nb"), F.col("y.c").alias("cb"))
-        return one.where(fits("na", "nb") & (F.col("ca") != F.col("cb"))).select("a", "b").distinct()
+        return one.where(fits("na", "nb", level_) & (F.col("ca") != F.col("cb"))).select("a", "b").distinct()
 
     def apart(rows: DataFrame, found: DataFrame) -> DataFrame:
         """The rows of buckets that still hold several components, with the component c of each."""
@@ -404,35 +430,35 @@ def links(reps: DataFrame, docs: DataFrame) -> DataFrame:
         return compact(labelled.join(several.select("bucket"), "bucket", "left_semi"))[0]
 
     stars = members(small.withColumn("c", F.col("rep"))).select(F.col("m")[0].alias("x"), F.expr("slice(m, 2, size(m))").alias("rest"))
-    found = verified(likely(pairs(stars), reps), docs)
+    found = verified(likely(pairs(stars), reps, level_), docs, level_)
     for _ in range(BEST_ROUNDS):
         open_ = apart(many, found)
         if open_.limit(1).count() == 0:
             break
-        found = compact(found.union(verified(across(open_, reps, True), docs)))[0]
+        found = compact(found.union(verified(across(open_, reps, True, level_), docs, level_)))[0]
     open_ = apart(shared, found)
     if open_.limit(1).count() == 0:
         return found
     within = members(open_.where(F.col("size") <= SMALL_BUCKET)).select(F.posexplode("m").alias("i", "x"), "m").select("x", F.expr("slice(m, i + 2, size(m))").alias("rest"))
-    close = likely(pairs(within), reps).union(across(open_.where(F.col("size") > SMALL_BUCKET), reps, False)).distinct()
-    return compact(found.union(verified(close, docs)))[0]
+    close = likely(pairs(within), reps, level_).union(across(open_.where(F.col("size") > SMALL_BUCKET), reps, False, level_)).distinct()
+    return compact(found.union(verified(close, docs, level_)))[0]
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row."""
+def near_duplicates(docs: DataFrame, least: int = CONTRACT.least) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every row; ``least`` is the similarity that links, in hundredths."""
     sketched = checkpointed(sketches(docs))
     reps, _ = compact(sketched.where("n > 0").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep"), F.any_value("regs").alias("regs")), REGISTER_ROWS)
-    found = components(links(reps.where("rep is not null"), docs)).toDF("rep", "component")
+    found = components(links(reps.where("rep is not null"), docs, level(least))).toDF("rep", "component")
     classes = reps.select("k1", "k2", "n", "rep").join(found, "rep", "left").select("k1", "k2", "n", F.coalesce("component", "rep").alias("component"))
     out = sketched.select("doc_id", "n", "k1", "k2").join(classes, ["k1", "k2", "n"], "left")
     component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
-def deduplicate(docs: DataFrame) -> DataFrame:
+def deduplicate(docs: DataFrame, least: int = CONTRACT.least) -> DataFrame:
     """The rows of ``docs`` but those whose class has a smaller id; rows without an id stay."""
-    return without(docs, checkpointed(near_duplicates(docs).where("not kept and doc_id is not null").select("doc_id")))
+    return without(docs, checkpointed(near_duplicates(docs, least).where("not kept and doc_id is not null").select("doc_id")))
 
 
 def op8_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents"), CONTRACT.least)
