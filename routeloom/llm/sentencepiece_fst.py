@@ -1,7 +1,7 @@
 """SentencePiece encoding and decoding as a weighted finite-state transducer.
 
-Compilation.  The model file is read once on the driver.  The normaliser (dummy prefix,
-space to U+2581, optional removal of extra spaces) is a character transducer.  The piece
+Compilation.  The model file is read once on the driver.  The normaliser does dummy prefix,
+space to U+2581 and optional removal of extra spaces.  The piece
 machine has one state per piece just emitted; an arc leads from piece ``a`` to piece ``b``
 reading the characters of ``b``.  For a BPE model the arc exists only if the merges keep
 the border between ``a`` and ``b``, that is if merging the two strings together ends in
@@ -12,7 +12,9 @@ UTF-8 byte and costs more than any piece.  For a unigram model every arc exists
 the negated piece score.
 
 Composition.  Each input is composed with the machine as a lattice over (position, last
-piece) and the path of least cost in the tropical semiring is taken.  No piece holds a
+piece).  For a unigram model the path of least cost in the tropical semiring is taken.  A BPE
+lattice has one path only, so no weights are read there: it is searched longest piece first,
+with steps back.  The normaliser is plain code, not a compiled machine.  No piece holds a
 U+2581 after another character, so the lattice falls apart at those places (and at
 characters which no longer piece holds); the parts are solved on their own and memoised in
 a dictionary of bounded size.  The parts are local, hence long texts need no more memory
@@ -202,7 +204,7 @@ class Transducer:
             yield text[at], FALLBACK_COST
 
     def shortest(self, text: str) -> list[str]:
-        """Pieces on the tropical shortest path of ``text`` composed with the machine."""
+        """Pieces on the path of ``text`` composed with the machine: the only one for BPE, else the tropical shortest."""
         n = len(text)
         if self.bpe:
             return self._only_path(text)
