@@ -108,7 +108,7 @@ def roots(records: DataFrame, id_col: str = "page_id", uri_col: str = "url", pay
 
 
 def write_warc(records: DataFrame, path: str, id_col: str = "page_id", uri_col: str = "url", payload_col: str = "html") -> None:
-    """One gzip member for each record, SEGMENT ids to a folder; Spark's text writer keeps the bytes of a record together."""
+    """One gzip stream for each file, SEGMENT ids to a folder; records can't be read by offset, and damage to a file loses what is behind it."""
     text = record_text(F.col(uri_col), F.col(payload_col))
     # the writer ends each record with the line break that is taken off here
     with_segment = records.select(F.coalesce(F.floor(F.col(id_col) / SEGMENT), F.lit(-1)).alias("segment"), F.col(id_col).alias("k"), F.substring(text, F.lit(1), F.length(text) - 2).alias("value"))
