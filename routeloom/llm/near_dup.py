@@ -11,14 +11,19 @@ with about the probability of the Jaccard similarity.  Bands of registers give b
 their length follows from the least similarity (``level``), so that two documents at it share
 no bucket with a probability below 1e-6: 24 bands of 5 at 0.85, 30 of 4 at 0.8.
 
-Links.  A small bucket first pairs its members with its smallest id.  The members of a large
-bucket are compared in chunks of CHUNK, by their registers.  In BEST_ROUNDS rounds each member names its closest
-partner of another component; such links join a group of near copies through its centre, and
-what is in one component needs no link among itself any more.  After that every pair between
-components that may link is taken, from large buckets at the first band it shares.  A pair may link if the maximum likelihood estimate from
-its registers and the set sizes allows it; such pairs are verified on their full sets.  Components come
-from alternating large-star and small-star steps.  No pairs of copies are formed, nothing is
-sampled or capped, and nothing but a Bloom filter of fixed size goes through the driver.
+Links.  Each bucket has a pivot, the member that shares most with others; a group of near
+copies so has few pivots in all its bands.  Every member of a bucket is paired with the pivot
+once: pairs whose joint maximum likelihood estimate from registers and set sizes allows a link
+are verified on their full sets, and the symmetric difference of the two sets is kept.  The
+members of a pivot form its cluster, so any two members of one bucket meet in a cluster.
+Where a cluster still holds several components, its members are compared pack by pack inside
+one task: the estimate first, then the exact similarity from the differences alone, since
+X ^ Y = (X ^ P) ^ (Y ^ P).  Two packs meet only if the sizes of their sets and differences allow
+a link and they aren't of one and the same component; a task gives back a spanning forest of
+the links that it found, never pairs.  One such pass is complete.  Components come from
+alternating large-star and small-star steps.  Nothing is sampled or capped, and nothing but a
+Bloom filter of fixed size goes through the driver.  Texts are read twice: for registers, and
+for the full sets of those that share a bucket.
 
 Defined results: null text and text without words have an empty set (0 shingles) and are
 linked with nothing; rows that repeat an id share its class; very long texts are cut into
@@ -44,12 +49,12 @@ PARTS = 100
 REGISTERS = 120
 MISS = 1e-6
 BASE, RATE, LIMIT = 1.001, 20.0, 65534
-SMALL_BUCKET = 16
-BEST_ROUNDS = 2
 #: Rows of an id table, and of a register table, for one task: small tables don't spread over all shuffle partitions.
 ID_ROWS, REGISTER_ROWS = 250_000, 20_000
-#: Members of a large bucket that are compared with as many others at a time (120 kB of registers on each side).
-CHUNK = 512
+#: Members, and elements of their differences, in one pack: two packs are compared in one task (4 MB of elements).
+CHUNK, CHUNK_ELEMENTS = 512, 1 << 18
+#: Members that meet one copy of their pivot's set.
+SALT = 2048
 #: Bits of the Bloom filter: eight for each id, from 2 ** 20 to 2 ** 30 (128 MB); past that more rows pass, and the joins behind it stay exact.
 BLOOM_LEAST, BLOOM_MOST = 20, 30
 #: Bytes of text hashed at a time; some fifteen arrays of eight bytes for each stand beside it.
@@ -225,7 +230,7 @@ def sketches(docs: DataFrame) -> DataFrame:
 
 
 def band_rows(reps: DataFrame, at: Level) -> DataFrame:
-    """bucket, band, rep, n: a row for each band of each representative."""
+    """bucket, rep: a row for each band of each representative."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -235,9 +240,9 @@ def band_rows(reps: DataFrame, at: Level) -> DataFrame:
             key = np.broadcast_to(np.arange(1, at.bands + 1, dtype=U64), regs.shape[:2]).copy()
             for k in range(at.band_rows):
                 key = mix(key * _M + regs[:, :, k])
-            yield pa.RecordBatch.from_arrays([pa.array(key.reshape(-1).view(np.int64)), pa.array(np.tile(np.arange(at.bands, dtype=np.int32), batch.num_rows)), pa.array(np.repeat(np.asarray(batch.column("rep")), at.bands)), pa.array(np.repeat(np.asarray(batch.column("n")), at.bands))], names=["bucket", "band", "rep", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(key.reshape(-1).view(np.int64)), pa.array(np.repeat(np.asarray(batch.column("rep")), at.bands))], names=["bucket", "rep"])
 
-    return reps.select("rep", "n", "regs").mapInArrow(run, "bucket long, band int, rep long, n long")
+    return reps.select("rep", "regs").mapInArrow(run, "bucket long, rep long")
 
 
 class Bloom:
@@ -290,50 +295,174 @@ def without(docs: DataFrame, removed: DataFrame) -> DataFrame:
     return part(False).unionByName(part(True).join(removed.select("doc_id").distinct(), "doc_id", "left_anti").select(*[f"`{c}`" for c in docs.columns]))
 
 
-def likely(pairs: DataFrame, reps: DataFrame, at: Level = CONTRACT) -> DataFrame:
-    """The pairs (a, b) whose estimate allows a link."""
+def may_link(ka: np.ndarray, kb: np.ndarray, na: np.ndarray, nb: np.ndarray, at: Level = CONTRACT) -> np.ndarray:
+    """Of rows of register pairs and set sizes: whether the estimate allows a link."""
+    ok = [estimate(ka[i : i + 2000], kb[i : i + 2000], na[i : i + 2000].astype(float), nb[i : i + 2000].astype(float)) >= at.least_estimate for i in range(0, len(ka), 2000)]
+    return np.concatenate(ok) if ok else np.zeros(0, bool)
+
+
+def full_sets(ids: DataFrame, docs: DataFrame) -> DataFrame:
+    """rep, shingles (sorted hashes) of the documents in column rep of ``ids``, and of some more that pass the filter."""
+    shared = docs.sparkSession.sparkContext.broadcast(Bloom.of(ids.select("rep")))
+
+    def to_sets(batch: pa.RecordBatch) -> pa.RecordBatch:
+        batch = batch.filter(pa.array(shared.value.may_hold(batch.column("doc_id"))))
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([x.tobytes() for x in shingle_sets(batch.column("text").to_pylist())], pa.binary())], names=["rep", "shingles"])
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return checkpointed(map_text(texts, to_sets, "rep long, shingles binary", limit=BLOCK))
+
+
+def differences(pairs: DataFrame, reps: DataFrame, docs: DataFrame, at: Level) -> DataFrame:
+    """pivot, rep, n, regs, d (symmetric difference of the two sets), link of every (pivot, rep)."""
+    ids, n = compact(pairs.select("rep").union(pairs.select("pivot")).distinct())
+    sets = full_sets(ids, docs).dropDuplicates(["rep"]).join(reps.select("rep", "n", "regs"), "rep")
+    salts = F.ceil(F.col("members") / SALT).cast("int")
+    members = pairs.join(pairs.groupBy("pivot").agg(F.count("*").alias("members")).coalesce(n), "pivot").withColumn("salt", F.pmod(F.xxhash64("rep"), salts).cast("int"))
+    centres = members.select("pivot", "salt").distinct().join(sets.toDF("pivot", "ps", "pn", "pregs"), "pivot")
+    both = members.join(sets, "rep").select("pivot", "salt", "rep", "n", "regs", "shingles").join(centres, ["pivot", "salt"]).drop("salt")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
-            ka, kb = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint16).reshape(-1, REGISTERS) for c in ("ra", "rb"))
-            na, nb = (np.asarray(b.column(c)).astype(float) for c in ("na", "nb"))
-            ok = [estimate(ka[i : i + 2000], kb[i : i + 2000], na[i : i + 2000], nb[i : i + 2000]) >= at.least_estimate for i in range(0, b.num_rows, 2000)]
-            yield b.select(["a", "b"]).filter(pa.array(np.concatenate(ok)))
+            ka, kb = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint16).reshape(-1, REGISTERS) for c in ("regs", "pregs"))
+            may = may_link(ka, kb, np.asarray(b.column("n")), np.asarray(b.column("pn")), at)
+            apart, ok = [], []
+            for x, y, m in zip(b.column("shingles"), b.column("ps"), may):
+                x, y = np.frombuffer(x.as_buffer(), U64), np.frombuffer(y.as_buffer(), U64)
+                d = np.setxor1d(x, y, assume_unique=True)
+                both_ = len(x) + len(y) - len(d)  # twice the intersection
+                ok.append(bool(m) and both_ * (PARTS + at.least) >= 2 * at.least * (len(x) + len(y)))
+                apart.append(d.tobytes())
+            yield pa.RecordBatch.from_arrays([b.column("pivot"), b.column("rep"), b.column("n"), b.column("regs"), pa.array(apart, pa.binary()), pa.array(ok, pa.bool_())], names=["pivot", "rep", "n", "regs", "d", "link"])
         release()
 
-    r = reps.select("rep", "regs", "n")
-    with_regs = pairs.join(r.toDF("a", "ra", "na"), "a").join(r.toDF("b", "rb", "nb"), "b").select("a", "b", "ra", "rb", "na", "nb")
-    return with_regs.mapInArrow(run, "a long, b long")
+    return checkpointed(both.mapInArrow(run, "pivot long, rep long, n long, regs binary, d binary, link boolean"))
+
+
+def shared_counts(da: np.ndarray, la: np.ndarray, db: np.ndarray, lb: np.ndarray) -> np.ndarray:
+    """How many elements each set of one side has in common with each of the other; sets are runs of ``la`` (``lb``) elements in ``da`` (``db``)."""
+    a, b = len(la), len(lb)
+    out, common = np.zeros(a * b, np.int64), np.intersect1d(da, db)
+    if not len(common):
+        return out.reshape(a, b)
+
+    def entries(d, lengths):
+        """Set and column of the elements that both sides have, by column; number of entries and first entry of each column."""
+        at = np.searchsorted(common, d)
+        hit = common[np.minimum(at, len(common) - 1)] == d
+        who, at = np.repeat(np.arange(len(lengths)), lengths)[hit], at[hit]
+        order = np.argsort(at, kind="stable")
+        count = np.bincount(at, minlength=len(common))
+        return who[order], at[order], count, np.cumsum(count) - count
+
+    wa, ca, na, fa = entries(da, la)
+    wb, cb, nb, _ = entries(db, lb)
+    many = na * nb > max(16, a * b // 100)
+    few = ~many[cb]
+    wf, cf = wb[few], cb[few]
+    steps = np.concatenate([[0], np.cumsum(na[cf])])
+    at = 0
+    while at < len(wf):  # elements of few sets: each pair that shares one, a million pairs at a time
+        end = max(at + 1, int(np.searchsorted(steps, steps[at] + (1 << 20), "right")) - 1)
+        k = na[cf[at:end]]
+        nth = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
+        out += np.bincount(wa[np.repeat(fa[cf[at:end]], k) + nth] * b + np.repeat(wf[at:end], k), minlength=a * b)
+        at = end
+    out = out.reshape(a, b)
+    column = np.cumsum(many) - 1
+    for k in range(0, int(many.sum()), 2048):  # elements of many: a matrix product
+        ma, mb = np.zeros((a, 2048), np.float32), np.zeros((b, 2048), np.float32)
+        for m, who, at_ in ((ma, wa, ca), (mb, wb, cb)):
+            own = many[at_] & (column[at_] >= k) & (column[at_] < k + 2048)
+            m[who[own], column[at_[own]] - k] = 1
+        out += np.rint(ma @ mb.T).astype(np.int64)
+    return out
 
 
-def verified(close: DataFrame, docs: DataFrame, at: Level) -> DataFrame:
-    """The pairs (a, b) that link by their full sets."""
-    close, n = compact(close)
-    wanted = close.select(F.col("a").alias("rep")).union(close.select("b")).distinct().coalesce(n)
-    shared = docs.sparkSession.sparkContext.broadcast(Bloom.of(wanted))
+class Pack(NamedTuple):
+    rep: np.ndarray
+    n: np.ndarray
+    c: np.ndarray
+    regs: np.ndarray
+    d: np.ndarray
+    size: np.ndarray
+
+    def of(self, rows: np.ndarray) -> Pack:
+        """Some rows, in order."""
+        own = np.repeat(np.isin(np.arange(len(self.rep)), rows), self.size)
+        return Pack(self.rep[rows], self.n[rows], self.c[rows], self.regs[rows], self.d[own], self.size[rows])
+
+
+def forest(a: Pack, b: Pack, at: Level) -> list[tuple[int, int]]:
+    """Links between members of different components that connect all that link; ``a`` and ``b`` may be one pack."""
+    may = np.zeros((len(a.rep), len(b.rep)), bool)
+    for j in range(len(a.rep)):
+        some = np.flatnonzero((b.c != a.c[j]) & (PARTS * b.n >= at.least * a.n[j]) & (PARTS * a.n[j] >= at.least * b.n))
+        some = some[(b.regs[some] == a.regs[j]).sum(1) >= at.few_equal]
+        may[j, some] = may_link(np.broadcast_to(a.regs[j], (len(some), REGISTERS)), b.regs[some], np.full(len(some), a.n[j]), b.n[some], at)
+    rows, cols = np.flatnonzero(may.any(1)), np.flatnonzero(may.any(0))
+    if not len(rows):
+        return []
+    a, b = a.of(rows), b.of(cols)
+    both = a.n[:, None] + b.n[None, :]
+    twice = both - (a.size[:, None] + b.size[None, :] - 2 * shared_counts(a.d, a.size, b.d, b.size))
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := root.get(x, x)) != x:
+            root[x] = x = root.get(up, up)
+        return x
 
-    def to_sets(batch: pa.RecordBatch) -> pa.RecordBatch:
-        batch = batch.filter(pa.array(shared.value.may_hold(batch.column("doc_id"))))
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([x.tobytes() for x in shingle_sets(batch.column("text").to_pylist())], pa.binary())], names=["rep", "shingles"])
+    out = []
+    for i, j in zip(*np.nonzero(may[np.ix_(rows, cols)] & (twice * (PARTS + at.least) >= 2 * at.least * both))):
+        x, y = find(int(a.c[i])), find(int(b.c[j]))
+        if x != y:
+            root[x] = y
+            out.append((int(a.rep[i]), int(b.rep[j])))
+    return out
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sets = checkpointed(map_text(texts, to_sets, "rep long, shingles binary", limit=BLOCK))
 
-    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ok = []
-            for x, y in zip(b.column("sa"), b.column("sb")):
-                x, y = np.frombuffer(x.as_buffer(), U64), np.frombuffer(y.as_buffer(), U64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(PARTS * both >= at.least * (len(x) + len(y) - both))
-            yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+def across(members: DataFrame, at: Level) -> DataFrame:
+    """a, b: links between different components of one cluster; members: pivot, rep, n, regs, d, c, own (of the pivot's component)."""
+    t = at.least / PARTS
+    widest = (1 - t) / (1 + t)
+    size = (F.length("d") / 8).cast("long")
+    # sizes in one layer differ by a factor of t at most, and differences in one shell by what a link allows
+    layer = F.floor(F.log(F.col("n").cast("double")) / -math.log(min(t, 0.99)))
+    shell = F.floor(size / F.greatest(F.lit(1.0), 2 * widest * F.pow(F.lit(1 / min(t, 0.99)), F.col("layer") + 1)))
+    laid = members.withColumn("size", size).withColumn("layer", layer).withColumn("shell", shell)
+    cell = ["pivot", "own", "layer", "shell"]
+    parts = laid.groupBy(*cell).agg(F.greatest(F.ceil(F.count("*") / CHUNK), F.ceil(F.sum("size") / CHUNK_ELEMENTS)).alias("parts"))
+    dealt = laid.join(parts, cell).withColumn("chunk", F.pmod(F.xxhash64("rep"), F.greatest(F.lit(1), "parts")).cast("int"))
+    span = [f(k).alias(f"{f.__name__}_{k}") for k in ("n", "size", "c") for f in (F.min, F.max)]
+    packs = checkpointed(dealt.groupBy(*cell, "chunk").agg(F.collect_list(F.struct("rep", "n", "c", "regs", "d")).alias("m"), *span).select("pivot", F.struct("own", "layer", "shell", "chunk").alias("pack"), "m", "min_n", "max_n", "min_size", "max_size", "min_c", "max_c"))
+    spans = packs.drop("m")
+    x, y = (spans.select("pivot", *[F.col(k).alias(f"{side}_{k}") for k in spans.columns[1:]]) for side in "xy")
+    gap = F.greatest(F.col("x_min_size") - F.col("y_max_size"), F.col("y_min_size") - F.col("x_max_size"))
+    meet = x.join(y, "pivot").where(
+        (F.col("x_pack") <= F.col("y_pack"))
+        & ((F.col("x_min_c") != F.col("y_max_c")) | (F.col("x_max_c") != F.col("y_min_c")))
+        & (PARTS * F.col("x_max_n") >= at.least * F.col("y_min_n"))
+        & (PARTS * F.col("y_max_n") >= at.least * F.col("x_min_n"))
+        & (gap * (PARTS + at.least) <= (PARTS - at.least) * (F.col("x_max_n") + F.col("y_max_n")))
+    )
+    load = packs.select("pivot", "pack", "m")
+    both = meet.select("pivot", "x_pack", "y_pack").join(load.toDF("pivot", "x_pack", "x"), ["pivot", "x_pack"]).join(load.toDF("pivot", "y_pack", "y"), ["pivot", "y_pack"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                x, y = (
+                    Pack(*(np.asarray(batch.column(s + f)[i].values) for f in ("rep", "n", "c")), np.frombuffer(b"".join(batch.column(s + "regs")[i].as_py()), np.uint16).reshape(-1, REGISTERS), np.frombuffer(b"".join(ds := batch.column(s + "d")[i].as_py()), U64), np.array([len(d) // 8 for d in ds]))
+                    for s in "xy"
+                )
+                found = np.array(forest(x, y, at), np.int64).reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([pa.array(found.min(1)), pa.array(found.max(1))], names=["a", "b"])
         release()
 
-    # the many-sided key is joined last, so that the set of a group's centre meets its partners once
-    joined = close.join(sets.toDF("b", "sb"), "b").join(sets.toDF("a", "sa"), "a").select("a", "b", "sa", "sb")
-    return compact(joined.mapInArrow(exact, "a long, b long"))[0].distinct()
+    return both.select(*[F.col(f"{s}.{f}").alias(s + f) for s in "xy" for f in ("rep", "n", "c", "regs", "d")]).mapInArrow(run, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -352,96 +481,23 @@ def components(edges: DataFrame) -> DataFrame:
             return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct().coalesce(n))
 
 
-def fits(a: str, b: str, at: Level):
-    """Whether two set sizes allow the least similarity."""
-    return (F.col(a) * PARTS >= F.col(b) * at.least) & (F.col(b) * PARTS >= F.col(a) * at.least)
-
-
-def across(rows: DataFrame, reps: DataFrame, best: bool, level_: Level) -> DataFrame:
-    """a, b: pairs of different components in one bucket that may link, or each member's closest only; rows: bucket, band, size, rep, n, c."""
-    chunks = F.ceil(F.col("size") / CHUNK).cast("int")
-    member = rows.join(reps.select("rep", "regs"), "rep").withColumn("chunk", F.pmod(F.xxhash64("rep"), chunks).cast("int"))
-    packs = checkpointed(member.groupBy("bucket", "band", "chunk").agg(F.collect_list(F.struct("rep", "n", "c", "regs")).alias("m"), F.any_value(chunks).alias("chunks")))
-    left = packs.select("bucket", "band", "m", F.explode(F.sequence("chunk", F.col("chunks") - 1)).alias("chunk"), F.col("chunk").alias("own"))
-    both = left.join(packs.select("bucket", "chunk", F.col("m").alias("o")), ["bucket", "chunk"]).select("band", (F.col("own") == F.col("chunk")).alias("same"), *[F.col(f"{x}.{f}").alias(x + f) for x in "mo" for f in ("rep", "n", "c", "regs")])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                cell = {c: batch.column(c)[i] for c in batch.schema.names}
-                (ra, na, ca, ka), (rb, nb, cb, kb) = (
-                    (*(np.asarray(cell[x + f].values) for f in ("rep", "n", "c")), np.frombuffer(b"".join(cell[x + "regs"].as_py()), np.uint16).reshape(-1, REGISTERS)) for x in "mo"
-                )
-                band, same, ja, jb = cell["band"].as_py(), cell["same"].as_py(), [], []
-                top = np.full(len(rb), level_.few_equal - 1)
-                who = np.full(len(rb), -1)
-                for j in range(len(ra)):
-                    ok = (cb != ca[j]) & (PARTS * nb >= level_.least * na[j]) & (PARTS * na[j] >= level_.least * nb)
-                    if same:
-                        ok[: j + 1] = False
-                    at = np.flatnonzero(ok)
-                    if not len(at):
-                        continue
-                    equal = kb[at] == ka[j]
-                    n = equal.sum(1)
-                    if best:
-                        closer = n > top[at]
-                        top[at[closer]], who[at[closer]] = n[closer], j
-                        found = at[[n.argmax()]] if n.max() >= level_.few_equal else at[:0]
-                    else:
-                        # a pair is the business of the first band it shares
-                        found = at[(n >= level_.few_equal) & ~equal.reshape(-1, level_.bands, level_.band_rows)[:, :band].all(2).any(1)]
-                    ja.append(np.full(len(found), j))
-                    jb.append(found)
-                if best:
-                    ja.append(who[who >= 0])
-                    jb.append(np.flatnonzero(who >= 0))
-                ja, jb = np.concatenate(ja or [who[:0]]), np.concatenate(jb or [who[:0]])
-                for k in range(0, len(ja), 2000):
-                    x, y = ja[k : k + 2000], jb[k : k + 2000]
-                    may = estimate(ka[x], kb[y], na[x].astype(float), nb[y].astype(float)) >= level_.least_estimate
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ra[x], rb[y])[may]), pa.array(np.maximum(ra[x], rb[y])[may])], names=["a", "b"])
-        release()
-
-    # pairs whose first shared bucket is small have been through it
-    return both.mapInArrow(run, "a long, b long").distinct()
-
-
-def links(reps: DataFrame, docs: DataFrame, level_: Level) -> DataFrame:
+def links(reps: DataFrame, docs: DataFrame, at: Level) -> DataFrame:
     """a, b: enough verified links between representatives for all components."""
-    rows = band_rows(reps, level_)
+    rows = band_rows(reps, at)
     sizes = rows.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
-    shared, _ = compact(rows.join(sizes, "bucket"))
-    small, many = shared.where(F.col("size") <= SMALL_BUCKET), shared.where(F.col("size") > SMALL_BUCKET)
-
-    def members(rows: DataFrame) -> DataFrame:
-        return rows.groupBy("bucket").agg(F.array_sort(F.collect_list(F.struct("rep", "n", "c"))).alias("m"))  # at most SMALL_BUCKET
-
-    def pairs(at: DataFrame) -> DataFrame:
-        """(a, b) of rows (x, rest): x with each of the rest that its size and component allow."""
-        one = at.select(F.col("x.rep").alias("a"), F.col("x.n").alias("na"), F.col("x.c").alias("ca"), F.explode("rest").alias("y"))
-        one = one.select("a", "na", "ca", F.col("y.rep").alias("b"), F.col("y.n").alias("nb"), F.col("y.c").alias("cb"))
-        return one.where(fits("na", "nb", level_) & (F.col("ca") != F.col("cb"))).select("a", "b").distinct()
-
-    def apart(rows: DataFrame, found: DataFrame) -> DataFrame:
-        """The rows of buckets that still hold several components, with the component c of each."""
-        labelled = rows.join(components(found).toDF("rep", "c"), "rep", "left").withColumn("c", F.coalesce("c", "rep"))
-        several = labelled.groupBy("bucket").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1")
-        return compact(labelled.join(several.select("bucket"), "bucket", "left_semi"))[0]
-
-    stars = members(small.withColumn("c", F.col("rep"))).select(F.col("m")[0].alias("x"), F.expr("slice(m, 2, size(m))").alias("rest"))
-    found = verified(likely(pairs(stars), reps, level_), docs, level_)
-    for _ in range(BEST_ROUNDS):
-        open_ = apart(many, found)
-        if open_.limit(1).count() == 0:
-            break
-        found = compact(found.union(verified(across(open_, reps, True, level_), docs, level_)))[0]
-    open_ = apart(shared, found)
-    if open_.limit(1).count() == 0:
-        return found
-    within = members(open_.where(F.col("size") <= SMALL_BUCKET)).select(F.posexplode("m").alias("i", "x"), "m").select("x", F.expr("slice(m, i + 2, size(m))").alias("rest"))
-    close = likely(pairs(within), reps, level_).union(across(open_.where(F.col("size") > SMALL_BUCKET), reps, False, level_)).distinct()
-    return compact(found.union(verified(close, docs, level_)))[0]
+    shared, n = compact(rows.join(sizes, "bucket"))
+    weights = shared.groupBy("rep").agg(F.sum("size").alias("weight")).coalesce(n)
+    pivots = shared.join(weights, "rep").groupBy("bucket").agg(F.min(F.struct(-F.col("weight"), "rep"))["rep"].alias("pivot")).coalesce(n)
+    pairs = compact(shared.join(pivots, "bucket").where("rep <> pivot").select("pivot", "rep").distinct())[0]
+    apart = differences(pairs, reps, docs, at)
+    stars = compact(apart.where("link").select(F.col("pivot").alias("a"), F.col("rep").alias("b")))[0]
+    label = components(stars).toDF("rep", "c")
+    labelled = apart.select("pivot", "rep").join(label, "rep", "left").join(label.toDF("pivot", "pc"), "pivot", "left")
+    labelled = labelled.select("pivot", "rep", F.coalesce("c", "rep").alias("c"), F.coalesce("pc", "pivot").alias("pc"))
+    several = labelled.groupBy("pivot").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("pivot")
+    open_ = compact(labelled.join(several, "pivot", "left_semi"))[0]
+    members = apart.drop("link").join(open_, ["pivot", "rep"]).withColumn("own", F.col("c") == F.col("pc")).drop("pc")
+    return compact(stars.union(across(members, at)))[0]
 
 
 def near_duplicates(docs: DataFrame, least: int = CONTRACT.least) -> DataFrame:

@@ -49,11 +49,11 @@ def near_texts():
     return texts | {500: None, 501: "", 502: " \n", 503: "one", 504: "ONE", 505: "a b c d", 506: "A b c d"}
 
 
-@pytest.mark.parametrize("small, rounds, chunk", [(16, 2, 512), (2, 0, 4), (2, 2, 3)])
-def test_near_duplicates(spark, monkeypatch, small, rounds, chunk):
-    monkeypatch.setattr(near_dup, "SMALL_BUCKET", small)
-    monkeypatch.setattr(near_dup, "BEST_ROUNDS", rounds)
+@pytest.mark.parametrize("salt, chunk, elements", [(2048, 512, 1 << 18), (2, 4, 1 << 18), (3, 100, 64)])
+def test_near_duplicates(spark, monkeypatch, salt, chunk, elements):
+    monkeypatch.setattr(near_dup, "SALT", salt)
     monkeypatch.setattr(near_dup, "CHUNK", chunk)
+    monkeypatch.setattr(near_dup, "CHUNK_ELEMENTS", elements)
     texts = near_texts()
     d = spark.createDataFrame([*texts.items(), (0, texts[0])], "doc_id long, text string").withColumn("n", F.lit("clash"))
     got = near_dup.near_duplicates(d).collect()
@@ -66,6 +66,32 @@ def test_near_duplicates(spark, monkeypatch, small, rounds, chunk):
     assert kept.columns == d.columns and {r["doc_id"] for r in kept.collect()} == set(component.values())
 
 
+def test_group_of_near_copies_around_one_text(spark, monkeypatch):
+    """Many texts within reach of one centre, of each other, or of neither: chains that pivots alone don't see."""
+    monkeypatch.setattr(near_dup, "CHUNK", 16)
+    r, texts = random.Random(8), {}
+    base = words(r, 120, 9000)
+    for i in range(160):
+        w = list(base)
+        for _ in range(r.choice([1, 2, 3, 4, 6])):
+            w[r.randrange(len(w))] = f"x{r.randrange(12)}"
+        texts[i] = " ".join(w)
+        if r.random() < 0.3:
+            w[r.randrange(len(w))] = f"y{i}"
+            texts[1000 - i] = " ".join(w)
+    got = near_dup.near_duplicates(spark.createDataFrame([*texts.items()], "doc_id long, text string")).collect()
+    component, _ = brute_components(texts)
+    assert {x["doc_id"]: x["component_id"] for x in got} == component and 20 < len(set(component.values())) < 200
+
+
+def test_shared_counts_equal_brute_force():
+    r = np.random.default_rng(5)
+    for top in (10, 60, 100_000):
+        a, b = ([np.unique(r.integers(0, top, r.integers(0, 50))).astype(np.uint64) for _ in range(k)] for k in (23, 31))
+        got = near_dup.shared_counts(np.concatenate(a), np.array([len(x) for x in a]), np.concatenate(b), np.array([len(x) for x in b]))
+        assert got.tolist() == [[len(np.intersect1d(x, y)) for y in b] for x in a]
+
+
 def test_near_duplicates_of_nothing(spark):
     assert near_dup.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
