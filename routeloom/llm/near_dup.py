@@ -437,7 +437,8 @@ def across(members: DataFrame, at: Level) -> DataFrame:
     parts = laid.groupBy(*cell).agg(F.greatest(F.ceil(F.count("*") / CHUNK), F.ceil(F.sum("size") / CHUNK_ELEMENTS)).alias("parts"))
     dealt = laid.join(parts, cell).withColumn("chunk", F.pmod(F.xxhash64("rep"), F.greatest(F.lit(1), "parts")).cast("int"))
     span = [f(k).alias(f"{f.__name__}_{k}") for k in ("n", "size", "c") for f in (F.min, F.max)]
-    packs = checkpointed(dealt.groupBy(*cell, "chunk").agg(F.collect_list(F.struct("rep", "n", "c", "regs", "d")).alias("m"), *span).select("pivot", F.struct("own", "layer", "shell", "chunk").alias("pack"), "m", "min_n", "max_n", "min_size", "max_size", "min_c", "max_c"))
+    # dealt by chunk, else a whole cell would meet in the task that joined it with its number of parts
+    packs = checkpointed(dealt.repartition(*cell, "chunk").groupBy(*cell, "chunk").agg(F.collect_list(F.struct("rep", "n", "c", "regs", "d")).alias("m"), *span).select("pivot", F.struct("own", "layer", "shell", "chunk").alias("pack"), "m", "min_n", "max_n", "min_size", "max_size", "min_c", "max_c"))
     spans = packs.drop("m")
     x, y = (spans.select("pivot", *[F.col(k).alias(f"{side}_{k}") for k in spans.columns[1:]]) for side in "xy")
     gap = F.greatest(F.col("x_min_size") - F.col("y_max_size"), F.col("y_min_size") - F.col("x_max_size"))
