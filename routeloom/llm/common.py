@@ -62,8 +62,11 @@ def map_text(
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session; one of its own only where that is unset, as in tests."""
-    return spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints/routeloom"
+    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session; one of its own only on a local master without that setting."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return folder or "/tmp/checkpoints/routeloom"
 
 
 def checkpointed(df: DataFrame) -> DataFrame:

@@ -4,8 +4,8 @@ Each language has a codeword of bits: all bipartitions of the languages for up t
 EXHAUSTIVE_UP_TO of them, else random balanced columns chosen for a large least distance.
 One linear classifier for each bit reads hashed byte n-grams of the lower-cased text with
 digits and ASCII marks taken as separators.  The classifiers are logistic regressions,
-fitted together by AdaGrad on a sample of ROWS_PER_LANGUAGE rows a language (expected
-number; chosen by a hash of the id, cut at twice that).  Feature vectors, of a fixed number of
+fitted together by AdaGrad on a sample of the ROWS_PER_LANGUAGE rows of each language that come
+first by a hash of the id (all of them, where there are fewer).  Feature vectors, of a fixed number of
 buckets, come from the executors; the driver never sees a text.
 
 Decoding is loss-weighted: each bit adds its logistic loss against the codeword, weighted by
@@ -13,7 +13,7 @@ the bit's accuracy on the sample, and the codeword of least loss wins.  The scor
 winner's share of exp(-loss); ``ambiguous`` tells that the runner-up's loss is within
 AMBIGUITY of the winner's, relative to the total weight.
 
-Defined results: null text, or text without a letter, is ``und`` with score 0 and not
+Defined results: a row without an id isn't held out; null text, or text without a letter, is ``und`` with score 0 and not
 ambiguous; if there is no labelled training row, every text is ``und``; whole texts are read
 in blocks of bounded size; repeated rows get equal results; other columns are ignored.
 """
@@ -25,7 +25,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import held_out, map_text, table
@@ -92,14 +92,17 @@ def codewords(n: int, seed: int = 7) -> np.ndarray:
 
 
 def sample(labelled: DataFrame, rows_per_language: int) -> DataFrame:
-    """About ``rows_per_language`` rows of each language, by a hash of the id: lang and the sparse relative features."""
+    """The first ``rows_per_language`` rows of each language by a hash of the id: doc_id, lang and the sparse relative features."""
     sizes = labelled.groupBy("lang").agg(F.count("*").alias("n"))
     chance = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 30)) / float(1 << 30)
-    share = {r["lang"]: rows_per_language / r["n"] for r in sizes.collect()}  # one row a language
+    # a language that has more has twice as many below this, but for a chance of exp(-100)
+    share = {r["lang"]: 2 * rows_per_language / r["n"] if r["n"] > 2 * rows_per_language else 2.0 for r in sizes.collect()}  # one row a language
     if not share:
         return labelled.select("doc_id", "lang", F.array().cast("array<int>").alias("at"), F.array().cast("array<float>").alias("x"))
     wanted = F.create_map(*[F.lit(v) for pair in share.items() for v in pair])
-    chosen = labelled.where(chance < wanted[F.col("lang")]).select("doc_id", "lang", "text")
+    first = Window.partitionBy("lang").orderBy("chance", "doc_id", "text")
+    some = labelled.withColumn("chance", chance).where(F.col("chance") < wanted[F.col("lang")])
+    chosen = some.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= rows_per_language).select("doc_id", "lang", "text")
 
     def features(batch: pa.RecordBatch) -> pa.RecordBatch:
         at, x = [], []
@@ -110,13 +113,13 @@ def sample(labelled: DataFrame, rows_per_language: int) -> DataFrame:
             x.append((c[found] / max(1.0, c.sum()) * SCALE).astype(np.float32))
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lang"), pa.array(at, pa.list_(pa.int32())), pa.array(x, pa.list_(pa.float32()))], names=["doc_id", "lang", "at", "x"])
 
-    return map_text(chosen, features, "doc_id long, lang string, at array<int>, x array<float>").limit(2 * rows_per_language * len(share))
+    return map_text(chosen, features, "doc_id long, lang string, at array<int>, x array<float>")
 
 
 def fit(labelled: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE) -> dict:
     """languages, codewords, weights (buckets x bits), bias and bit weights."""
     got = sample(labelled, rows_per_language).select("lang", "at", "x", "doc_id").toArrow().to_pylist()
-    got.sort(key=lambda r: r["doc_id"])  # the order in which partitions arrive must not matter
+    got.sort(key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["at"], r["x"]))  # the order in which partitions arrive must not matter
     languages = sorted({r["lang"] for r in got})
     code = codewords(len(languages))
     bits = code.shape[1] if languages else 1
@@ -191,11 +194,11 @@ def keep_known(docs: DataFrame) -> DataFrame:
 
 def training_rows(docs: DataFrame) -> DataFrame:
     """Rows that may be learned from: outside the held-out third, with text and language."""
-    return docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text")
+    return docs.where(F.coalesce(~held_out(), F.lit(True)) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text")
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = fit(training_rows(docs))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return identify(rows, model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "ambiguous")
+    return identify(rows, model).select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "lang_pred", "score", "ambiguous")

@@ -4,7 +4,7 @@ A byte-level BPE encodes each pre-token on its own.  For a vocabulary string tha
 merges reduce to itself, the count of an equal pre-token is known to be one without
 merging.  ``prove_whole_tokens`` runs that proof once, offline, on the driver; workers
 count proven pre-tokens by dictionary hit and merge only the others (memoised in a
-dictionary of bounded size).
+dictionary of bounded size; long ones with a heap, in n log n steps).
 
 Defined results: null or empty text has 0 bytes and 0 tokens; very long texts are counted
 whole; repeated rows give repeated rows; an empty table gives an empty result; other
@@ -14,6 +14,7 @@ tokenizer library does by default, and count as one token each.
 
 from __future__ import annotations
 
+import heapq
 import json
 import uuid
 
@@ -27,6 +28,10 @@ from .common import map_text, table
 PRE_TOKEN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Entries of the memo of merged pre-tokens in one Python worker.
 MEMO_ENTRIES = 400_000
+#: Longer pre-tokens, in characters, are rare and would make the memo's size unbounded: they are counted each time.
+MEMO_CHARS = 64
+#: Up to this many symbols, looking through all pairs for each merge is fastest.
+SHORT = 100
 
 
 def byte_alphabet() -> list[str]:
@@ -38,6 +43,8 @@ def byte_alphabet() -> list[str]:
 
 def merge_count(symbols: list[str], ranks: dict[tuple[str, str], int]) -> int:
     """Number of tokens that the merges leave of ``symbols``."""
+    if len(symbols) > SHORT:
+        return _merge_count_long(symbols, ranks)
     while len(symbols) > 1:
         best, at = None, None
         for pair in zip(symbols, symbols[1:]):
@@ -59,6 +66,32 @@ def merge_count(symbols: list[str], ranks: dict[tuple[str, str], int]) -> int:
     return len(symbols)
 
 
+def _merge_count_long(symbols: list[str], ranks: dict[tuple[str, str], int]) -> int:
+    """The same with a heap of pairs over a linked list, so that a run of n symbols takes n log n steps."""
+    s: list[str | None] = list(symbols)
+    n = len(s)
+    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+    heap = [(r, i) for i in range(n - 1) if (r := ranks.get((s[i], s[i + 1]))) is not None]
+    heapq.heapify(heap)
+    left = n
+    while heap:
+        r, i = heapq.heappop(heap)
+        j = after[i]
+        if s[i] is None or j >= n or ranks.get((s[i], s[j])) != r:
+            continue  # one of the two has been merged meanwhile
+        s[i], s[j] = s[i] + s[j], None
+        left -= 1
+        after[i] = k = after[j]
+        if k < n:
+            before[k] = i
+            if (r := ranks.get((s[i], s[k]))) is not None:
+                heapq.heappush(heap, (r, i))
+        h = before[i]
+        if h >= 0 and (r := ranks.get((s[h], s[i]))) is not None:
+            heapq.heappush(heap, (r, h))
+    return left
+
+
 def load_bpe(path: str) -> tuple[dict[str, int], dict[tuple[str, str], int], list[str]]:
     """Vocabulary, merge ranks and special strings of a byte-level BPE json file."""
     with open(path, encoding="utf-8") as f:
@@ -93,11 +126,12 @@ class Memo(dict):
         self.update(dict.fromkeys(self.proven, 1))
 
     def __missing__(self, token: str) -> int:
-        if len(self) > MEMO_ENTRIES + len(self.proven):
-            self.forget()
         a = self.alphabet
         n = merge_count([a[b] for b in token.encode("utf-8")], self.ranks)
-        self[token] = n
+        if len(token) <= MEMO_CHARS:
+            if len(self) > MEMO_ENTRIES + len(self.proven):
+                self.forget()
+            self[token] = n
         return n
 
 

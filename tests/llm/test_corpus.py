@@ -163,7 +163,9 @@ def test_decontamination_finds_reordered_passages(spark):
     assert hit == {1, 2} and dict(got)[2] == [(7, 2, 1.0), (7, 2, 1.0)]
     assert decontaminate.with_matches(d, bench.where("item_id < 0")).where(F.size("bench_matches") > 0).count() == 0
     assert decontaminate.with_matches(d.where("doc_id < 0"), bench).count() == 0
-    assert sum(len(b) for b in decontaminate.blocks(bench, 5)) == 3
+    assert sum(len(b) for _, b in decontaminate.blocks(bench, 5)) == 3
+    in_blocks = decontaminate.with_matches(d, bench, block_tokens=5).collect()
+    assert {x["doc_id"] for x in in_blocks if x["bench_matches"]} == {1, 2}
 
 
 PAGE = '<!DOCTYPE html><html><head><title>{t}</title><style>p{{}}</style><script>x="</p>"</script></head><body><nav><ul><li><a href=/a>{n}</a></li></ul></nav><div class="{ad}">{t} ad</div>{open}<h1>{t}</h1><p>{a} &amp; b<p>second\n  part {a}{close}<div class=comments><p>me too</p></div><footer>&copy; all</footer>{end}'
