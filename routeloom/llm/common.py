@@ -69,6 +69,12 @@ def shared_folder(spark: SparkSession) -> str:
     return folder or "/tmp/checkpoints/routeloom"
 
 
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Remove a folder of this program's own through the file system that Spark writes to."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage through the shared folder, so that lost executors take nothing with them."""
     sc = df.sparkSession.sparkContext

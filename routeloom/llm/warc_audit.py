@@ -3,17 +3,20 @@
 Records of an archive are kept in segments.  Within a segment a record has a slot, and its
 offset is the total length of the records before it.  Level 0 of the tree holds the hash of
 each record with its slot and length; a node of level k covers FANOUT^k consecutive slots,
-that is one ordered range of offsets, and hashes its children in order.  The root of a
-segment is the top level.  A range's own start is no part of its hash: it follows from the
-lengths before it, and one shortened record would else unsettle every range behind it.
+that is one ordered range of offsets: it hashes the range's extent in bytes and its children
+in order.  The root of a segment is the top level.  A variant is taken on purpose: a range's
+start follows from the extents before it and is no part of its own hash, for one shortened
+record would else unsettle every range behind it.
 
-``audit`` compares two replicas: roots first, then the children of differing nodes only, one
-join on the node key for each level.  What is shuffled is 32-byte hashes of records, and
-from there on less by a factor of FANOUT at each level; payloads are hashed where they are
-read.  Missing and additional records are found the same way, since slots don't move.
+``audit`` compares two replicas, each node table written once: roots first, then the children
+of differing nodes only, one join on the node key for each level.  What is shuffled is 32-byte
+hashes of records, and from there on less by a factor of FANOUT at each level; payloads are
+hashed where they are read.  Missing and additional records are found the same way, since
+slots don't move.
 
-Segments come from the id range, so a segment holds at most SEGMENT distinct ids; rows that
-repeat an id share its slot in the order of their hash and become one leaf.
+Segments come from the id range, so a segment holds at most SEGMENT distinct ids.  Rows that
+repeat an id, or have none, become one leaf: sums of four 60-bit parts of their hashes, which
+add up before the shuffle and over any split of the rows, however many there are.
 
 Defined results: a null url or payload counts as empty but hashes apart from an empty one
 (its length field is -1); equal replicas give no rows; empty tables give no rows; records
@@ -22,19 +25,25 @@ with a null id form segment -1; additional columns are ignored.
 
 from __future__ import annotations
 
-import gzip
 import io
+import re
+import zlib
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import checkpointed, table
 
 FANOUT_BITS = 4
 LEVELS = 3
 #: Slots of a segment: FANOUT ** LEVELS.
 SEGMENT = 1 << (FANOUT_BITS * LEVELS)
+#: Bytes read, and bytes of records handed on, at a time.
+PIECE = 1 << 22
+#: Fixed value: how a gzip member starts.
+MEMBER_HEAD = b"\x1f\x8b\x08"
 
 
 def record_text(uri, payload):
@@ -48,26 +57,25 @@ def leaves(records: DataFrame, id_col: str, uri_col: str, payload_col: str) -> D
     text = record_text(F.col(uri_col), F.col(payload_col))
     hashed = records.select(F.col(id_col).cast("long").alias("record_id"), F.octet_length(text).cast("long").alias("n"), F.sha2(text, 256).alias("h"))
     slot = F.coalesce(F.pmod("record_id", F.lit(SEGMENT)), F.lit(0)).cast("int")
-    # copies of a row become (hash, number), so that a repeated id costs one row for each distinct content
-    by_content = hashed.groupBy("record_id", "h", "n").agg(F.count("*").alias("copies"))
-    return by_content.groupBy("record_id").agg(
-        F.sum(F.col("n") * F.col("copies")).alias("n"), F.sha2(F.concat_ws(",", F.array_sort(F.collect_list(F.concat("h", F.lit("x"), F.col("copies").cast("string"))))), 256).alias("h")
-    ).select(F.coalesce(F.floor(F.col("record_id") / SEGMENT), F.lit(-1)).cast("long").alias("segment"), slot.alias("slot"), "record_id", "n", "h")
+    part = [F.conv(F.substring("h", 1 + 15 * i, 15), 16, 10).cast("decimal(38,0)") for i in range(4)]
+    sums = [F.sum(x).alias(f"s{i}") for i, x in enumerate(part)]
+    one = hashed.groupBy("record_id").agg(F.sum("n").alias("n"), F.count("*").alias("copies"), F.min("h").alias("h"), *sums)
+    several = F.sha2(F.concat_ws(",", "copies", "s0", "s1", "s2", "s3"), 256)
+    return one.select(F.coalesce(F.floor(F.col("record_id") / SEGMENT), F.lit(-1)).cast("long").alias("segment"), slot.alias("slot"), "record_id", "n", F.when(F.col("copies") == 1, F.col("h")).otherwise(several).alias("h"))
 
 
 def tree(leaf: DataFrame) -> list[DataFrame]:
-    """Node tables of level 0 (records, with offsets) to LEVELS (segment roots): segment, node, h."""
+    """Node tables of level 0 (records, with offsets) to LEVELS (segment roots): segment, node, length, h; each is written once."""
     from pyspark.sql import Window
 
-    so_far = Window.partitionBy("segment").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
+    so_far = Window.partitionBy("segment").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)  # at most SEGMENT rows
     level0 = leaf.withColumn("offset", F.coalesce(F.sum("n").over(so_far), F.lit(0)).cast("long"))
     base = level0.select("segment", F.col("slot").alias("node"), "record_id", "offset", F.col("n").alias("length"), F.sha2(F.concat_ws(":", "slot", "n", "h"), 256).alias("h"), F.col("h").alias("content"))
-    levels = [base]
+    levels = [checkpointed(base)]
     for _ in range(LEVELS):
-        below = levels[-1]
-        levels.append(
-            below.groupBy("segment", F.shiftright("node", FANOUT_BITS).alias("node")).agg(F.sha2(F.concat_ws("|", F.transform(F.array_sort(F.collect_list(F.struct("node", "h"))), lambda x: F.concat_ws("=", x["node"], x["h"]))), 256).alias("h"))
-        )
+        children = F.transform(F.array_sort(F.collect_list(F.struct("node", "h"))), lambda x: F.concat_ws("=", x["node"], x["h"]))  # at most FANOUT
+        above = levels[-1].groupBy("segment", F.shiftright("node", FANOUT_BITS).alias("node")).agg(F.sum("length").alias("length"), F.concat_ws("|", children).alias("children"))
+        levels.append(checkpointed(above.select("segment", "node", "length", F.sha2(F.concat_ws(":", "length", "children"), 256).alias("h"))))
     return levels
 
 
@@ -115,29 +123,84 @@ def write_warc(records: DataFrame, path: str, id_col: str = "page_id", uri_col:
     with_segment.repartition("segment").sortWithinPartitions("segment", "k").drop("k").write.partitionBy("segment").option("compression", "gzip").option("lineSep", "\r\n").text(path)
 
 
+def _members(raw: bytes) -> Iterator[tuple[bytes, str | None]]:
+    """The plain bytes of each gzip member and what is wrong with it; after damage the next member's head is looked for."""
+    at = 0
+    while 0 <= at < len(raw):
+        d, out, end = zlib.decompressobj(31), [], at
+        try:
+            while end < len(raw) and not d.eof:
+                out.append(d.decompress(raw[end : end + PIECE]))
+                end += PIECE
+            yield b"".join(out), None if d.eof else "truncated member"
+            at = min(end, len(raw)) - len(d.unused_data)
+        except zlib.error as e:
+            yield b"".join(out), f"damaged member: {e}"
+            at = raw.find(MEMBER_HEAD, at + 1)
+
+
+def warc_records(raw: bytes) -> Iterator[tuple[str | None, bytes | None, str | None]]:
+    """(uri, payload, damage) of the records in a plain or gzip WARC file; what can't be read gives a row that says so, and reading goes on behind it."""
+    for plain, damage in _members(raw) if raw[:2] == b"\x1f\x8b" else [(raw, None)]:
+        stream = io.BytesIO(plain)
+        while line := stream.readline():
+            if not line.startswith(b"WARC/"):
+                if line.strip():
+                    yield None, None, "no record where one should start"
+                    found = plain.find(b"\nWARC/", stream.tell() - 1)
+                    if found < 0:
+                        break
+                    stream.seek(found + 1)
+                continue
+            head = {}
+            while (line := stream.readline()).strip() != b"":
+                name, _, value = line.partition(b":")
+                head[name.strip().lower()] = value.strip().decode("utf-8", "replace")
+            uri, size = head.get(b"warc-target-uri"), head.get(b"content-length", "")
+            if not re.fullmatch(r"-?\d+", size):
+                yield uri, None, "no content length"
+                continue
+            payload = stream.read(int(size)) if int(size) >= 0 else None
+            short = payload is not None and len(payload) < int(size)
+            yield uri, payload, (damage or "truncated record") if short else None
+        if damage:
+            yield None, None, damage
+
+
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """uri and payload of the records of gzip or plain WARC files; a file is one task's work."""
-
-    def parse(batches: Iterator) -> Iterator:
-        import pandas as pd
-
-        for pdf in batches:
-            for content in pdf["content"]:
-                stream = io.BytesIO(gzip.decompress(content) if content[:2] == b"\x1f\x8b" else content)
-                uris, payloads = [], []
-                while line := stream.readline():
-                    if not line.startswith(b"WARC/"):
-                        continue
-                    head = {}
-                    while (line := stream.readline().strip()) != b"":
-                        name, _, value = line.partition(b":")
-                        head[name.lower()] = value.strip().decode()
-                    size = int(head.get(b"content-length", 0))
-                    uris.append(head.get(b"warc-target-uri"))
-                    payloads.append(stream.read(size).decode("utf-8", "replace") if size >= 0 else None)
-                yield pd.DataFrame({"url": uris, "html": payloads})
-
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("content").mapInPandas(parse, "url string, html string")
+    """url, html, file and damage of the records of gzip or plain WARC files.
+
+    A file is one task's work; it is held packed, and beside it the member that is being read; a record whose payload isn't UTF-8 says so in
+    ``damage`` and reads with replacement characters; unreadable members and records give a row
+    with their damage instead of ending the audit.
+    """
+
+    def text(payload: bytes | None, damage: str | None) -> tuple[str | None, str | None]:
+        if payload is None:
+            return None, damage
+        try:
+            return payload.decode("utf-8"), damage
+        except UnicodeDecodeError:
+            return payload.decode("utf-8", "replace"), damage or "payload is not UTF-8"
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows(held: list) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([h[i] for h in held], pa.string()) for i in range(4)], names=["url", "html", "file", "damage"])
+
+        for batch in batches:
+            for i in range(batch.num_rows):
+                file, held, size = batch.column("path")[i].as_py(), [], 0
+                for uri, payload, damage in warc_records(batch.column("content")[i].as_py()):
+                    html, damage = text(payload, damage)
+                    held.append((uri, html, file, damage))
+                    size += len(payload or b"")
+                    if size > PIECE:
+                        yield rows(held)
+                        held, size = [], 0
+                yield rows(held)
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
+    return files.mapInArrow(parse, "url string, html string, file string, damage string")
 
 
 def damaged_replica(pages: DataFrame) -> DataFrame:

@@ -276,6 +276,33 @@ def test_warc_files(spark, tmp_path):
     assert sorted((r["url"], r["html"]) for r in warc_audit.read_warc(spark, str(tmp_path / "w")).collect()) == sorted((u, h) for _, u, h in rows)
 
 
+def test_damaged_warc_is_reported():
+    import gzip
+
+    def record(uri, payload):
+        return b"WARC/1.1\r\nWARC-Target-URI: " + uri + b"\r\nContent-Length: " + str(len(payload)).encode() + b"\r\n\r\n" + payload + b"\r\n\r\n"
+
+    three = [gzip.compress(record(b"u%d" % i, bytes([97 + i]) * 5000)) for i in range(3)]
+    broken = bytearray(three[1])
+    broken[len(broken) // 2] ^= 0xFF
+    got = list(warc_audit.warc_records(three[0] + bytes(broken) + three[2]))
+    assert [(u, p) for u, p, d in got if not d and u in ("u0", "u2")] == [("u0", b"a" * 5000), ("u2", b"c" * 5000)] and any(d for *_, d in got)
+    cut = list(warc_audit.warc_records(three[0] + three[2][:-30]))
+    assert cut[0][2] is None and cut[-1][2] == "truncated member"
+    plain = list(warc_audit.warc_records(b"noise\n" + record(b"v", b"x") + b"WARC/1.1\r\nContent-Length: many\r\n\r\n"))
+    assert [d for *_, d in plain] == ["no record where one should start", None, "no content length"] and plain[1][:2] == ("v", b"x")
+    assert list(warc_audit.warc_records(b"")) == []
+
+
+def test_audit_of_many_rows_without_an_id(spark):
+    a = spark.createDataFrame([(None, "n", f"page {i}") for i in range(500)] + [(1, "u", "x")] * 3, "page_id long, url string, html string")
+    assert warc_audit.audit(a, a.repartition(4)).count() == 0
+    one = warc_audit.audit(a, a.where("html is null or html <> 'page 7'")).collect()
+    assert [(r["record_id"], r["kind"]) for r in one] == [(None, "content")]
+    fewer = spark.createDataFrame([(1, "u", "x")], a.schema).unionByName(a.where("page_id is null"))
+    assert [r["record_id"] for r in warc_audit.audit(a, fewer).collect()] == [1]
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
