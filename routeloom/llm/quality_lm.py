@@ -9,11 +9,14 @@ count, whole.
 
 Model.  Interpolated modified Kneser-Ney for each language: raw counts at the highest order,
 continuation counts below, three discounts from the counts of counts.  Probabilities and
-backoff weights are computed as DataFrames.  The finished model is hashed into SLOTS slots
-for each language and order, kept as arrays sorted by slot (what shares a slot shares the
-mean, weighted by count): at most languages x 5 x SLOTS x 16 bytes, whatever the corpus.
-Rows without a language, and languages past the first MAX_LANGUAGES by number of rows, share
-one model, which bounds the first factor.
+backoff weights are computed as DataFrames.  Every 5-gram of a counted text is in the model,
+so its interpolated probability is all that scoring needs.  The most frequent 5-grams of all
+languages together, up to RESIDENT, go to the executors as arrays sorted by a 64-bit hash of
+(language, order, gram), which is a bijection within a language: a look-up compares the whole
+key, and nothing is averaged.  5-grams beyond that stay a table: documents hand on which of
+them they hold, how often, and a join adds their share.  They are the rare ones, so no key of
+that join is hot, and results are the same wherever the border lies.  Rows without a language
+have a model of their own.
 
 Verdict.  Perplexity of a text under its language's model; a language's band runs from its
 median log-perplexity BAND times the distance to the lower and upper quartile (at least
@@ -28,6 +31,7 @@ rows; other columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
@@ -40,9 +44,10 @@ from .common import checkpointed, slices, table
 
 ORDER = 5
 CHAR_BITS = 12
-SLOT_BITS = 22
-SLOTS = 1 << SLOT_BITS
-MAX_LANGUAGES = 64
+#: 5-grams kept in memory by each Python worker, with some 20 bytes for each.
+RESIDENT = 1 << 22
+#: Rows of a table of figures by language that may be broadcast, of some 100 bytes; larger ones are joined.
+BROADCAST_ROWS = 100_000
 OTHER = "\u0000other"
 PAD = 1
 BAND, MIN_SPREAD, SHORT_TEXT = 5.0, 0.015, 2.5
@@ -90,7 +95,10 @@ def count_grams(texts: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
 
+        sizes: dict[str, int] = {}
+
         def out(lang: str) -> pa.RecordBatch:
+            sizes.pop(lang)
             keys, n = add_up(held.pop(lang))
             return pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array(keys.view(np.int64)), pa.array(n)], names=["lang", "gram", "c"])
 
@@ -105,9 +113,13 @@ def count_grams(texts: DataFrame) -> DataFrame:
                     starts = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
                     parts = held.setdefault(lang, [])
                     parts.append((g[starts], np.diff(np.append(starts, len(g)))))
-                    if sum(len(k) for k, _ in parts) > HELD_GRAMS:
+                    sizes[lang] = sizes.get(lang, 0) + len(starts)
+                if sum(sizes.values()) > HELD_GRAMS:
+                    for lang, parts in held.items():
                         parts[:] = [add_up(parts)]
-                        if len(parts[0][0]) > HELD_GRAMS // 2:
+                        sizes[lang] = len(parts[0][0])
+                    if sum(sizes.values()) > HELD_GRAMS // 2:
+                        for lang in list(held):
                             yield out(lang)
         for lang in list(held):
             yield out(lang)
@@ -119,6 +131,12 @@ def _low(gram: Column, chars: int) -> Column:
     return gram.bitwiseAND(F.lit((1 << (CHAR_BITS * chars)) - 1))
 
 
+def beside(df: DataFrame) -> DataFrame:
+    """A small table behind a cut, broadcast if its number of rows has been found small."""
+    cut = checkpointed(df)
+    return F.broadcast(cut) if cut.count() <= BROADCAST_ROWS else cut
+
+
 def kneser_ney(counts: DataFrame) -> DataFrame:
     """lang, k (order), gram, logp, bow, n: the interpolated model as rows; bow is the log weight left for the next lower order in the context ``gram``."""
     levels = {ORDER: counts.select("lang", "gram", "c")}
@@ -136,9 +154,11 @@ def kneser_ney(counts: DataFrame) -> DataFrame:
         return F.when((raw > 0) & (raw < i), raw).otherwise(F.lit(0.5 * i)).alias(f"d{i}")
 
     rates = checkpointed(tallies.select("lang", "k", "kinds", d(1), d(2), d(3)))  # five rows a language
+    few = rates.count() <= BROADCAST_ROWS
     out, lower = None, None
     for k in range(1, ORDER + 1):
-        r = F.broadcast(rates.where(F.col("k") == k).drop("k"))  # at most MAX_LANGUAGES + 1 rows
+        r = rates.where(F.col("k") == k).drop("k")
+        r = F.broadcast(r) if few else r
         a = levels[k].join(r, "lang").withColumn("ctx", F.shiftright("gram", CHAR_BITS))
         cut = F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))
         a = a.withColumn("cut", cut)
@@ -149,79 +169,85 @@ def kneser_ney(counts: DataFrame) -> DataFrame:
             p = p.withColumn("p", F.col("own") + F.col("share") / (F.col("kinds") + 1))
         else:
             p = p.withColumn("low", _low(F.col("gram"), k - 1)).join(lower, ["lang", "low"]).withColumn("p", F.col("own") + F.col("share") * F.col("p_low"))
-        p = checkpointed(p.select("lang", "gram", "ctx", "c", "p", "share"))
+        p = checkpointed(p.select("lang", "gram", "ctx", "c", "p", "share", "kinds"))
         lower = p.select("lang", F.col("gram").alias("low"), F.col("p").alias("p_low"))
         rows = p.select("lang", F.lit(k).alias("k"), "gram", F.log("p").alias("logp"), F.lit(None).cast("double").alias("bow"), F.col("c").alias("n"))
-        weights = p.groupBy("lang", "ctx").agg(F.log(F.first("share")).alias("bow"), F.sum("c").alias("n")).select("lang", F.lit(k - 1).alias("k"), F.col("ctx").alias("gram"), F.lit(None).cast("double").alias("logp"), "bow", "n")
+        weights = p.groupBy("lang", "ctx").agg(F.log(F.first("share")).alias("bow"), F.sum("c").alias("n"), F.first("kinds").alias("kinds"))
+        # order 0: what a character that the language never had gets
+        unseen = -F.log(F.col("kinds") + 1.0) if k == 1 else F.lit(None).cast("double")
+        weights = weights.select("lang", F.lit(k - 1).alias("k"), F.col("ctx").alias("gram"), unseen.alias("logp"), "bow", "n")
         both = rows.unionByName(weights)
         out = both if out is None else out.unionByName(both)
     return out
 
 
-def slot(gram: np.ndarray, k: int) -> np.ndarray:
-    return ((gram + np.uint64(k * 0xC2B2AE3D27D4EB4F & 0xFFFFFFFFFFFFFFFF)) * _ODD) >> np.uint64(64 - SLOT_BITS)
-
-
-def collect_model(rows: DataFrame) -> dict:
-    """Sorted slot arrays for each (language, order): {(lang, k): (slots, logp, bow)}."""
-
-    def to_slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def keys_of(lang: str, k: int, gram: np.ndarray) -> np.ndarray:
+    """64-bit hashes of grams of order ``k``; different grams and orders of a language have different ones."""
+    of_lang = int.from_bytes(hashlib.blake2b(lang.encode("utf-8", "replace"), digest_size=8).digest(), "big")
+    return (gram ^ np.uint64(k << 60) ^ np.uint64(of_lang)) * _ODD
+
+
+class Model:
+    """Arrays sorted by hash, and the first entry of each range of hashes."""
+
+    def __init__(self, keys: np.ndarray, logp: np.ndarray, bow: np.ndarray):
+        order = np.argsort(keys)
+        self.keys, self.logp, self.bow = np.append(keys[order], np.uint64(0xFFFFFFFFFFFFFFFF)), logp[order].astype(np.float32), bow[order].astype(np.float32)
+        bits = min(24, max(8, (2 * len(keys)).bit_length()))
+        self.shift = np.uint64(64 - bits)
+        self.first = np.searchsorted(self.keys[:-1], np.arange(1 << bits, dtype=np.uint64) << self.shift).astype(np.int32)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The entry of each key, or -1."""
+        at = self.first[(keys >> self.shift).astype(np.int32)]
+        there = self.keys[at]
+        out = np.where(there == keys, at, -1)
+        out[at == len(self.logp)] = -1
+        open_ = np.flatnonzero(there < keys)
+        at = at[open_]
+        while len(open_):  # hashes are spread evenly, so a range holds few
+            at = at + 1
+            there, want = self.keys[at], keys[open_]
+            hit = (there == want) & (at < len(self.logp))
+            out[open_[hit]] = at[hit]
+            more = (there < want) & (at < len(self.logp))
+            open_, at = open_[more], at[more]
+        return out
+
+
+def collect_model(rows: DataFrame) -> Model:
+    """The model of ``rows`` (lang, k, gram, logp, bow), which the caller has bounded."""
+
+    def to_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            g, k = np.asarray(b.column("gram")).view(np.uint64), np.asarray(b.column("k")).astype(np.uint64)
-            s = ((g + k * np.uint64(0xC2B2AE3D27D4EB4F)) * _ODD) >> np.uint64(64 - SLOT_BITS)
-            yield pa.RecordBatch.from_arrays([b.column("lang"), b.column("k"), pa.array(s.astype(np.int32)), b.column("logp"), b.column("bow"), b.column("n")], names=["lang", "k", "slot", "logp", "bow", "n"])
-
-    slotted = rows.mapInArrow(to_slots, "lang string, k int, slot int, logp double, bow double, n long")
-
-    def mean(c: str) -> Column:
-        w = F.when(F.col(c).isNotNull(), F.col("n"))
-        return F.try_divide(F.sum(F.col(c) * w), F.sum(w)).cast("float").alias(c)
-
-    t = slotted.groupBy("lang", "k", "slot").agg(mean("logp"), mean("bow")).toArrow()
-    model = {}
-    lang, k = np.asarray(t.column("lang").to_pylist(), object), np.asarray(t.column("k"))
-    s, logp, bow = np.asarray(t.column("slot")), t.column("logp").to_numpy(), t.column("bow").to_numpy()
-    for name in set(lang.tolist()):
-        for order in range(ORDER + 1):
-            at = np.flatnonzero((lang == name) & (k == order))
-            at = at[np.argsort(s[at], kind="stable")]
-            model[name, order] = (s[at].astype(np.int32), logp[at].astype(np.float32), np.nan_to_num(bow[at], nan=0.0).astype(np.float32))
-    return model
-
-
-def _find(entry, slots: np.ndarray, column: int) -> np.ndarray:
-    """Value at each slot, NaN where there is none."""
-    keys = entry[0]
-    if not len(keys):
-        return np.full(len(slots), np.nan, np.float32)
-    at = np.minimum(np.searchsorted(keys, slots.astype(np.int32)), len(keys) - 1)
-    return np.where(keys[at] == slots, entry[column][at], np.nan)
-
-
-def log_probability(model: dict, lang: str, grams: np.ndarray, spread: np.ndarray | None = None) -> np.ndarray:
-    """Log probability of each packed 5-gram's last character; unseen ones back off.
-
-    ``spread``, an array of SLOTS not-a-numbers, is lent for the highest order, which answers
-    nearly all: its sorted slots are laid out there, so that a look-up is one access, and
-    taken away again.
-    """
-    out, weight, open_ = np.full(len(grams), np.nan), np.zeros(len(grams)), np.arange(len(grams))
-    for k in range(ORDER, 0, -1):
-        g = grams if k == ORDER else grams[open_] & np.uint64((1 << (CHAR_BITS * k)) - 1)
-        if k == ORDER and spread is not None:
-            slots, logp, _ = model[lang, k]
-            spread[slots] = logp
-            found = spread[slot(g, k).astype(np.int32)]
-            spread[slots] = np.nan
-        else:
-            found = _find(model[lang, k], slot(g, k), 1)
+            lang, k, g = np.asarray(b.column("lang").to_pylist(), object), np.asarray(b.column("k")), np.asarray(b.column("gram")).view(np.uint64)
+            keys = np.zeros(len(g), np.uint64)
+            for name in set(lang.tolist()):
+                for order in range(ORDER + 1):
+                    own = (lang == name) & (k == order)
+                    keys[own] = keys_of(name, order, g[own])
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), b.column("logp").cast(pa.float32()), b.column("bow").cast(pa.float32())], names=["key", "logp", "bow"])
+
+    t = rows.select("lang", "k", "gram", "logp", "bow").mapInArrow(to_keys, "key long, logp float, bow float").toArrow()
+    return Model(np.asarray(t.column("key")).view(np.uint64), t.column("logp").to_numpy(), np.nan_to_num(t.column("bow").to_numpy(), nan=0.0))
+
+
+def log_probability(model: Model, lang: str, grams: np.ndarray) -> np.ndarray:
+    """Log probability of each packed 5-gram's last character, for texts that the model hasn't counted too: unseen ones back off."""
+    out, weight, open_ = np.zeros(len(grams)), np.zeros(len(grams)), np.arange(len(grams))
+    for k in range(ORDER, -1, -1):
+        g = grams[open_] & np.uint64((1 << (CHAR_BITS * k)) - 1)
+        at = model.find(keys_of(lang, k, g))
+        found = np.where(at >= 0, model.logp[at], np.nan)
         seen = ~np.isnan(found)
         out[open_[seen]] = weight[open_[seen]] + found[seen]
         open_, g = open_[~seen], g[~seen]
         if not len(open_):
-            break
-        weight[open_] += np.nan_to_num(_find(model[lang, k - 1], slot(g >> np.uint64(CHAR_BITS), k - 1), 2), nan=0.0)
-    out[open_] = weight[open_] - np.log(len(model[lang, 1][0]) + 1)
+            return out
+        if k:
+            at = model.find(keys_of(lang, k - 1, g >> np.uint64(CHAR_BITS)))
+            weight[open_] += np.where(at >= 0, model.bow[at], 0.0)
+    out[open_] = np.nan  # no model of this language
     return out
 
 
@@ -256,36 +282,57 @@ def base_figures(text: str) -> tuple[int, int, int, int, int]:
     return n, sum(map(len, words)), sum(map(text.count, SYMBOLS)), len(lines) - len(set(lines)), repeat
 
 
-def model_language(docs: DataFrame) -> tuple[DataFrame, Column]:
-    """Languages with a model of their own, and the column that names a row's model."""
-    top = [r["lang"] for r in docs.where(F.col("lang").isNotNull()).groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()]
-    return top, F.when(F.col("lang").isin(top), F.col("lang")).otherwise(F.lit(OTHER)) if top else F.lit(OTHER)
+def resident_part(rows: DataFrame, resident: int) -> tuple[DataFrame, DataFrame | None]:
+    """The most frequent 5-grams, about ``resident`` at most, and the others, if there are."""
+    top = rows.where(F.col("k") == ORDER)
+    total = top.count()
+    if total <= resident:
+        return top, None
+    least = top.agg(F.percentile_approx("n", max(0.0, 1 - 0.9 * resident / total), 10_000)).first()[0]
+    return top.where(F.col("n") > least), top.where(F.col("n") <= least)
 
 
-def score(docs: DataFrame, model: dict) -> DataFrame:
-    """doc_id, model_lang, base figures and log-perplexity of rows (doc_id, lang, text), where lang names a model."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded, see the module's text
-    names = ["doc_id", "model_lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "log_ppl"]
+def score(docs: DataFrame, rows: DataFrame, resident: int = RESIDENT) -> DataFrame:
+    """doc_id, model_lang, base figures and log-perplexity of the rows (doc_id, lang, text) that the model ``rows`` has counted."""
+    held, others = resident_part(rows, resident)
+    partial = others is not None
+    shared = docs.sparkSession.sparkContext.broadcast(collect_model(held))  # RESIDENT entries
+    names = ["doc_id", "model_lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "chars", "log_sum", "missed"]
+    missed_type = pa.list_(pa.struct([("gram", pa.int64()), ("times", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, spread = shared.value, np.full(SLOTS, np.nan, np.float32)
+        m = shared.value
         for batch in batches:
             for piece in slices(batch, limit=BLOCK_BYTES):
                 langs, texts = piece.column("lang").to_pylist(), piece.column("text").to_pylist()
                 base = np.array([base_figures(t or "") for t in texts], np.int64).reshape(-1, 5)
-                ppl: list[float | None] = [None] * len(texts)
+                chars, total, missed = np.zeros(len(texts), np.int64), np.zeros(len(texts)), [[] for _ in texts]
                 for lang in set(langs):
-                    rows = [i for i, t in enumerate(texts) if t and langs[i] == lang and (lang, ORDER) in m]
-                    if not rows:
+                    own = [i for i, t in enumerate(texts) if t and langs[i] == lang]
+                    if not own:
                         continue
-                    grams = [packed(texts[i]) for i in rows]
-                    logp = log_probability(m, lang, np.concatenate(grams), spread)
+                    grams = [packed(texts[i]) for i in own]
                     sizes = [len(g) for g in grams]
-                    for i, s, total in zip(rows, sizes, np.add.reduceat(logp, np.cumsum([0] + sizes[:-1]))):
-                        ppl[i] = -total / s
-                yield pa.RecordBatch.from_arrays([piece.column("doc_id"), piece.column("lang"), *[pa.array(base[:, j]) for j in range(5)], pa.array(ppl, pa.float64())], names=names)
-
-    return docs.mapInArrow(run, "doc_id long, model_lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, log_ppl double")
+                    starts = np.cumsum([0, *sizes[:-1]])
+                    g = np.concatenate(grams)
+                    at = m.find(keys_of(lang, ORDER, g))
+                    chars[own] = sizes
+                    total[own] = np.add.reduceat(np.where(at >= 0, np.append(m.logp, np.float32(0))[at].astype(np.float64), 0.0), starts)
+                    if partial:
+                        gone = np.flatnonzero(at < 0)
+                        cuts = np.searchsorted(gone, [*starts, len(g)])
+                        for j in np.flatnonzero(np.diff(cuts)):
+                            kinds, times = np.unique(g[gone[cuts[j] : cuts[j + 1]]], return_counts=True)
+                            missed[own[j]] = [{"gram": int(k), "times": int(n)} for k, n in zip(kinds, times)]
+                yield pa.RecordBatch.from_arrays([piece.column("doc_id"), piece.column("lang"), *[pa.array(base[:, j]) for j in range(5)], pa.array(chars), pa.array(total), pa.array(missed, missed_type)], names=names)
+
+    done = checkpointed(docs.mapInArrow(run, "doc_id long, model_lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, chars long, log_sum double, missed array<struct<gram:long,times:long>>"))
+    if partial:
+        done = done.withColumn("row", F.monotonically_increasing_id())  # of a table behind a cut, so the same each time
+        each = done.select("row", F.col("model_lang").alias("lang"), F.explode("missed").alias("m")).select("row", "lang", "m.gram", "m.times")
+        more = each.join(others.select("lang", "gram", "logp"), ["lang", "gram"]).groupBy("row").agg(F.sum(F.col("times") * F.col("logp")).alias("more"))
+        done = checkpointed(done.join(more, "row", "left").withColumn("log_sum", F.col("log_sum") + F.coalesce("more", F.lit(0.0))))
+    return done.select(*names[:7], (-F.col("log_sum") / F.when(F.col("chars") > 0, F.col("chars"))).alias("log_ppl"))
 
 
 def judge(scored: DataFrame) -> DataFrame:
@@ -298,16 +345,15 @@ def judge(scored: DataFrame) -> DataFrame:
         (F.col("q")[1] + BAND * F.greatest(F.col("q")[2] - F.col("q")[1], F.lit(MIN_SPREAD))).alias("high"),
     )
     slack = SHORT_TEXT / F.sqrt(F.greatest(F.col("word_chars") + F.col("n_words"), F.lit(1)))
-    joined = base.join(F.broadcast(bands), "model_lang").withColumn("band_low", F.col("low") - slack).withColumn("band_high", F.col("high") + slack).drop("low", "high")  # at most MAX_LANGUAGES + 1 bands
+    joined = base.join(beside(bands), "model_lang").withColumn("band_low", F.col("low") - slack).withColumn("band_high", F.col("high") + slack).drop("low", "high")
     return joined.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("log_ppl").between(F.col("band_low"), F.col("band_high")), F.lit(False)))
 
 
-def quality(docs: DataFrame) -> DataFrame:
-    top, name = model_language(docs)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), name.alias("lang"), "text")
+def quality(docs: DataFrame, resident: int = RESIDENT) -> DataFrame:
+    """doc_id, model_lang, base figures, log_ppl, the band and ``kept`` of every row of (doc_id, lang, text)."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("lang", F.lit(OTHER)).alias("lang"), "text")
     counts = checkpointed(count_grams(rows.select("lang", "text")))
-    model = collect_model(kneser_ney(counts))
-    return judge(checkpointed(score(rows, model)))
+    return judge(score(rows, kneser_ney(counts), resident))
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -238,12 +238,56 @@ def test_kneser_ney_equals_the_textbook(spark):
     g = np.concatenate([quality_lm.packed(t) for t in texts[:5]])
     found = quality_lm.log_probability(model, "en", g)
     assert np.allclose(found, [math.log(want[5, x]) for x in g.tolist()], atol=1e-4)
-    spread = np.full(quality_lm.SLOTS, np.nan, np.float32)
-    assert np.array_equal(found, quality_lm.log_probability(model, "en", g, spread)) and np.isnan(spread).all()
+    assert np.isnan(quality_lm.log_probability(model, "fr", g[:3])).all()
     unseen = quality_lm.log_probability(model, "en", quality_lm.packed("zzz eda"))
     assert np.isfinite(unseen).all() and unseen[0] < found.mean()
 
 
+@pytest.mark.parametrize("resident", [1 << 22, 200, 1])
+def test_bands_equal_brute_force(spark, resident):
+    """Perplexity, quartiles, bands and verdicts; wherever the border between memory and table lies."""
+    r, texts = random.Random(12), {}
+    for i in range(90):
+        lang, letters = ("en", "aabcde") if i % 3 else (None, "uvwxyz")
+        texts[i] = lang, " ".join("".join(r.choice(letters) for _ in range(r.randrange(1, 7))) for _ in range(r.choice([5, 25, 60, 200])))
+    texts |= {100: ("en", "".join(r.choice("zqxj ") for _ in range(400))), 101: ("en", "a " * 60), 102: ("en", None), 103: ("de", "ein Satz steht allein"), 104: ("en", texts[1][1])}
+    d = spark.createDataFrame([(i, lang, t) for i, (lang, t) in texts.items()], "doc_id long, lang string, text string")
+    got = {x["doc_id"]: x for x in quality_lm.quality(d, resident).collect()}
+    assert got.keys() == texts.keys()
+    for lang in ("en", None, "de"):
+        own = {i: t or "" for i, (k, t) in texts.items() if k == lang}
+        probability = brute_kneser_ney([t for t in own.values() if t])
+        ppl = {i: -sum(math.log(probability[5, g]) for g in quality_lm.packed(t).tolist()) / len(quality_lm.packed(t)) for i, t in own.items() if t}
+        failed = {i: (f := quality_lm.base_figures(t))[0] < 20 or 100 * f[4] > 30 * f[0] for i, t in own.items()}
+        ranked = sorted(ppl[i] for i in ppl if not failed[i])
+        low, mid, high = (ranked[math.ceil(q * len(ranked)) - 1] for q in (0.25, 0.5, 0.75)) if ranked else (None,) * 3
+        for i, t in own.items():
+            assert got[i]["base_failed"] == failed[i] and (got[i]["log_ppl"] is None) == (not t)
+            if t:
+                assert got[i]["log_ppl"] == pytest.approx(ppl[i], abs=1e-4)
+            words = quality_lm.WORDS.findall(t)
+            slack = quality_lm.SHORT_TEXT / math.sqrt(max(1, sum(map(len, words)) + len(words)))
+            if ranked and t:
+                band = (mid - quality_lm.BAND * max(mid - low, quality_lm.MIN_SPREAD) - slack, mid + quality_lm.BAND * max(high - mid, quality_lm.MIN_SPREAD) + slack)
+                assert (got[i]["band_low"], got[i]["band_high"]) == pytest.approx(band, abs=1e-3)
+                if min(abs(ppl[i] - x) for x in band) > 1e-3:
+                    assert got[i]["kept"] == (not failed[i] and band[0] <= ppl[i] <= band[1])
+            else:
+                assert not got[i]["kept"]
+
+
+def test_sorted_hash_arrays():
+    r = np.random.default_rng(2)
+    for n in (0, 1, 5, 5000):
+        keys = np.unique(r.integers(0, 1 << 63, n).astype(np.uint64) * np.uint64(2) + np.uint64(n % 2))
+        keys = r.permutation(np.concatenate([keys, np.array([0, 0xFFFFFFFFFFFFFFFE], np.uint64)])) if n == 5 else r.permutation(keys)
+        model = quality_lm.Model(keys, np.arange(len(keys), dtype=float), np.zeros(len(keys)))
+        at = model.find(keys)
+        assert (at >= 0).all() and np.array_equal(model.logp[at], np.arange(len(keys))) if n else True
+        others = np.setdiff1d(np.concatenate([r.integers(0, 1 << 63, 300).astype(np.uint64), np.array([0xFFFFFFFFFFFFFFFF, 1], np.uint64)]), keys)
+        assert (model.find(others) == -1).all()
+
+
 def test_quality_keeps_clean_rows(spark):
     r = random.Random(5)
     vocabulary = ["".join(r.choice("aeiourstln") for _ in range(r.randrange(2, 8))) for _ in range(300)]
