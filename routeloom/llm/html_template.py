@@ -12,11 +12,17 @@ token does.  Valid classes nested into each other are the host's template; what
 between template tokens are its slots, named by the deepest template element around them.
 
 Text nodes of the template itself (the same words on the same place of the host's pages) are
-boilerplate, except inside an article.  Slots of navigation, headers, footers, side bars,
-notices, adverts, forms and comments go by their element or class names; if the page has an
-article or main element, the slots outside it go as well; else slots that are mostly links
-go.  What remains is the text, block by block.  Hosts with too few pages have no template;
-their slots are those of the page's own elements.
+boilerplate.  Inside an article or main element they must stand on MAIN_SHARE of the host's
+pages, MAIN_PAGES at least, since copies of an article also share their words; and if nothing
+else is left there, the page is such a copy and they stay.
+
+What template text leaves is judged slot by slot, with names as tie-breakers: slots of
+navigation, headers, footers, side bars, notices, adverts, forms and comments go by their
+element or class names, for their words may change from page to page; if the page has an
+article or main element, the slots outside it go as well, unless one of them holds OUTSIDE
+times its text (then the element is a teaser beside the text proper); else slots that are
+mostly links go.  What remains is the text, block by block.  Hosts with too few pages have no
+template; there only the names are left.
 
 Defined results: null or empty html, and pages without text, give the empty string with 0
 characters; unclosed and stray tags are read as browsers do; repeated pages count as pages;
@@ -37,8 +43,11 @@ from pyspark.sql import functions as F
 from .common import checkpointed, slices, table
 
 MIN_PAGES, MIN_SHARE = 3, 0.3
-#: Templates up to this many hosts are broadcast (some kilobytes each); beyond, they are joined by host.
-BROADCAST_HOSTS = 20_000
+MAIN_PAGES, MAIN_SHARE = 5, 0.8
+#: A slot outside the main element outweighs it from so many times its text, and from so many characters.
+OUTSIDE, OUTSIDE_CHARS = 3, 200
+#: Tokens (8 bytes) and hosts (100) of all templates up to this many bytes are broadcast; beyond, they are joined by host.
+BROADCAST_BYTES = 32 << 20
 #: (host, token) counts that a task holds before it hands them on.
 HELD_TOKENS = 400_000
 
@@ -151,7 +160,7 @@ def tidy(raw: str) -> str:
 
 
 def token_counts(pages: DataFrame) -> DataFrame:
-    """host, token, parent, support, total, vector: occurrence figures of every token on a host's pages."""
+    """host, token, parent, main (text in a main element), support, total, vector: occurrence figures of every token on a host's pages."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parser, held = Parser(), {}
@@ -159,31 +168,30 @@ def token_counts(pages: DataFrame) -> DataFrame:
         def out() -> pa.RecordBatch:
             keys, values = list(held), list(held.values())
             held.clear()
-            columns = [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int64()), *[pa.array([v[i] for v in values], pa.int64()) for i in range(4)]]
-            return pa.RecordBatch.from_arrays(columns, names=["host", "token", "parent", "support", "total", "vector"])
+            columns = [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int64()), *[pa.array([v[i] for v in values], pa.int64()) for i in range(4)], pa.array([v[4] for v in values], pa.bool_())]
+            return pa.RecordBatch.from_arrays(columns, names=["host", "token", "parent", "support", "total", "vector", "main"])
 
         for batch in batches:
             for piece in slices(batch, "html"):
                 for page, host, source in zip(*(piece.column(c).to_pylist() for c in ("page", "host", "html"))):
-                    seen: dict[int, list[int]] = {}
+                    seen: dict[int, list] = {}
                     for kind, element, raw in parser.walk(source or ""):
                         if kind == "open":
-                            token, parent = element.path, element.parent.path
-                        elif kind == "text" and not element.main and (text := tidy(raw).strip()):
-                            # inside an article text is never boilerplate, so it needs no count
-                            token, parent = hash64(element.path, text), element.path
+                            token, parent, main = element.path, element.parent.path, False
+                        elif kind == "text" and (text := tidy(raw).strip()):
+                            token, parent, main = hash64(element.path, text), element.path, element.main
                         else:
                             continue
                         entry = seen.get(token)
                         if entry is None:
-                            seen[token] = [parent, 1]
+                            seen[token] = [parent, 1, main]
                         else:
                             entry[1] += 1
-                    for token, (parent, n) in seen.items():
+                    for token, (parent, n, main) in seen.items():
                         v = held.get((host, token))
                         h = hash64(page, n)
                         if v is None:
-                            held[host, token] = [parent, 1, n, h]
+                            held[host, token] = [parent, 1, n, h, main]
                         else:
                             v[1] += 1
                             v[2] += n
@@ -193,13 +201,14 @@ def token_counts(pages: DataFrame) -> DataFrame:
         if held:
             yield out()
 
-    partial = pages.mapInArrow(run, "host string, token long, parent long, support long, total long, vector long")
-    return partial.groupBy("host", "token").agg(F.min("parent").alias("parent"), F.sum("support").alias("support"), F.sum("total").alias("total"), F.bit_xor("vector").alias("vector"))
+    partial = pages.mapInArrow(run, "host string, token long, parent long, support long, total long, vector long, main boolean")
+    return partial.groupBy("host", "token").agg(F.min("parent").alias("parent"), F.max("main").alias("main"), F.sum("support").alias("support"), F.sum("total").alias("total"), F.bit_xor("vector").alias("vector"))
 
 
 def templates(counts: DataFrame, sizes: DataFrame) -> DataFrame:
     """host and the tokens of its template: valid classes, nested.  Tokens that pass the support bound are few on a host."""
-    frequent = counts.join(sizes, "host").where((F.col("support") >= MIN_PAGES) & (F.col("support") >= MIN_SHARE * F.col("pages")))
+    enough = (F.col("support") >= F.when(F.col("main"), MAIN_PAGES).otherwise(MIN_PAGES)) & (F.col("support") >= F.when(F.col("main"), MAIN_SHARE).otherwise(MIN_SHARE) * F.col("pages"))
+    frequent = counts.where(F.col("support") >= MIN_PAGES).join(sizes, "host").where(enough)
     by_host = frequent.groupBy("host").agg(F.collect_list(F.struct("token", "parent", "support", "total", "vector")).alias("tokens"))
 
     def nest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,34 +236,44 @@ def templates(counts: DataFrame, sizes: DataFrame) -> DataFrame:
 def main_text(parser: Parser, source: str, template: frozenset[int]) -> str:
     """Text of the slots that remain, one line for each block."""
     slots: dict[int, list[int]] = {}
-    nodes: list[tuple[str, Element | None, int]] = []
-    has_main = False
+    nodes: list[tuple[str, Element | None, int, bool]] = []
+    has_main, in_main, outside = False, 0, {}
     for kind, element, raw in parser.walk(source):
         if kind == "open":
             has_main = has_main or (element.main and not element.chrome)
             continue
         if kind == "break":
-            nodes.append(("", None, 0))
+            nodes.append(("", None, 0, False))
             continue
         if element.chrome:
             continue
         text = tidy(raw)
         bare = text.strip()
-        if template and bare and not element.main and hash64(element.path, bare) in template:
+        fixed = bool(template and bare) and hash64(element.path, bare) in template
+        if fixed and not element.main:
             continue
         around = element
         while template and around.parent is not None and around.path not in template:
             around = around.parent
         slot = around.path
-        figures = slots.setdefault(slot, [0, 0])
-        figures[element.link] += len(bare)
-        nodes.append((text, element, slot))
+        if not fixed:
+            slots.setdefault(slot, [0, 0])[element.link] += len(bare)
+            if element.main:
+                in_main += len(bare)
+            elif not element.link:
+                outside[slot] = outside.get(slot, 0) + len(bare)
+        nodes.append((text, element, slot, fixed))
+    whole = has_main and not in_main
+    if has_main and not whole and max(outside.values(), default=0) >= max(OUTSIDE_CHARS, OUTSIDE * in_main):
+        has_main = False
     blocks, line = [], []
-    for text, element, slot in [*nodes, ("", None, 0)]:
+    for text, element, slot, fixed in [*nodes, ("", None, 0, False)]:
         if element is None:
             if (joined := SPACE.sub(" ", "".join(line)).strip()):
                 blocks.append(joined)
             line = []
+        elif fixed and not whole:
+            continue
         elif element.main if has_main else slots[slot][1] <= slots[slot][0]:
             line.append(text)
     return "\n".join(blocks)
@@ -267,7 +286,8 @@ def extract(pages: DataFrame) -> DataFrame:
     counts = token_counts(rows.select(F.xxhash64("page_id", "url").alias("page"), "host", "html"))
     sizes = rows.groupBy("host").agg(F.count("*").alias("pages"))
     found = checkpointed(templates(counts, sizes))
-    with_template = rows.join(F.broadcast(found) if found.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS else found, "host", "left")
+    size = found.agg(F.coalesce(F.sum(100 + 8 * F.size("template")), F.lit(0))).first()[0]
+    with_template = rows.join(F.broadcast(found) if size <= BROADCAST_BYTES else found, "host", "left")
     id_type = pages.schema["page_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -191,6 +191,67 @@ def test_template_text_outside_articles_goes(spark):
     assert all(r["text"] == f"story {r['page_id']}\nmore of {r['page_id']}" for r in got)
 
 
+def notice_pages():
+    """Articles with a notice that no name gives away, copies of one article, and a teaser beside the text proper."""
+    notice = "<p>Read on with a free trial of our paper</p>"
+    rows = [(i, "http://a.org/", f"<body><div id=top><em>The Paper</em></div><article><h1>head {i}</h1>{notice}<p>story {i} goes on</p></article></body>") for i in range(10)]
+    rows += [(20 + i, "http://b.org/", f"<body><script>{i}</script><article><p>One text</p><p>on all pages</p></article></body>") for i in range(9)]
+    rows += [(40 + i, "http://c.org/", f"<body><article><p>next: {i}</p></article><div id=x><p>{'long text proper %d ' % i * 20}</p></div></body>") for i in range(3)]
+    return rows
+
+
+def test_template_decides_inside_articles(spark, monkeypatch):
+    d = spark.createDataFrame(notice_pages(), "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html_template.extract(d).collect()}
+    assert all(got[i] == f"head {i}\nstory {i} goes on" for i in range(10))
+    assert all(got[20 + i] == "One text\non all pages" for i in range(9))
+    assert all(got[40 + i].endswith("long text proper %d " % i * 1 + "long text proper %d" % i) for i in range(3))
+    monkeypatch.setattr(html_template, "templates", lambda counts, sizes: sizes.select("host", F.array().cast("array<long>").alias("template")).where("false"))
+    without = {r["page_id"]: r["text"] for r in html_template.extract(d).collect()}
+    assert all("free trial" in without[i] for i in range(10)) and without != got
+
+
+def brute_template(pages):
+    """The template of one host by explicit occurrence vectors: {token} of valid classes nested from the root."""
+    parser, on_page, parent, in_main = html_template.Parser(), [], {}, set()
+    for source in pages:
+        n = Counter()
+        for kind, e, raw in parser.walk(source):
+            text = html_template.tidy(raw).strip()
+            if kind == "open" or (kind == "text" and text):
+                token = e.path if kind == "open" else html_template.hash64(e.path, text)
+                parent[token] = e.parent.path if kind == "open" else e.path
+                in_main |= {token} if kind == "text" and e.main else set()
+                n[token] += 1
+        on_page.append(n)
+    vector = {t: tuple(n[t] for n in on_page) for t in parent}
+    support = {t: sum(x > 0 for x in v) for t, v in vector.items()}
+    frequent = {t for t in parent if support[t] >= max(*((html_template.MAIN_PAGES, html_template.MAIN_SHARE * len(pages)) if t in in_main else (html_template.MIN_PAGES, html_template.MIN_SHARE * len(pages))))}
+    root = parser.root.path
+
+    def holds(t):
+        return all(parent[x] == root or (parent[x] in frequent and support[parent[x]] >= support[x]) for x in frequent if vector[x] == vector[t])
+
+    valid = {t for t in frequent if holds(t)}
+    while (orphans := {t for t in valid if parent[t] != root and parent[t] not in valid}):
+        valid -= orphans
+    return valid
+
+
+def test_templates_equal_brute_force(spark):
+    r, rows = random.Random(4), []
+    for host in range(6):
+        for i in range(r.choice([2, 5, 12, 30])):
+            bits = ["<nav><a href=/>home</a></nav>", "<div class=x><p>same words</p></div>", f"<div id=y><b>{r.choice('pq')}</b></div>", f"<article><p>t{host}-{i}</p><p>inside</p></article>", "<ul><li>1<li>2</ul>", "<footer>end</footer>"]
+            rows.append((len(rows), f"http://h{host}/", "<html><body>" + "".join(b for b in bits if r.random() < 0.85) + "</body></html>"))
+    d = spark.createDataFrame([(p, u[7:-1], h) for p, u, h in rows], "page long, host string, html string")
+    counts = html_template.token_counts(d.repartition(5))
+    got = {x["host"]: set(x["template"]) for x in html_template.templates(counts, d.groupBy("host").agg(F.count("*").alias("pages"))).collect()}
+    for host in {u[7:-1] for _, u, _ in rows}:
+        want = brute_template([h for _, u, h in rows if u[7:-1] == host])
+        assert got.get(host, set()) == want and (want or sum(u[7:-1] == host for _, u, _ in rows) < 3)
+
+
 def test_base_figures_equal_brute_force():
     r = random.Random(6)
     for _ in range(300):
