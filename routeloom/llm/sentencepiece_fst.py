@@ -1,24 +1,29 @@
 """SentencePiece encoding and decoding as a weighted finite-state transducer.
 
-Compilation.  The model file is read once on the driver.  The normaliser does dummy prefix,
-space to U+2581 and optional removal of extra spaces.  The piece
-machine has one state per piece just emitted; an arc leads from piece ``a`` to piece ``b``
-reading the characters of ``b``.  For a BPE model the arc exists only if the merges keep
-the border between ``a`` and ``b``, that is if merging the two strings together ends in
-exactly ``a, b``.  A sequence whose adjacent borders all hold is the merge result itself:
-no merge crosses any border, so the merges inside each piece run as if alone.  Characters
-outside the vocabulary are read by the byte fallback arc, which emits one byte piece per
-UTF-8 byte and costs more than any piece.  For a unigram model every arc exists and costs
-the negated piece score.
-
-Composition.  Each input is composed with the machine as a lattice over (position, last
-piece).  For a unigram model the path of least cost in the tropical semiring is taken.  A BPE
-lattice has one path only, so no weights are read there: it is searched longest piece first,
-with steps back.  The normaliser is plain code, not a compiled machine.  No piece holds a
-U+2581 after another character, so the lattice falls apart at those places (and at
-characters which no longer piece holds); the parts are solved on their own and memoised in
-a dictionary of bounded size.  The parts are local, hence long texts need no more memory
-than their result.
+Compilation.  The model file is read once on the driver.  Two machines are built from it.
+
+* The normaliser has three states (start, behind text, behind spaces) and arcs over runs of
+  spaces and of other characters; it writes the dummy prefix, U+2581 for spaces, and one for a
+  run if extra spaces are to go.
+* The piece machine is a trie of pieces whose leaves lead back to its root.  An arc of piece
+  ``b`` leaves the state that piece ``a`` has led to, reads the characters of ``b`` and writes
+  its id.  For a unigram model every such arc exists and costs the negated score.  For a BPE
+  model it costs 1 and exists only if the merges keep the border between ``a`` and ``b``; a
+  sequence whose borders all hold is the merge result itself, since no merge crosses a border
+  and so the merges inside each piece run as if alone.  A border is tested by undoing the
+  merges of both sides from the last one back (``holds``).  A character that is no piece is read
+  by the fallback arc, which writes its UTF-8 bytes as byte pieces, or the unknown id, and costs
+  more than a path of pieces for BPE, and what the library charges for unigram models.
+* User-defined pieces are matched first, the longest one, and cut the text.
+
+Composition.  Each normalised input is composed with the piece machine as a lattice over
+positions and the path of least cost in the tropical semiring is taken: costs are relaxed
+position by position.  A position needs one state: in a unigram machine all states behind a
+position have the same arcs, and in a BPE machine a prefix has one path only, the merge
+result of that prefix.  No piece holds a U+2581 after another character, so the lattice falls
+apart at those places (and between characters that stand side by side in no piece); the parts
+are solved on their own and memoised in a dictionary of bounded size.  The parts are local,
+hence long texts need no more memory than their result.
 
 Defined results: null and empty texts give no pieces and decode to the empty text; very
 long texts are encoded whole; repeated rows give repeated rows; other columns are ignored.
@@ -29,6 +34,7 @@ from __future__ import annotations
 import re
 import struct
 import uuid
+from collections import Counter
 from collections.abc import Callable
 
 import numpy as np
@@ -42,8 +48,12 @@ SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: Entries of a generation of the memos of parts and of borders, some 300 bytes each, in one Python worker.
 PART_ENTRIES, BORDER_ENTRIES = 150_000, 75_000
-#: Cost of the byte fallback arc, above the cost of any path of pieces.
+#: Cost of the fallback arc of a BPE model, above the cost of any path of pieces.
 FALLBACK_COST = 1e6
+#: Fixed value: what the library takes off the least score for an unknown character.
+UNKNOWN_PENALTY = 10.0
+START, BEHIND_TEXT, BEHIND_SPACES = range(3)
+RUNS = re.compile(" +|[^ ]+").findall
 
 
 def _fields(buf: bytes):
@@ -131,21 +141,75 @@ class Memo(dict):
         return value
 
 
+class Normaliser:
+    """The compiled normaliser; arcs: state -> (written before a run of spaces, for each space, once), (written before other characters)."""
+
+    def __init__(self, model: dict):
+        mark = SPACE if model["escape_whitespaces"] else " "
+        prefix = mark if model["add_dummy_prefix"] else ""
+        if model["remove_extra_whitespaces"]:
+            # spaces are written by the text behind them, so those at the end never are
+            self.spaces = {START: ("", "", START), BEHIND_TEXT: ("", "", BEHIND_SPACES), BEHIND_SPACES: ("", "", BEHIND_SPACES)}
+            self.text = {START: prefix, BEHIND_TEXT: "", BEHIND_SPACES: mark}
+        else:
+            self.spaces = {START: (prefix, mark, BEHIND_SPACES), BEHIND_TEXT: ("", mark, BEHIND_SPACES)}
+            self.text = {START: prefix, BEHIND_TEXT: "", BEHIND_SPACES: ""}
+            # the states behind the start have the same arcs, so they are one, whose arcs a replacement takes all at once
+            self.run = lambda text: prefix + text.replace(" ", mark) if text else ""
+
+    def run(self, text: str) -> str:
+        state, out, spaces, before = START, [], self.spaces, self.text
+        for run in RUNS(text):
+            if run[0] == " ":
+                first, each, state = spaces[state]
+                out.append(first + each * len(run))
+            else:
+                out.append(before[state] + run)
+                state = BEHIND_TEXT
+        return "".join(out)
+
+
 class Transducer:
     """The compiled machine; built in each Python worker from the broadcast model."""
 
     def __init__(self, model: dict):
         self.model = model
         self.bpe = model["model_type"] == 2
-        self.score = {t: s for t, s, k in model["pieces"] if k in (NORMAL, USER_DEFINED)}
-        self.id = {t: i for i, (t, _, k) in enumerate(model["pieces"]) if k in (NORMAL, USER_DEFINED)}
+        self.normalise = Normaliser(model).run
+        self.score = {t: s for t, s, k in model["pieces"] if k == NORMAL}
+        self.id = {t: i for i, (t, _, k) in enumerate(model["pieces"]) if k == NORMAL}
         self.unk = next((i for i, (_, _, k) in enumerate(model["pieces"]) if k == UNKNOWN), 0)
         self.byte_id = {int(t[3:5], 16): i for i, (t, _, k) in enumerate(model["pieces"]) if k == BYTE}
-        self.longest = max(map(len, self.score), default=1)
-        #: prefix -> whether some piece starts with it; ends the reading of arcs early
-        self.prefixes = {t[:i] for t in self.score for i in range(1, len(t) + 1)}
-        #: prefix -> the longest piece that is a shorter prefix of it, or ""
-        self.shorter = {t: next((t[:i] for i in range(len(t) - 1, 0, -1) if t[:i] in self.score), "") for t in self.prefixes}
+        self.unknown_cost = FALLBACK_COST if self.bpe else UNKNOWN_PENALTY - min(self.score.values(), default=0.0)
+        self.size = len(model["pieces"])
+        self.piece = [t for t, _, _ in model["pieces"]]
+        user = {t: struct.pack("<i", i) for i, (t, _, k) in enumerate(model["pieces"]) if k == USER_DEFINED and t}
+        self.user = user
+        self.split_user = re.compile("(" + "|".join(map(re.escape, sorted(user, key=len, reverse=True))) + ")").split if user else None
+        #: when a piece comes about, from the first merge on, and the two that it comes from
+        self.time: dict[str, int] = {}
+        self.halves: dict[str, tuple[str, str]] = {}
+        if self.bpe:
+            for n, t in enumerate(sorted((t for t in self.score if len(t) > 1), key=lambda t: -self.score[t])):
+                self.time[t] = n
+            for t in self.time:
+                if len(half := self.merges(t, whole=False)) == 2:
+                    self.halves[t] = (half[0], half[1])
+        #: pieces that tie with another, come about before a half of theirs, or hold such a piece: their borders are tested by merging
+        ties = Counter(self.score[t] for t in self.time)
+        self.odd = {t for t, n in self.time.items() if ties[self.score[t]] > 1 or any(self.time.get(h, -1) > n for h in self.halves.get(t, ()))}
+        for t in sorted(self.halves, key=len):
+            if not self.odd.isdisjoint(self.halves[t]):
+                self.odd.add(t)
+        #: character -> node of the trie; under 0 the id and cost of the piece that ends there
+        self.trie: dict = {}
+        for t, i in self.id.items():
+            if self.bpe and len(t) > 1 and t not in self.halves:
+                continue  # the merges never give it
+            node = self.trie
+            for c in t:
+                node = node.setdefault(c, {})
+            node[0] = (i, 1.0 if self.bpe else -self.score[t])
         self.pairs = {t[i : i + 2] for t in self.score for i in range(len(t) - 1)}
         inner = {c for t in self.score if len(t) > 1 for c in t}
         if any(SPACE in t.lstrip(SPACE) for t in self.score):
@@ -160,18 +224,8 @@ class Transducer:
     def forget(self) -> None:
         self.memo, self.border = Memo(PART_ENTRIES, self.emit), Memo(BORDER_ENTRIES, self.holds)
 
-    def normalise(self, text: str) -> str:
-        m = self.model
-        if m["remove_extra_whitespaces"]:
-            text = re.sub(" +", " ", text).strip(" ")
-        if not text:
-            return ""
-        if m["add_dummy_prefix"]:
-            text = " " + text
-        return text.replace(" ", SPACE) if m["escape_whitespaces"] else text
-
-    def merges(self, text: str) -> list[str]:
-        """What the merges leave of ``text``: best score first, then leftmost."""
+    def merges(self, text: str, whole: bool = True) -> list[str]:
+        """What the merges leave of ``text``: best score first, then leftmost; without ``whole``, before the one that would give all of it."""
         s, score = list(text), self.score
         while len(s) > 1:
             best, at = None, -1
@@ -179,113 +233,95 @@ class Transducer:
                 v = score.get(s[i] + s[i + 1])
                 if v is not None and (best is None or v > best):
                     best, at = v, i
-            if best is None:
+            if best is None or (len(s) == 2 and not whole):
                 break
             s[at : at + 2] = [s[at] + s[at + 1]]
         return s
 
-    def holds(self, ends: tuple[str, str]) -> bool:
-        """Whether the machine has the arc from one piece (or the start, "") to another."""
-        a, b = ends
-        return not self.bpe or self.merges(a + b) == ([a, b] if a else [b])
-
-    def arcs(self, text: str, at: int):
-        """Arcs that read from ``at``: (piece, cost)."""
-        found = False
-        for end in range(at + 1, min(len(text), at + self.longest) + 1):
-            t = text[at:end]
-            if t not in self.prefixes:
-                break
-            v = self.score.get(t)
-            if v is not None:
-                found = found or end == at + 1
-                yield t, 1.0 if self.bpe else -v
-        if not found:
-            yield text[at], FALLBACK_COST
-
-    def shortest(self, text: str) -> list[str]:
-        """Pieces on the path of ``text`` composed with the machine: the only one for BPE, else the tropical shortest."""
-        n = len(text)
-        if self.bpe:
-            return self._only_path(text)
-        best: list[tuple[float, str]] = [(0.0, "")] + [(float("inf"), "")] * n
-        for at in range(n):
-            for piece, cost in self.arcs(text, at):
-                end = at + len(piece)
-                if best[at][0] + cost < best[end][0]:
-                    best[end] = (best[at][0] + cost, piece)
+    def holds(self, ends: int) -> bool:
+        """Whether the merges keep the border between two pieces (their ids as one number): no merge across it comes before those that it would undo."""
+        a, b = map(self.piece.__getitem__, divmod(ends, self.size))
+        if a in self.odd or b in self.odd:
+            return self.merges(a + b) == [a, b]
+        time, halves, before = self.time, self.halves, self.size
+        while True:
+            across = time.get(a + b)
+            if across is not None and across < before:
+                return False
+            ta, tb = time.get(a, -1), time.get(b, -1)
+            if ta > tb:
+                before, a = ta, halves[a][1]
+            elif tb >= 0:
+                # of two like merges the left one comes first
+                before, b = tb + 1, halves[b][0]
+            else:
+                return True
+
+    def shortest(self, text: str) -> list[int]:
+        """Ids on the path of least cost of ``text`` composed with the machine; -1 stands for the fallback arc of a character."""
+        n, size, bpe, border, trie, unknown = len(text), self.size, self.bpe, self.border, self.trie, self.unknown_cost
+        far = float("inf")
+        cost, came, what = [far] * (n + 1), [0] * (n + 1), [-1] * (n + 1)  # of each position: least cost, start and id of the arc that leads there
+        cost[0] = 0.0
+        for at, here in enumerate(cost):  # in order: costs behind a position are final
+            if here == far or at == n:
+                continue
+            last = what[at]
+            base = last * size if bpe and last >= 0 else -1
+            node, end, single = trie, at, False
+            for c in text[at:]:
+                node = node.get(c)
+                if node is None:
+                    break
+                end += 1
+                arc = node.get(0)
+                if arc is not None:
+                    piece, more = arc
+                    more += here
+                    if more < cost[end] and (base < 0 or border[base + piece]):
+                        cost[end], came[end], what[end] = more, at, piece
+                    if end == at + 1:
+                        single = True
+            if not single and here + unknown < cost[at + 1]:
+                cost[at + 1], came[at + 1], what[at + 1] = here + unknown, at, -1
         out, at = [], n
         while at:
-            out.append(best[at][1])
-            at -= len(best[at][1])
-        return out[::-1]
-
-    def _only_path(self, text: str) -> list[str]:
-        """The composition is opened up lazily, longest arc first.  Borders make the BPE machine unambiguous: every
-        prefix has exactly one path, the merge result of that prefix.  So a position has one state at most, one that
-        led nowhere need not be tried again, and the first path that arrives is the only one, hence the shortest."""
-        n, longest, prefixes, score, shorter, border = len(text), self.longest, self.prefixes, self.score, self.shorter, self.border
-        out: list[str] = []
-        last, at, dead = "", 0, set()
-        piece = None
-        while at < n:
-            if piece is None:  # the longest piece that starts here
-                end, top = at + 1, min(n, at + longest)
-                while end < top and text[at : end + 1] in prefixes:
-                    end += 1
-                piece = text[at:end]
-                if piece not in score:
-                    piece = shorter.get(piece) or text[at]
-            while True:
-                if at + len(piece) not in dead and border[last, piece]:
-                    break
-                piece = shorter.get(piece)
-                if not piece:
-                    break
-            if piece:
-                out.append(piece)
-                at += len(piece)
-                last, piece = piece, None
-            else:
-                dead.add(at)
-                piece = out.pop()
-                at -= len(piece)
-                last = out[-1] if out else ""
-                piece = shorter.get(piece)
-                if not piece:
-                    # nothing shorter starts there either: go on with the step before
-                    piece = ""
-                    while not piece:
-                        dead.add(at)
-                        piece = out.pop()
-                        at -= len(piece)
-                        last = out[-1] if out else ""
-                        piece = shorter.get(piece)
+            out.append(what[at])
+            at = came[at]
+        out.reverse()
         return out
 
     def emit(self, part: str) -> bytes:
         """Little-endian int32 ids of one part."""
-        # no merge crosses two characters that stand side by side in no piece: what lies between such places is solved alone
-        pairs = self.pairs
-        cuts = [i for i in range(1, len(part)) if part[i - 1 : i + 1] not in pairs]
-        if cuts:
+        # no piece holds two characters that stand side by side in none: what lies between such places is solved alone
+        if not self.pairs.issuperset(map(str.__add__, part, part[1:])):
+            cuts = [i for i in range(1, len(part)) if part[i - 1 : i + 1] not in self.pairs]
             return b"".join([self.ids(part[i:j]) for i, j in zip([0, *cuts], [*cuts, len(part)])])
-        ids: list[int] = []
-        for piece in self.shortest(part):
-            i = self.id.get(piece)
-            if i is not None:
-                ids.append(i)
-            elif self.byte_id and self.model["byte_fallback"]:
-                ids.extend(self.byte_id[b] for b in piece.encode("utf-8"))
-            else:
-                ids.append(self.unk)
+        ids = self.shortest(part)
+        if -1 in ids:
+            at, out = 0, []
+            for i in ids:
+                if i >= 0:
+                    out.append(i)
+                    at += len(self.piece[i])
+                    continue
+                out += [self.byte_id[b] for b in part[at].encode("utf-8")] if self.byte_id and self.model["byte_fallback"] else [self.unk]
+                at += 1
+            ids = out
         return struct.pack(f"<{len(ids)}i", *ids)
 
     def ids(self, part: str) -> bytes:
         return self.memo[part] if len(part) <= 64 else self.emit(part)  # longer parts are rare and would make the memo's size unbounded
 
     def encode(self, text: str) -> bytes:
-        parts = self.parts(self.normalise(text))
+        plain = self.normalise(text)
+        if self.split_user is not None:
+            between = self.split_user(plain)  # pieces stand at the odd places
+            return b"".join(self.user[x] if i % 2 else self._encode(x) for i, x in enumerate(between))
+        return self._encode(plain)
+
+    def _encode(self, plain: str) -> bytes:
+        parts = self.parts(plain)
         if parts and max(map(len, parts)) > 64:
             return b"".join(map(self.ids, parts))
         return b"".join(map(self.memo.__getitem__, parts))
