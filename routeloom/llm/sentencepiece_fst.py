@@ -5,7 +5,7 @@ Compilation.  The model file is read once on the driver.  Two machines are built
 * The normaliser has three states (start, behind text, behind spaces) and arcs over runs of
   spaces and of other characters; it writes the dummy prefix, U+2581 for spaces, and one for a
   run if extra spaces are to go.
-* The piece machine is a trie of pieces whose leaves lead back to its root.  An arc of piece
+* The piece machine reads characters and knows all pieces that end behind each.  An arc of piece
   ``b`` leaves the state that piece ``a`` has led to, reads the characters of ``b`` and writes
   its id.  For a unigram model every such arc exists and costs the negated score.  For a BPE
   model it costs 1 and exists only if the merges keep the border between ``a`` and ``b``; a
@@ -21,8 +21,8 @@ positions and the path of least cost in the tropical semiring is taken: costs ar
 position by position.  A position needs one state: in a unigram machine all states behind a
 position have the same arcs, and in a BPE machine a prefix has one path only, the merge
 result of that prefix.  No piece holds a U+2581 after another character, so the lattice falls
-apart at those places (and between characters that stand side by side in no piece); the parts
-are solved on their own and memoised in a dictionary of bounded size.  The parts are local,
+apart at those places; the parts are solved on their own and memoised in a dictionary of
+bounded size.  The parts are local,
 hence long texts need no more memory than their result.
 
 Defined results: null and empty texts give no pieces and decode to the empty text; very
@@ -34,6 +34,7 @@ from __future__ import annotations
 import re
 import struct
 import uuid
+from array import array
 from collections import Counter
 from collections.abc import Callable
 
@@ -46,8 +47,8 @@ from .common import map_text, table
 SPACE = "▁"
 #: Piece types of the model format.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-#: Entries of a generation of the memos of parts and of borders, some 300 bytes each, in one Python worker.
-PART_ENTRIES, BORDER_ENTRIES = 150_000, 75_000
+#: Entries of the memos of parts and of borders, some 300 and 100 bytes each, in one Python worker.
+PART_ENTRIES, BORDER_ENTRIES = 200_000, 200_000
 #: Cost of the fallback arc of a BPE model, above the cost of any path of pieces.
 FALLBACK_COST = 1e6
 #: Fixed value: what the library takes off the least score for an unknown character.
@@ -124,20 +125,21 @@ def load_model(path: str) -> dict:
 
 
 class Memo(dict):
-    """What ``make`` gives for a key, in two generations of at most ``limit`` entries: what is in use moves to the young one, the old one is dropped when that is full."""
+    """What ``make`` gives for a key.  With ``limit`` entries it is full and keeps what it has, since the frequent keys come early; after as many keys more it starts anew."""
 
     def __init__(self, limit: int, make: Callable):
         super().__init__()
-        self.limit, self.make, self.old = limit, make, {}
+        self.limit, self.make, self.missed = limit, make, 0
 
     def __missing__(self, key):
-        value = self.old.get(key)
-        if value is None:
-            value = self.make(key)
-        if len(self) >= self.limit:
-            self.old = dict(self)
-            self.clear()
-        self[key] = value
+        value = self.make(key)
+        if len(self) < self.limit:
+            self[key] = value
+        else:
+            self.missed += 1
+            if self.missed > self.limit:
+                self.clear()
+                self.missed = 0
         return value
 
 
@@ -183,7 +185,7 @@ class Transducer:
         self.unknown_cost = FALLBACK_COST if self.bpe else UNKNOWN_PENALTY - min(self.score.values(), default=0.0)
         self.size = len(model["pieces"])
         self.piece = [t for t, _, _ in model["pieces"]]
-        user = {t: struct.pack("<i", i) for i, (t, _, k) in enumerate(model["pieces"]) if k == USER_DEFINED and t}
+        user = {t: array("i", [i]).tobytes() for i, (t, _, k) in enumerate(model["pieces"]) if k == USER_DEFINED and t}
         self.user = user
         self.split_user = re.compile("(" + "|".join(map(re.escape, sorted(user, key=len, reverse=True))) + ")").split if user else None
         #: when a piece comes about, from the first merge on, and the two that it comes from
@@ -201,16 +203,11 @@ class Transducer:
         for t in sorted(self.halves, key=len):
             if not self.odd.isdisjoint(self.halves[t]):
                 self.odd.add(t)
-        #: character -> node of the trie; under 0 the id and cost of the piece that ends there
-        self.trie: dict = {}
-        for t, i in self.id.items():
-            if self.bpe and len(t) > 1 and t not in self.halves:
-                continue  # the merges never give it
-            node = self.trie
-            for c in t:
-                node = node.setdefault(c, {})
-            node[0] = (i, 1.0 if self.bpe else -self.score[t])
-        self.pairs = {t[i : i + 2] for t in self.score for i in range(len(t) - 1)}
+        #: characters inside pieces that are none themselves have ids behind the pieces': merges see them, fallback writes them
+        more = sorted({c for t in self.score for c in t} - self.id.keys()) if self.bpe else []
+        self.piece += more
+        self._compile({**{t: (i, len(t), 1.0 if self.bpe else -self.score[t]) for t, i in self.id.items() if not self.bpe or len(t) == 1 or t in self.halves}, **{c: (self.size + i, 1, self.unknown_cost) for i, c in enumerate(more)}})
+        self.size += len(more)
         inner = {c for t in self.score if len(t) > 1 for c in t}
         if any(SPACE in t.lstrip(SPACE) for t in self.score):
             raise ValueError("a piece holds a space mark after another character")
@@ -221,6 +218,35 @@ class Transducer:
         for t, _, k in model["pieces"]:
             self.piece_bytes.append(bytes([int(t[3:5], 16)]) if k == BYTE else b"" if k == CONTROL else " ⁇ ".encode() if k == UNKNOWN else t.replace(SPACE, " ").encode("utf-8"))
 
+    def _compile(self, arcs: dict[str, tuple[int, int, float]]) -> None:
+        """The piece machine, read from the left: after each character its node tells all arcs that end there, the longest first."""
+        self.child: list[dict[str, int]] = [{}]
+        self.fail, ends = [0], {}
+        for t, arc in arcs.items():
+            node = 0
+            for c in t:
+                if c not in self.child[node]:
+                    self.child[node][c] = len(self.child)
+                    self.child.append({})
+                    self.fail.append(0)
+                node = self.child[node][c]
+            ends[node] = arc
+        self.ending: list[tuple] = [()] * len(self.child)
+        layer = [0]
+        while layer:  # shorter ones first: a node continues the longest proper suffix that is a node
+            below = []
+            for node in layer:
+                for c, to in self.child[node].items():
+                    back = self.fail[node]
+                    while back and c not in self.child[back]:
+                        back = self.fail[back]
+                    self.fail[to] = self.child[back].get(c, 0) if node else 0
+                    self.ending[to] = ((ends[to],) if to in ends else ()) + self.ending[self.fail[to]]
+                    below.append(to)
+            layer = below
+        none: dict[str, int] = {}
+        self.child = [x or none for x in self.child]
+
     def forget(self) -> None:
         self.memo, self.border = Memo(PART_ENTRIES, self.emit), Memo(BORDER_ENTRIES, self.holds)
 
@@ -258,33 +284,41 @@ class Transducer:
                 return True
 
     def shortest(self, text: str) -> list[int]:
-        """Ids on the path of least cost of ``text`` composed with the machine; -1 stands for the fallback arc of a character."""
-        n, size, bpe, border, trie, unknown = len(text), self.size, self.bpe, self.border, self.trie, self.unknown_cost
-        far = float("inf")
-        cost, came, what = [far] * (n + 1), [0] * (n + 1), [-1] * (n + 1)  # of each position: least cost, start and id of the arc that leads there
-        cost[0] = 0.0
-        for at, here in enumerate(cost):  # in order: costs behind a position are final
-            if here == far or at == n:
-                continue
-            last = what[at]
-            base = last * size if bpe and last >= 0 else -1
-            node, end, single = trie, at, False
-            for c in text[at:]:
-                node = node.get(c)
-                if node is None:
-                    break
-                end += 1
-                arc = node.get(0)
-                if arc is not None:
-                    piece, more = arc
-                    more += here
-                    if more < cost[end] and (base < 0 or border[base + piece]):
-                        cost[end], came[end], what[end] = more, at, piece
-                    if end == at + 1:
-                        single = True
-            if not single and here + unknown < cost[at + 1]:
-                cost[at + 1], came[at + 1], what[at + 1] = here + unknown, at, -1
-        out, at = [], n
+        """Ids on the path of least cost of ``text`` composed with the machine; -1 stands for the fallback arc of a character in no piece.
+
+        Costs are relaxed position by position over the arcs that end there.  In a BPE machine one of them leads on a path, so the first that does is the least.
+        """
+        size, bpe, border, child, fail, ending, unknown = self.size, self.bpe, self.border, self.child, self.fail, self.ending, self.unknown_cost
+        cost, came, what = [0.0], [0], [-1]  # of each position: least cost, start and id of the arc that leads there
+        node = end = 0
+        for c in text:
+            end += 1
+            to = child[node].get(c)
+            while to is None and node:
+                node = fail[node]
+                to = child[node].get(c)
+            node = to or 0
+            least, start, arc = float("inf"), end - 1, -1
+            if bpe:
+                for piece, length, more in ending[node]:
+                    at = end - length
+                    last = what[at]
+                    if last < 0 or border[last * size + piece]:
+                        least, start, arc = cost[at] + more, at, piece
+                        break
+                else:
+                    least = cost[-1] + unknown
+            else:
+                length = 0
+                for piece, length, more in ending[node]:
+                    if cost[end - length] + more < least:
+                        least, start, arc = cost[end - length] + more, end - length, piece
+                if length != 1 and cost[-1] + unknown < least:
+                    least, start, arc = cost[-1] + unknown, end - 1, -1
+            cost.append(least)
+            came.append(start)
+            what.append(arc)
+        out, at = [], end
         while at:
             out.append(what[at])
             at = came[at]
@@ -292,23 +326,19 @@ class Transducer:
         return out
 
     def emit(self, part: str) -> bytes:
-        """Little-endian int32 ids of one part."""
-        # no piece holds two characters that stand side by side in none: what lies between such places is solved alone
-        if not self.pairs.issuperset(map(str.__add__, part, part[1:])):
-            cuts = [i for i in range(1, len(part)) if part[i - 1 : i + 1] not in self.pairs]
-            return b"".join([self.ids(part[i:j]) for i, j in zip([0, *cuts], [*cuts, len(part)])])
+        """The ids of one part as 32-bit integers."""
         ids = self.shortest(part)
-        if -1 in ids:
+        if min(ids) < 0 or max(ids) >= len(self.piece_bytes):
             at, out = 0, []
             for i in ids:
-                if i >= 0:
+                if 0 <= i < len(self.piece_bytes):
                     out.append(i)
                     at += len(self.piece[i])
                     continue
                 out += [self.byte_id[b] for b in part[at].encode("utf-8")] if self.byte_id and self.model["byte_fallback"] else [self.unk]
                 at += 1
             ids = out
-        return struct.pack(f"<{len(ids)}i", *ids)
+        return array("i", ids).tobytes()
 
     def ids(self, part: str) -> bytes:
         return self.memo[part] if len(part) <= 64 else self.emit(part)  # longer parts are rare and would make the memo's size unbounded
@@ -351,7 +381,7 @@ def encode(docs: DataFrame, model_path: str) -> DataFrame:
         machine = _machines[token]
         texts = [t or "" for t in batch.column("text").to_pylist()]
         coded = [machine.encode(t) for t in texts]
-        flat = np.frombuffer(b"".join(coded), "<i4")
+        flat = np.frombuffer(b"".join(coded), np.int32)
         ends = np.cumsum([0] + [len(c) // 4 for c in coded])
         is_byte = np.zeros(len(machine.piece_bytes) + 1, bool)
         is_byte[list(machine.byte_id.values())] = True

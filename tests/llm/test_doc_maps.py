@@ -101,6 +101,12 @@ def test_path_equals_the_merges_of_any_vocabulary():
     assert both == {True, False}
 
 
+def test_characters_that_are_pieces_only_together():
+    machine = sentencepiece_fst.Transducer(bpe_model([("<unk>", 0.0, 2), ("a", -9.0, 1), ("ab", -2.0, 1), ("bb", -1.0, 1)]))
+    for t, want in {"ab": [2], "b": [0], "bb": [3], "abb": [1, 3], "abbb": [1, 3, 0], "aabab": [1, 2, 2], "ba": [0, 1], "zab": [0, 2]}.items():
+        assert np.frombuffer(machine.encode(t), np.int32).tolist() == want, t
+
+
 def test_user_defined_pieces_are_matched_first():
     machine = sentencepiece_fst.Transducer(bpe_model([("<unk>", 0.0, 2), ("a", -9.0, 1), ("b", -10.0, 1), ("ab", -1.0, 1), ("<x>", 0.0, 4), ("<x>b", 0.0, 4)]))
     ids = lambda t: np.frombuffer(machine.encode(t), "<i4").tolist()
