@@ -78,10 +78,11 @@ def renumber(nodes: DataFrame, edges: DataFrame, order: list[str | Column]) -> t
 
 
 def renumber_edges(edges: DataFrame) -> DataFrame:
-    """Edge ids dense in the order (src, dst, edge_id); ``via`` follows; edges whose ``via`` would dangle keep null members."""
+    """Edge ids dense in the order (src, dst, edge_id); ``via`` follows; a ``via`` that names no edge is an error."""
     ids = numbered(edges, ["src", "dst", "edge_id"], "new_id")
     of = ids.select("edge_id", "new_id")
-    via = edges.where(F.col("via").isNotNull()).select("edge_id", "via.first", "via.second").join(of.toDF("first", "f"), "first", "left").join(of.toDF("second", "s"), "second", "left").select("edge_id", F.struct(F.col("f").alias("first"), F.col("s").alias("second")).alias("new_via"))
+    dangling = F.raise_error(F.lit("a shortcut names an edge that isn't there")).cast("long")
+    via = edges.where(F.col("via").isNotNull()).select("edge_id", "via.first", "via.second").join(of.toDF("first", "f"), "first", "left").join(of.toDF("second", "s"), "second", "left").select("edge_id", F.struct(F.coalesce("f", dangling).alias("first"), F.coalesce("s", dangling).alias("second")).alias("new_via"))
     return ids.join(via, "edge_id", "left").drop("edge_id", "via").withColumnsRenamed({"new_id": "edge_id", "new_via": "via"}).select(*edges.columns)
 
 
@@ -102,14 +103,37 @@ def shortcut_candidates(edges: DataFrame, contracted: DataFrame) -> DataFrame:
     return into.join(out, "v").where("src <> dst and src <> v and dst <> v").select(F.col("v").alias("via_node"), "src", "dst", F.zip_with("c1", "c2", lambda x, y: x + y).alias("cost"), "first", "second")
 
 
+def skyline(candidates: DataFrame, tie: str) -> DataFrame:
+    """Of the candidates (with src, dst, cost) between two nodes those that no other is at most as costly as in every part; of equal ones that of the least ``tie``.
+
+    Sorted by cost, only earlier ones can beat a candidate, so the list of a pair of nodes is gone through once without a join.
+    """
+    rest = [c for c in candidates.columns if c not in ("src", "dst", "cost")]
+    listed = candidates.groupBy("src", "dst").agg(F.array_sort(F.collect_list(F.struct("cost", tie, *[c for c in rest if c != tie]))).alias("s"))
+    beats = lambda y, x: F.forall(F.zip_with(y["cost"], x["cost"], lambda a, b: a <= b), lambda t: t) & ((y["cost"] != x["cost"]) | (y[tie] < x[tie]))
+    kept = F.filter("s", lambda x, i: ~F.exists(F.slice(F.col("s"), F.lit(1), i), lambda y: beats(y, x)))
+    return listed.select("src", "dst", F.explode(kept).alias("x")).select("src", "dst", "x.cost", *[f"x.{c}" for c in rest])
+
+
 def used_edges(g: Graph) -> DataFrame:
-    """nodes, edges and the edges each method may use.  prp: in each list (level descending, shortcuts of no level last) all up to the last one with a level."""
-    e = g.edges
-    by_list = e.groupBy("src").agg(F.count("level").alias("with_level"))
-    counts = e.agg(
+    """nodes, edges and the edges each method may use.
+
+    prp: the edges of a list up to the last one with a level.  Lists run by falling level, edges
+    without one last; of nodes ranked up to the least start of a level-1 edge they run by the
+    falling rank of the end, so that edges without a level stand between the others.
+    """
+    rank = g.nodes.select("node_id", "rank")
+    e = g.edges.select("edge_id", "src", "dst", "level", "via").join(rank.toDF("src", "from_rank"), "src").join(rank.toDF("dst", "to_rank"), "dst")
+    least = e.where("level = 1").agg(F.coalesce(F.min("from_rank"), F.lit((1 << 63) - 1)).alias("least"))
+    mixed = F.col("from_rank") <= F.col("least")
+    # the last edge with a level is the one of the least end; of equal ends those with a level come first
+    last = F.min(F.when(F.col("level").isNotNull(), F.col("to_rank"))).over(Window.partitionBy("src"))
+    before = mixed & (F.col("to_rank") > F.col("last")) & F.col("level").isNull()
+    counts = e.join(F.broadcast(least)).withColumn("last", last).agg(  # one row
         F.count("*").alias("edges"),
         F.sum(F.col("via").isNull().cast("long")).alias("normal_edges"),
         F.count("*").alias("pch_edges"),
         F.count("level").alias("pcrp_edges"),
+        F.coalesce(F.sum((F.col("level").isNotNull() | F.coalesce(before, F.lit(False))).cast("long")), F.lit(0)).alias("prp_edges"),
     )
-    return g.nodes.agg(F.count("*").alias("nodes")).join(counts).join(by_list.agg(F.coalesce(F.sum("with_level"), F.lit(0)).alias("prp_edges")))  # one row each
+    return g.nodes.agg(F.count("*").alias("nodes")).join(counts)  # one row each

@@ -3,8 +3,10 @@
 A node's level is the highest level at which an incident edge leaves its cell.  Level by
 level, the nodes of that level are contracted: all neighbours of such a node lie in its own
 cell of that level, so the cells are contracted side by side, one group of rows each, and a
-level takes one shuffle whatever the number of nodes.  A cell has to fit into one task,
-which the partitioning sets (``partitioners.py``).
+level takes one shuffle whatever the number of nodes.  Levels with a cell of more than
+CELL_EDGES edges, as in a graph without a partitioning, are contracted in rounds instead: each
+takes an independent set of all nodes that go, as joins over the edge table, so that no task
+holds a cell.
 
 A shortcut u -> w over v is added unless another u -> w edge, or path of two edges that
 avoids v, costs at most as much in every component; so the overlay holds a shortest path for
@@ -19,6 +21,7 @@ Ranks grow with the level and, within a cell, with the order of contraction.
 from __future__ import annotations
 
 import heapq
+import math
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -27,12 +30,15 @@ from pyspark.sql import functions as F
 from ..functions import differing_level, partition_id
 from ..graph import UNRANKED, Graph
 from ..session import cut, numbered
+from .adjacency import degrees, shortcut_candidates, skyline
 
 #: Ranks of one level lie below this times the level plus one.
 LEVEL_RANKS = 1 << 40
-#: A cell stops where the next node has more pairs of an in- and an out-edge than this: with several costs the
-#: shortcuts of a dense core multiply.  What is left joins the top level and is never contracted.
+#: Default of ``contract``: a node with more pairs of an in- and an out-edge than this isn't contracted, since with several
+#: costs the shortcuts of a dense core multiply.  What is left joins the top level.
 STOP_PAIRS = 400
+#: Edges of a cell, of some kilobytes in a Python task, up to which a cell is one task's work.
+CELL_EDGES = 100_000
 
 
 def node_levels(g: Graph) -> DataFrame:
@@ -58,7 +64,7 @@ def lowest_decile(nodes: DataFrame, heuristic: str = "h") -> DataFrame:
     return ranked.join(F.broadcast(n)).where((F.col("__n") <= 10) | (F.col("__r") < F.ceil(F.col("__n") / 10))).drop("__r", "__n")  # one row
 
 
-def _contract_cell(rows: pd.DataFrame) -> pd.DataFrame:
+def _contract_cell(rows: pd.DataFrame, stop_pairs: int | None, share: float) -> pd.DataFrame:
     """rows: edges (kind 'e') and nodes to contract (kind 'n') of one cell.  Returns shortcuts and ranks."""
     out: dict[int, dict[int, list]] = {}
     into: dict[int, dict[int, list]] = {}
@@ -83,17 +89,18 @@ def _contract_cell(rows: pd.DataFrame) -> pd.DataFrame:
             add({"id": int(r.edge_id), "src": int(r.src), "dst": int(r.dst), "cost": tuple(r.cost), "short": bool(r.short)})
     made: list[dict] = []
     size = lambda v: sum(map(len, into.get(v, {}).values())) * sum(map(len, out.get(v, {}).values()))
+    keep = math.floor(len(todo) * (1 - share) + 1e-9)
     heap = [(size(v), v) for v in todo]
     heapq.heapify(heap)
     at_most = lambda a, b: all(x <= y for x, y in zip(a, b))
-    while heap:
+    while heap and len(todo) > keep:
         h, v = heapq.heappop(heap)
         if v not in todo:
             continue
         if (now := size(v)) > h:
             heapq.heappush(heap, (now, v))
             continue
-        if h > STOP_PAIRS:
+        if stop_pairs is not None and h > stop_pairs:
             break
         todo.remove(v)
         before, after = into.pop(v, {}), out.pop(v, {})
@@ -129,8 +136,54 @@ def _contract_cell(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(data, columns=["kind", "cell", "local", "src", "dst", "cost", "first", "second", "dropped"])
 
 
-def contract(g: Graph) -> Graph:
-    """The graph with node levels, ranks and the overlay's shortcuts."""
+MADE = "kind string, cell long, local long, src long, dst long, cost array<double>, first long, second long, dropped boolean"
+
+
+def _contract_rounds(rows: DataFrame, going: DataFrame, stop_pairs: int | None, share: float, decile: bool) -> DataFrame:
+    """What ``_contract_cell`` gives for all cells of a level, by rounds of independent sets of the nodes with the least number of pairs."""
+    edges = cut(rows.where("src <> dst").select("cell", F.col("edge_id").alias("id"), "src", "dst", "cost"))
+    todo = cut(going.select("cell", F.col("src").alias("node_id")))
+    left = todo.count()
+    keep, made, gone, n, made_n = math.floor(left * (1 - share) + 1e-9), None, None, 0, 0
+    while left > keep:
+        degree = degrees(todo.select("node_id"), edges).join(todo, "node_id")
+        size = degree.select("cell", "node_id", (F.col("out_degree").cast("long") * F.col("in_degree")).alias("h"))
+        size = cut(size if stop_pairs is None else size.where(F.col("h") <= stop_pairs))
+        some = cut(lowest_decile(size)) if decile else size
+        taken = cut(independent_set(some, edges).join(todo, "node_id"))
+        found = taken.count()
+        if not found:
+            break
+        nodes = taken.select(F.lit("n").alias("kind"), "cell", F.lit(n).cast("long").alias("local"), F.col("node_id").alias("src"), F.col("node_id").alias("dst"))
+        gone = nodes if gone is None else gone.unionByName(nodes)
+        ids = taken.select("node_id")
+        rest = cut(edges.join(ids.toDF("src"), "src", "left_anti").join(ids.toDF("dst"), "dst", "left_anti").select("cell", "id", "src", "dst", "cost"))
+        new = skyline(shortcut_candidates(edges.withColumnRenamed("id", "edge_id"), ids), "via_node")
+        witness = rest.groupBy("src", "dst").agg(F.collect_list("cost").alias("known"))
+        beaten = F.exists("known", lambda y: F.forall(F.zip_with(y, "cost", lambda a, b: a <= b), lambda t: t))
+        new = new.join(witness, ["src", "dst"], "left").where(F.col("known").isNull() | ~beaten).drop("known").join(taken.select(F.col("node_id").alias("via_node"), "cell"), "via_node")
+        new = cut(numbered(new, ["src", "dst", "via_node", "first", "second"], "k").select("cell", (-1 - made_n - F.col("k")).alias("id"), "src", "dst", "cost", "first", "second"))
+        made_n += new.count()
+        made = new if made is None else made.unionByName(new)
+        edges = cut(rest.unionByName(new.select("cell", "id", "src", "dst", "cost")))
+        todo = cut(todo.join(ids, "node_id", "left_anti").select("cell", "node_id"))
+        left, n = left - found, n + 1
+    none = [F.array().cast("array<double>").alias("cost"), F.lit(0).cast("long").alias("first"), F.lit(0).cast("long").alias("second"), F.lit(False).alias("dropped")]
+    out = todo.select(F.lit("l").alias("kind"), "cell", F.lit(0).cast("long").alias("local"), F.col("node_id").alias("src"), F.col("node_id").alias("dst"), *none)
+    if gone is not None:
+        out = out.unionByName(gone.select("*", *none))
+    if made is not None:
+        out = out.unionByName(made.select(F.lit("e").alias("kind"), "cell", F.col("id").alias("local"), "src", "dst", "cost", "first", "second", F.lit(False).alias("dropped")))
+    return out
+
+
+def contract(g: Graph, stop_pairs: int | None = STOP_PAIRS, share: float = 1.0, cell_edges: int = CELL_EDGES, decile: bool = False) -> Graph:
+    """The graph with node levels, ranks and the overlay's shortcuts.
+
+    stop_pairs: nodes with more pairs of an in- and an out-edge stay (None: all go).  share: the part of
+    each cell's (in rounds, of each level's) nodes that goes.  cell_edges: beyond this a level is contracted in rounds;
+    decile: a round then takes from the tenth of the nodes with the fewest pairs only.
+    """
     levels = g.mlp_levels
     nodes = cut(g.nodes.drop("level").join(node_levels(g), "node_id"))
     live = g.originals().select("edge_id", "src", "dst", "cost", F.lit(None).cast("int").alias("level"), "via")
@@ -141,7 +194,11 @@ def contract(g: Graph) -> Graph:
         # only what can touch a node that goes: its cell's edges
         rows = live.where("c1 = c2").select(F.lit("e").alias("kind"), F.col("c1").alias("cell"), "edge_id", "src", "dst", "cost", F.col("via").isNotNull().alias("short"))
         going = info.where("goes").select(F.lit("n").alias("kind"), "cell", F.lit(0).cast("long").alias("edge_id"), F.col("node_id").alias("src"), F.col("node_id").alias("dst"), F.array().cast("array<double>").alias("cost"), F.lit(False).alias("short"))
-        made = cut(rows.unionByName(going).groupBy("cell").applyInPandas(_contract_cell, "kind string, cell long, local long, src long, dst long, cost array<double>, first long, second long, dropped boolean"))
+        largest = rows.groupBy("cell").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+        if largest > cell_edges:
+            made = cut(_contract_rounds(rows, going, stop_pairs, share, decile))
+        else:
+            made = cut(rows.unionByName(going).groupBy("cell").applyInPandas(lambda cell: _contract_cell(cell, stop_pairs, share), MADE))
         # nodes that are left go up; the edges around them stay
         left = made.where("kind = 'l'").select(F.col("src").alias("node_id"), F.lit(len(levels)).alias("up"))
         nodes = cut(nodes.join(left, "node_id", "left").withColumn("level", F.coalesce("up", "level")).drop("up"))

@@ -2,47 +2,43 @@
 
 Two ways answer the same questions:
 
-* ``relax``: label correction as DataFrame rounds.  All queries share the rounds; a round is
-  one join with the edges and one aggregation.  Nothing depends on the graph fitting anywhere.
-* the search kernel (``kernel.py``): graphs up to KERNEL_EDGES edges go to the executors as
-  arrays, and each batch of queries is searched there with a heap.
-
-``solve`` picks by the number of edges.
+* relational: label correction as DataFrame rounds (``relax``).  All queries share the rounds; a
+  round is one join with the edges and one aggregation.  Nothing depends on the graph fitting
+  anywhere.  ``pch``, ``pcrp`` and ``prp`` run it from both ends over the overlay edges that
+  their rules allow, meet at the cheapest node, and unpack the shortcuts.
+* the search kernel (``kernel.py``): graphs whose arrays take up to ``kernel.KERNEL_BYTES`` go to
+  the executors, and each batch of queries is searched there with a heap.
+
+``solve`` picks by that size.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import dot
+from ..functions import differing_level, dot
 from ..graph import Graph
 from ..session import cut, is_empty
 from . import kernel
 
 METHODS = ("normal", "bi", "pch", "pcrp", "prp")
-#: A graph of this many edges takes about 100 bytes an edge in each Python worker.
-KERNEL_EDGES = 2_000_000
-
-
-def usable_edges(g: Graph, method: str) -> DataFrame:
-    """Edges that a method may use at all, whatever the query."""
-    if method in ("normal", "bi"):
-        return g.originals()
-    if method == "pcrp":
-        return g.edges.where(F.col("level").isNotNull())
-    return g.edges
+#: Steps back along a path between two writes.
+WALK_STEPS = 8
 
 
-def relax(edges: DataFrame, seeds: DataFrame, targets: DataFrame | None = None, max_rounds: int | None = None) -> DataFrame:
+def relax(edges: DataFrame, seeds: DataFrame, targets: DataFrame | None = None, max_rounds: int | None = None, allowed: Column | None = None, carried: tuple[str, ...] = ()) -> DataFrame:
     """query_id, node_id, cost, edge_id (the last edge of a best path; null at a seed).
 
-    edges: edge_id, src, dst, cost.  seeds: query_id, node_id, cost, alpha.  With targets
-    (query_id, target) labels that cannot improve a target's cost any more are not followed.
-    Costs and preferences must not be negative.
+    edges: edge_id, src, dst, cost.  seeds: query_id, node_id, cost, alpha and the ``carried``
+    columns, equal within a query.  With targets (query_id, target) labels that cannot improve a
+    target's cost any more are not followed.  ``allowed`` says, from the columns of an edge and
+    the carried ones, whether a query may take the edge.  Costs and preferences must not be negative.
     """
-    e = cut(edges.select(F.col("edge_id").alias("e"), "src", "dst", F.col("cost").alias("vector")))
-    labels = cut(seeds.groupBy("query_id", "node_id").agg(F.min("cost").alias("cost"), F.first("alpha").alias("alpha")).select("query_id", "node_id", "cost", F.lit(None).cast("long").alias("edge_id"), "alpha", F.lit(True).alias("fresh")))
+    more = [c for c in edges.columns if c not in ("edge_id", "src", "dst", "cost")]
+    e = cut(edges.select(F.col("edge_id").alias("e"), "src", "dst", F.col("cost").alias("vector"), *more))
+    same = [F.any_value(c).alias(c) for c in ("alpha", *carried)]
+    labels = cut(seeds.groupBy("query_id", "node_id").agg(F.min("cost").alias("cost"), *same).select("query_id", "node_id", "cost", F.lit(None).cast("long").alias("edge_id"), "alpha", *carried, F.lit(True).alias("fresh")))
     rounds = 0
     while max_rounds is None or rounds < max_rounds:
         rounds += 1
@@ -52,59 +48,98 @@ def relax(edges: DataFrame, seeds: DataFrame, targets: DataFrame | None = None,
             front = front.join(bound, "query_id", "left").where(F.col("bound").isNull() | (F.col("cost") < F.col("bound"))).drop("bound")
         if is_empty(front):
             break
-        step = front.join(e, front["node_id"] == e["src"]).select("query_id", F.col("dst").alias("node_id"), (F.col("cost") + dot("vector", "alpha")).alias("cost"), F.col("e").alias("edge_id"), "alpha", F.lit(True).alias("fresh"))
+        taken = front.join(e, front["node_id"] == e["src"])
+        step = (taken if allowed is None else taken.where(allowed)).select("query_id", F.col("dst").alias("node_id"), (F.col("cost") + dot("vector", "alpha")).alias("cost"), F.col("e").alias("edge_id"), "alpha", *carried, F.lit(True).alias("fresh"))
         # one aggregation merges old and new labels: on equal cost the old one stays, then the smaller edge
-        merged = labels.withColumn("fresh", F.lit(False)).unionByName(step).groupBy("query_id", "node_id").agg(F.min(F.struct("cost", "fresh", "edge_id")).alias("x"), F.any_value("alpha").alias("alpha"))
-        labels = cut(merged.select("query_id", "node_id", "x.cost", "x.edge_id", "alpha", "x.fresh"))
+        merged = labels.withColumn("fresh", F.lit(False)).unionByName(step).groupBy("query_id", "node_id").agg(F.min(F.struct("cost", "fresh", "edge_id")).alias("x"), *same)
+        labels = cut(merged.select("query_id", "node_id", "x.cost", "x.edge_id", "alpha", *carried, "x.fresh"))
     return labels.select("query_id", "node_id", "cost", "edge_id")
 
 
-def sssp(g: Graph, source: int, alpha: list[float]) -> DataFrame:
+def sssp(g: Graph, source: int, alpha: list[float], strategy: str = "auto") -> DataFrame:
     """node_id and cost from one source over the original edges."""
-    spark = g.edges.sparkSession
-    seed = spark.createDataFrame([(0, source, 0.0, [float(a) for a in alpha])], "query_id long, node_id long, cost double, alpha array<double>")
-    return relax(g.originals(), seed).select("node_id", "cost")
+    if strategy == "kernel" or (strategy == "auto" and kernel.fits(g)):
+        return kernel.tree(g, source, alpha)
+    seed = g.nodes.where(F.col("node_id") == source).select(F.lit(0).cast("long").alias("query_id"), "node_id", F.lit(0.0).alias("cost"), F.array(*[F.lit(float(a)) for a in alpha]).alias("alpha"))
+    return relax(g.originals().select("edge_id", "src", "dst", "cost"), seed).select("node_id", "cost")
 
 
 def walk_paths(labels: DataFrame, edges: DataFrame, ends: DataFrame) -> DataFrame:
-    """query_id, path (edge ids in order) back from ``ends`` (query_id, node_id) along the labels' last edges."""
-    last = cut(labels.select("query_id", "node_id", "edge_id"))
-    e = edges.select("edge_id", "src")
-    at = cut(ends.join(last, ["query_id", "node_id"]).select("query_id", "node_id", F.array().cast("array<long>").alias("path"), "edge_id"))
-    done = at.where("edge_id is null")
-    todo = cut(at.where("edge_id is not null"))
-    while not is_empty(todo):
-        step = todo.join(e, "edge_id").select("query_id", F.concat(F.array("edge_id"), "path").alias("path"), F.col("src").alias("node_id")).join(last, ["query_id", "node_id"], "left")
-        step = cut(step.select("query_id", "node_id", "path", "edge_id"))
-        done = cut(done.unionByName(step.where("edge_id is null")))
-        todo = cut(step.where("edge_id is not null"))
-    return done.select("query_id", "path")
-
-
-def solve_relational(g: Graph, queries: DataFrame) -> DataFrame:
+    """query_id, path (edge ids in order) back from ``ends`` (query_id, node_id) along the labels' last edges; WALK_STEPS steps for each write."""
+    last = cut(labels.select("query_id", "node_id", "edge_id").join(edges.select("edge_id", F.col("src").alias("before")), "edge_id", "left").select("query_id", "node_id", "edge_id", "before"))
+    at = ends.join(last.select("query_id", "node_id"), ["query_id", "node_id"]).select("query_id", "node_id", F.array().cast("array<long>").alias("path"))
+    done = None
+    while True:
+        for _ in range(WALK_STEPS):
+            at = at.join(last, ["query_id", "node_id"], "left").select("query_id", F.coalesce("before", F.when(F.col("edge_id").isNotNull(), F.col("node_id"))).alias("node_id"), F.when(F.col("edge_id").isNull(), F.col("path")).otherwise(F.concat(F.array("edge_id"), "path")).alias("path"))
+        at = cut(at)
+        arrived = at.where("node_id is null").select("query_id", "path")
+        done = arrived if done is None else done.unionByName(arrived)
+        at = at.where("node_id is not null")
+        if is_empty(at):
+            return done
+
+
+def rules(method: str, levels: tuple[int, ...]) -> Column:
+    """Whether a query from cell ``ps`` to cell ``pt`` may leave a node by an edge; see ``kernel.py``."""
+    up = F.col("rank_at") <= F.col("rank_to")
+    if method == "pch":
+        return up
+    at = F.col("partition_at")
+    least = F.least(differing_level(at, F.col("ps"), levels), differing_level(at, F.col("pt"), levels))
+    over = F.col("edge_level") >= least
+    if method == "pcrp":
+        return over
+    return F.when(F.col("level_at") == 0, up).otherwise((F.col("edge_level") >= 1) & over)
+
+
+def solve_relational(g: Graph, queries: DataFrame, method: str = "normal") -> DataFrame:
     """id, path, cost by rounds; queries: id, start_id, end_id, alpha.  Unreachable: null path and cost."""
-    q = cut(queries.select("id", "start_id", "end_id", "alpha"))
-    seeds = q.select(F.col("id").alias("query_id"), F.col("start_id").alias("node_id"), F.lit(0.0).alias("cost"), "alpha")
-    targets = q.select(F.col("id").alias("query_id"), F.col("end_id").alias("target"))
-    labels = relax(g.originals(), seeds, targets)
-    ends = targets.withColumnRenamed("target", "node_id")
-    found = labels.join(ends, ["query_id", "node_id"]).select(F.col("query_id").alias("id"), "cost")
-    paths = walk_paths(labels, g.originals(), ends.join(found.select(F.col("id").alias("query_id")), "query_id", "left_semi")).withColumnRenamed("query_id", "id")
-    return q.select("id").join(found, "id", "left").join(paths, "id", "left").select("id", "path", "cost")
+    n = g.nodes.select("node_id", "partition")
+    asked = cut(queries.select("id", "start_id", "end_id", "alpha"))
+    q = cut(asked.join(n.toDF("start_id", "ps"), "start_id").join(n.toDF("end_id", "pt"), "end_id").withColumnRenamed("id", "query_id"))
+    seeds = lambda c: q.select("query_id", F.col(c).alias("node_id"), F.lit(0.0).alias("cost"), "alpha", "ps", "pt")
+    if method in ("normal", "bi"):
+        e = cut(g.originals().select("edge_id", "src", "dst", "cost"))
+        ends = q.select("query_id", F.col("end_id").alias("node_id"))
+        labels = relax(e, seeds("start_id"), ends.toDF("query_id", "target"))
+        found = cut(labels.join(ends, ["query_id", "node_id"]).select("query_id", "node_id", "cost"))
+        paths = walk_paths(labels, e, found.select("query_id", "node_id"))
+    else:
+        at = g.nodes.select("node_id", "rank", "level", "partition").toDF("src", "rank_at", "level_at", "partition_at")
+        to = g.nodes.select(F.col("node_id").alias("dst"), F.col("rank").alias("rank_to"))
+
+        def allowed_from(a: str, b: str) -> DataFrame:
+            return cut(g.edges.select("edge_id", F.col(a).alias("src"), F.col(b).alias("dst"), "cost", F.col("level").alias("edge_level")).join(at, "src").join(to, "dst"))
+
+        rule, carried = rules(method, g.mlp_levels), ("ps", "pt")
+        out, into = allowed_from("src", "dst"), allowed_from("dst", "src")
+        forward = relax(out, seeds("start_id"), allowed=rule, carried=carried)
+        backward = relax(into, seeds("end_id"), allowed=rule, carried=carried)
+        both = forward.join(backward.select("query_id", "node_id", F.col("cost").alias("rest")), ["query_id", "node_id"])
+        found = cut(both.groupBy("query_id").agg(F.min(F.struct(F.col("cost") + F.col("rest"), F.col("node_id"))).alias("x")).select("query_id", F.col("x")["node_id"].alias("node_id"), F.col("x")["col1"].alias("cost")))
+        meet = found.select("query_id", "node_id")
+        first = walk_paths(forward, out, meet)
+        second = walk_paths(backward, into, meet).select("query_id", F.reverse("path").alias("rest"))
+        packed = first.join(second, "query_id").select(F.col("query_id").alias("id"), F.concat("path", "rest").alias("path"))
+        paths = unpack(g.edges, packed).withColumnRenamed("id", "query_id")
+    answered = found.join(paths, "query_id").select(F.col("query_id").alias("id"), "path", "cost")
+    return asked.select("id").join(answered, "id", "left").select("id", "path", "cost")
 
 
 def solve(g: Graph, queries: DataFrame, method: str = "normal", strategy: str = "auto", counters: bool = False) -> DataFrame:
-    """id, path (original edge ids), cost of each query; with counters also heap_pops and relaxed_edges.
+    """id, path (original edge ids), cost of each query; with counters also heap_pops, relaxed_edges and time.
 
-    strategy: ``kernel``, ``relational`` or ``auto``.  The relational way answers every method
-    by label correction on the original edges, with the same costs.
+    strategy: ``kernel``, ``relational`` or ``auto``, by the size of the graph's arrays.  Both follow
+    the method's rules; ``bi`` is one-way in the relational form, whose rounds serve all queries
+    at once.  Counters belong to the kernel, which refuses a graph that is too large for it.
     """
     if method not in METHODS:
         raise ValueError(f"method {method!r} is none of {METHODS}")
     if strategy == "auto":
-        strategy = "kernel" if counters or g.edges.count() <= KERNEL_EDGES else "relational"
+        strategy = "kernel" if counters or kernel.fits(g) else "relational"
     if strategy == "relational":
-        return solve_relational(g, queries)
+        return solve_relational(g, queries, method)
     return kernel.search(g, queries, method, counters)
 
 

@@ -11,7 +11,7 @@ from ..functions import all_partition_ids, differing_level, dot, haversine_km, n
 from ..graph import Graph
 from ..operators import adjacency, components, contraction, evaluation, kernel, partitioners, paths, spatial
 from ..session import cut
-from ..sources import queries as io
+from ..sources import derived, queries as io
 from ..sources.derived import geo_graph, part_graph, points, trade_graph
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -99,6 +99,12 @@ def overlay(spark: SparkSession, sf_dir: str) -> Graph:
     return _overlays[key]
 
 
+def forget() -> None:
+    """Drop the graphs kept for the session, so that the next query starts from the tables."""
+    derived.forget()
+    _overlays.clear()
+
+
 # --- adjacency -------------------------------------------------------------------------
 
 
@@ -119,12 +125,12 @@ p AS (SELECT src, dst, CAST(count(*) AS DOUBLE) AS times FROM s WHERE dst IS NOT
 
 @query("part_edges", f"WITH {PART} SELECT src, dst, times FROM p")
 def part_edges(spark, sf_dir):
-    return part_graph(spark, sf_dir).edges.select("src", "dst", F.col("cost")[0].alias("times"))
+    return part_graph(spark, sf_dir, with_ids=False).edges.select("src", "dst", F.col("cost")[0].alias("times"))
 
 
 @query("part_degrees", f"WITH {PART} SELECT node_id, CAST(sum(o) AS BIGINT) AS out_degree, CAST(sum(i) AS BIGINT) AS in_degree, CAST(sum(o + i) AS BIGINT) AS degree FROM (SELECT src AS node_id, 1 AS o, 0 AS i FROM p UNION ALL SELECT dst, 0, 1 FROM p) GROUP BY node_id")
 def part_degrees(spark, sf_dir):
-    g = part_graph(spark, sf_dir)
+    g = part_graph(spark, sf_dir, with_ids=False)
     return adjacency.degrees(g.nodes, g.edges)
 
 
@@ -142,18 +148,18 @@ def offsets(spark, sf_dir):
 
 @query("targets", f"WITH {PART} SELECT DISTINCT src AS node_id, dst AS neighbour FROM p")
 def targets(spark, sf_dir):
-    return adjacency.targets(part_graph(spark, sf_dir).edges)
+    return adjacency.targets(part_graph(spark, sf_dir, with_ids=False).edges)
 
 
 @query("neighbour_counts", f"WITH {PART} SELECT node_id, count(*) AS n FROM (SELECT src AS node_id, dst AS m FROM p UNION SELECT dst, src FROM p) GROUP BY node_id")
 def neighbour_counts(spark, sf_dir):
-    return adjacency.neighbours(part_graph(spark, sf_dir).edges).groupBy("node_id").agg(F.count("*").alias("n"))
+    return adjacency.neighbours(part_graph(spark, sf_dir, with_ids=False).edges).groupBy("node_id").agg(F.count("*").alias("n"))
 
 
-@query("incident_edges", with_geo("SELECT src AS node_id, edge_id, true AS outgoing FROM edges WHERE src < 50 UNION ALL SELECT dst, edge_id, false FROM edges WHERE dst < 50"))
+@query("incident_edges", with_geo("SELECT src AS node_id, edge_id, true AS outgoing FROM edges UNION ALL SELECT dst, edge_id, false FROM edges"))
 def incident_edges(spark, sf_dir):
     g = geo_graph(spark, sf_dir)
-    return adjacency.incident_edges(g.edges, g.nodes.where("node_id < 50"))
+    return adjacency.incident_edges(g.edges, g.nodes)
 
 
 @query("scalarised", with_geo("SELECT edge_id, c0 * 0.5::DOUBLE + c1 * 0.25::DOUBLE + c2 * 0.25::DOUBLE AS balanced, c0 AS short, c0 * 0.25::DOUBLE + c1 * 0.5::DOUBLE + c2 * 0.25::DOUBLE AS flat FROM edges"))
@@ -163,7 +169,7 @@ def scalarised(spark, sf_dir):
 
 @query("bidirected", f"WITH {PART} SELECT src, dst FROM p UNION SELECT dst, src FROM p")
 def bidirected(spark, sf_dir):
-    return adjacency.bidirected(part_graph(spark, sf_dir).edges)
+    return adjacency.bidirected(part_graph(spark, sf_dir, with_ids=False).edges)
 
 
 @query("restricted_edges", with_geo("SELECT edge_id, src, dst FROM edges WHERE src % 3 <> 0 AND dst % 3 <> 0"))
@@ -181,10 +187,10 @@ def renumbered(spark, sf_dir):
     return adjacency.renumber(nodes, g.edges, ["level", "degree", "node_id"])[1].select("src", "dst", F.col("cost")[0].alias("c0"))
 
 
-@query("shortcut_candidates", with_geo("SELECT e.dst AS via_node, e.src, f.dst, e.c0 + f.c0 AS c0, e.c1 + f.c1 AS c1, e.c2 + f.c2 AS c2, e.edge_id AS first, f.edge_id AS second FROM edges e JOIN edges f ON e.dst = f.src WHERE e.src <> f.dst AND e.dst % 10 = 0"))
+@query("shortcut_candidates", with_geo("SELECT e.dst AS via_node, e.src, f.dst, e.c0 + f.c0 AS c0, e.c1 + f.c1 AS c1, e.c2 + f.c2 AS c2, e.edge_id AS first, f.edge_id AS second FROM edges e JOIN edges f ON e.dst = f.src WHERE e.src <> f.dst"))
 def shortcut_candidates(spark, sf_dir):
     g = geo_graph(spark, sf_dir)
-    return adjacency.shortcut_candidates(g.edges, g.nodes.where("node_id % 10 = 0")).select("via_node", "src", "dst", *[F.col("cost")[i].alias(f"c{i}") for i in range(3)], "first", "second")
+    return adjacency.shortcut_candidates(g.edges, g.nodes).select("via_node", "src", "dst", *[F.col("cost")[i].alias(f"c{i}") for i in range(3)], "first", "second")
 
 
 @query("undominated_candidates", with_geo("""SELECT via_node, src, dst, c0, c1, c2 FROM c WHERE NOT EXISTS (SELECT 1 FROM c d WHERE d.src = c.src AND d.dst = c.dst AND d.c0 <= c.c0 AND d.c1 <= c.c1 AND d.c2 <= c.c2
@@ -192,11 +198,8 @@ def shortcut_candidates(spark, sf_dir):
     ", c AS (SELECT e.dst AS via_node, e.src, f.dst, e.c0 + f.c0 AS c0, e.c1 + f.c1 AS c1, e.c2 + f.c2 AS c2 FROM edges e JOIN edges f ON e.dst = f.src WHERE e.src <> f.dst)"))
 def undominated_candidates(spark, sf_dir):
     g = geo_graph(spark, sf_dir)
-    c = cut(adjacency.shortcut_candidates(g.edges, g.nodes).select("via_node", "src", "dst", "cost"))
-    d = c.toDF("other", "src", "dst", "other_cost")
-    better = F.forall(F.zip_with("other_cost", "cost", lambda x, y: x <= y), lambda x: x) & (F.exists(F.zip_with("other_cost", "cost", lambda x, y: x < y), lambda x: x) | (F.col("other") < F.col("via_node")))
-    beaten = c.join(d, ["src", "dst"]).where(better).select("src", "dst", "via_node").distinct()
-    return c.join(beaten, ["src", "dst", "via_node"], "left_anti").select("via_node", "src", "dst", *[F.col("cost")[i].alias(f"c{i}") for i in range(3)])
+    c = adjacency.shortcut_candidates(g.edges, g.nodes).select("via_node", "src", "dst", "cost")
+    return adjacency.skyline(c, "via_node").select("via_node", "src", "dst", *[F.col("cost")[i].alias(f"c{i}") for i in range(3)])
 
 
 @query("used_edges", with_geo("SELECT (SELECT count(*) FROM nodes) AS nodes, count(*) AS edges, count(*) AS normal_edges, count(*) AS pch_edges, CAST(0 AS BIGINT) AS pcrp_edges, CAST(0 AS BIGINT) AS prp_edges FROM edges"))
@@ -260,6 +263,19 @@ for _method in paths.METHODS:
         return paths.solve(g, batch(g), method).select("id", "cost")
 
 
+for _method in paths.METHODS[2:]:
+
+    @query(f"batch_{_method}_relational", BATCH_SQL)
+    def batch_overlay_relational(spark, sf_dir, method=_method):
+        g = overlay(spark, sf_dir)
+        return paths.solve(g, batch(g), method, "relational").select("id", "cost")
+
+
+@query("sssp_relational", sssp_sql(BALANCED))
+def sssp_relational(spark, sf_dir):
+    return paths.sssp(geo_graph(spark, sf_dir), 0, list(BALANCED), "relational")
+
+
 @query("route_workload")
 def route_workload(spark, sf_dir):
     """A thousand random queries, snapped by position and answered on the overlay."""
@@ -287,6 +303,28 @@ def path_vectors(spark, sf_dir):
     return paths.path_vectors(paths.solve(g, batch(g)), g.edges, g.dim)
 
 
+@query("path_vector_costs", BATCH_SQL.replace("dist.cost FROM q LEFT JOIN", "dist.cost AS weighted FROM q JOIN"))
+def path_vector_costs(spark, sf_dir):
+    """The cost vectors of best paths, weighted: whichever of equal paths was taken."""
+    g = geo_graph(spark, sf_dir)
+    q = batch(g)
+    return paths.path_vectors(paths.solve(g, q), g.edges, g.dim).join(q, "id").select("id", dot("cost_vector", "alpha").alias("weighted"))
+
+
+@query("path_node_checks", BATCH_SQL.replace("q.id, dist.cost FROM", "q.id, CASE WHEN dist.cost IS NOT NULL AND s <> t THEN s END AS first_node, CASE WHEN dist.cost IS NOT NULL AND s <> t THEN t END AS last_node, CAST(0 AS BIGINT) AS broken, dist.cost AS least FROM"))
+def path_node_checks(spark, sf_dir):
+    """Ends of the node paths, steps that are no edge, and the cost by the cheapest edge of each step."""
+    g = geo_graph(spark, sf_dir)
+    q = batch(g)
+    p = cut(paths.solve(g, q))
+    n = cut(paths.path_nodes(p, g.edges))
+    steps = n.select("id", F.posexplode(F.arrays_zip(F.slice("nodes", 1, F.greatest(F.size("nodes") - 1, F.lit(0))).alias("src"), F.slice("nodes", 2, F.greatest(F.size("nodes") - 1, F.lit(0))).alias("dst"))).alias("pos", "x")).select("id", "pos", "x.src", "x.dst").join(q.select("id", "alpha"), "id")
+    cheapest = steps.join(g.edges.select("src", "dst", "cost"), ["src", "dst"], "left").groupBy("id", "pos").agg(F.min(dot("cost", "alpha")).alias("w"))
+    total = cheapest.groupBy("id").agg(F.sum("w").alias("w"), F.sum(F.col("w").isNull().cast("long")).alias("broken"))
+    least = F.when(F.col("path").isNotNull(), F.coalesce("w", F.lit(0.0)))
+    return p.select("id", "path").join(n, "id").join(total, "id", "left").select("id", F.get("nodes", F.lit(0)).alias("first_node"), F.when(F.size("nodes") > 0, F.element_at("nodes", -1)).alias("last_node"), F.coalesce("broken", F.lit(0)).cast("long").alias("broken"), least.alias("least"))
+
+
 @query("search_counters")
 def search_counters(spark, sf_dir):
     g = overlay(spark, sf_dir)
@@ -396,11 +434,11 @@ def cell_counts(spark, sf_dir):
 
 
 _HAVERSINE = "2 * 6371.0 * atan2(sqrt({a}), sqrt(1 - {a}))".format(a="(sin(radians({lat2} - {lat1}) / 2) * sin(radians({lat2} - {lat1}) / 2) + cos(radians({lat1})) * cos(radians({lat2})) * sin(radians({lng2} - {lng1}) / 2) * sin(radians({lng2} - {lng1}) / 2))")
-_POINTS = ", pt AS (SELECT c_custkey AS point_id, (c_custkey * 7919 % 10007) / 100.07::DOUBLE - 50 AS lat, (c_custkey * 104729 % 10009) / 100.09::DOUBLE - 50 AS lng FROM customer WHERE c_custkey <= 40)"
+_POINTS = ", pt AS (SELECT c_custkey AS point_id, (c_custkey * 7919 % 10007) / 100.07::DOUBLE - 50 AS lat, (c_custkey * 104729 % 10009) / 100.09::DOUBLE - 50 AS lng FROM customer)"
 
 
 def _points(spark, sf_dir):
-    c = spark.read.parquet(f"{sf_dir}/customer.parquet").where("c_custkey <= 40")
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet")
     return c.select(F.col("c_custkey").alias("point_id"), ((F.col("c_custkey") * 7919 % 10007) / 100.07 - 50).alias("lat"), ((F.col("c_custkey") * 104729 % 10009) / 100.09 - 50).alias("lng"))
 
 
@@ -516,6 +554,13 @@ def merge_cells(spark, sf_dir):
     return partitioners.merge(g.nodes, g.edges, [30, 120])[0]
 
 
+@query("batch_prp_by_rounds", BATCH_SQL)
+def batch_prp_by_rounds(spark, sf_dir):
+    """Answered on an overlay whose levels were contracted in rounds of independent sets."""
+    g = geo_graph(spark, sf_dir)
+    return paths.solve(contraction.contract(g, cell_edges=0, share=0.7), batch(g), "prp").select("id", "cost")
+
+
 @query("overlay_edges")
 def overlay_edges(spark, sf_dir):
     return overlay(spark, sf_dir).edges.select("edge_id", "src", "dst", "cost", "level", "via")
@@ -591,11 +636,10 @@ def last_runs(spark, sf_dir):
 # --- formats ------------------------------------------------------------------------------------------------
 
 
-@query("edge_wkt", with_geo("SELECT edge_id || ';LINESTRING(' || p.lng || ' ' || p.lat || ', ' || q.lng || ' ' || q.lat || ')' AS line FROM edges JOIN nodes p ON p.node_id = src JOIN nodes q ON q.node_id = dst WHERE abs(p.lng) > 1 AND abs(p.lat) > 1 AND abs(q.lng) > 1 AND abs(q.lat) > 1"))
+@query("edge_wkt", with_geo("SELECT edge_id || ';LINESTRING(' || p.lng || ' ' || p.lat || ', ' || q.lng || ' ' || q.lat || ')' AS line FROM edges JOIN nodes p ON p.node_id = src JOIN nodes q ON q.node_id = dst"))
 def edge_wkt(spark, sf_dir):
     g = geo_graph(spark, sf_dir)
-    far = g.nodes.where("abs(lat) > 1 and abs(lng) > 1")
-    return io.wkt_edges(g.edges, far)
+    return io.wkt_edges(g.edges, g.nodes)
 
 
 @query("path_geojson")
@@ -605,6 +649,15 @@ def path_geojson(spark, sf_dir):
     return io.geojson_feature(p.select("id", "cost"), io.path_coordinates(paths.path_nodes(p, g.edges), g.nodes))
 
 
+@query("path_geojson_ends", BATCH_SQL.replace("q.id, dist.cost FROM", "q.id, coalesce(printf('%.2f', dist.cost), 'no path found') AS cost, CASE WHEN dist.cost IS NOT NULL AND s <> t THEN a.lng END AS first_lng, CASE WHEN dist.cost IS NOT NULL AND s <> t THEN a.lat END AS first_lat, CASE WHEN dist.cost IS NOT NULL AND s <> t THEN b.lng END AS last_lng, CASE WHEN dist.cost IS NOT NULL AND s <> t THEN b.lat END AS last_lat FROM") + " JOIN nodes a ON a.node_id = q.s JOIN nodes b ON b.node_id = q.t")
+def path_geojson_ends(spark, sf_dir):
+    """Cost and ends as they stand in the GeoJSON text."""
+    r = path_geojson(spark, sf_dir).select("id", F.from_json("feature", "type string, geometry struct<coordinates:array<array<double>>>, properties struct<cost:string>").alias("f"))
+    line = F.col("f.geometry.coordinates")
+    last = F.get(line, F.size(line) - 1)
+    return r.select("id", F.col("f.properties.cost").alias("cost"), F.get(F.get(line, F.lit(0)), F.lit(0)).alias("first_lng"), F.get(F.get(line, F.lit(0)), F.lit(1)).alias("first_lat"), F.get(last, F.lit(0)).alias("last_lng"), F.get(last, F.lit(1)).alias("last_lat"))
+
+
 @query("snapped_queries")
 def snapped_queries(spark, sf_dir):
     g = geo_graph(spark, sf_dir)

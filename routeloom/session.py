@@ -9,8 +9,11 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session, which driver and executors share; a folder of its own only where that is unset."""
-    return spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints/routeloom"
+    """``spark.checkpoint.dir`` of the session, which driver and executors share; a folder of its own only on a local master without that setting."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return folder or "/tmp/checkpoints/routeloom"
 
 
 def cut(df: DataFrame) -> DataFrame:

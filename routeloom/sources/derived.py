@@ -22,6 +22,11 @@ CELLS = 8
 _kept: dict[tuple[str, str], Graph] = {}
 
 
+def forget() -> None:
+    """Drop the kept graph, so that the next query makes it anew."""
+    _kept.clear()
+
+
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """node_id, y, x, z as whole numbers."""
     e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
@@ -53,13 +58,17 @@ def geo_graph(spark: SparkSession, sf_dir: str) -> Graph:
     return g
 
 
-def part_graph(spark: SparkSession, sf_dir: str) -> Graph:
-    """Parts by the lines of an order; costs: number of times over, and a constant.  Ties in an order are settled by all columns."""
+def part_graph(spark: SparkSession, sf_dir: str, with_ids: bool = True) -> Graph:
+    """Parts by the lines of an order; costs: number of times over, and a constant.  Ties in an order are settled by all columns.
+
+    Numbering the edges takes a sort of them all; what needs no ids leaves it out.
+    """
     li = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate")
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate")
     steps = li.select(F.col("l_partkey").alias("src"), F.lead("l_partkey").over(w).alias("dst")).where("dst is not null and src <> dst")
-    counted = steps.groupBy("src", "dst").agg(F.count("*").alias("n"))
-    edges = numbered(counted.select("src", "dst", F.array(F.lit(1.0) * F.col("n"), F.lit(1.0)).alias("cost")), ["src", "dst"], "edge_id")
+    counted = cut(steps.groupBy("src", "dst").agg(F.count("*").alias("n")))
+    edges = counted.select("src", "dst", F.array(F.lit(1.0) * F.col("n"), F.lit(1.0)).alias("cost"))
+    edges = numbered(edges, ["src", "dst"], "edge_id") if with_ids else edges.withColumn("edge_id", F.lit(None).cast("long"))
     ends = counted.select(F.explode(F.array("src", "dst")).alias("node_id")).distinct()
     return Graph(node_table(ends), edge_table(edges), 2, ("times", "unit"))
 

@@ -14,9 +14,9 @@ from ..session import cut, numbered
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """line, value in file order: the text source keeps order within a split, and splits are ordered by their start."""
-    lines = cut(spark.read.text(path).select("value", F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("k")))
-    return numbered(lines, ["block", "k"], "line").select("line", "value")
+    """line, value in the order of file names and lines: the text source keeps order within a split, and splits are ordered by their start."""
+    lines = cut(spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("k")))
+    return numbered(lines, ["file", "block", "k"], "line").select("line", "value")
 
 
 def read_fmi(spark: SparkSession, path: str) -> Graph:
