@@ -115,6 +115,12 @@ def skyline(candidates: DataFrame, tie: str) -> DataFrame:
     return listed.select("src", "dst", F.explode(kept).alias("x")).select("src", "dst", "x.cost", *[f"x.{c}" for c in rest])
 
 
+def least_rank_of_level_one(g: Graph) -> DataFrame:
+    """One row: the least rank of a node that a level-1 edge starts from, the greatest number if there is none."""
+    starts = g.edges.where("level = 1").select(F.col("src").alias("node_id")).distinct()
+    return g.nodes.join(starts, "node_id", "left_semi").agg(F.coalesce(F.min("rank"), F.lit((1 << 63) - 1)).alias("least"))
+
+
 def used_edges(g: Graph) -> DataFrame:
     """nodes, edges and the edges each method may use.
 
@@ -124,7 +130,7 @@ def used_edges(g: Graph) -> DataFrame:
     """
     rank = g.nodes.select("node_id", "rank")
     e = g.edges.select("edge_id", "src", "dst", "level", "via").join(rank.toDF("src", "from_rank"), "src").join(rank.toDF("dst", "to_rank"), "dst")
-    least = e.where("level = 1").agg(F.coalesce(F.min("from_rank"), F.lit((1 << 63) - 1)).alias("least"))
+    least = least_rank_of_level_one(g)
     mixed = F.col("from_rank") <= F.col("least")
     # the last edge with a level is the one of the least end; of equal ends those with a level come first
     last = F.min(F.when(F.col("level").isNotNull(), F.col("to_rank"))).over(Window.partitionBy("src"))

@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..graph import Graph
+from ..session import cut
+from .paths import path_costs, solve
+
 
 def check_buckets(found: DataFrame, expected: DataFrame, tolerance: float = 1.0) -> DataFrame:
     """One row of counts from (id, cost) and (id, cost).
@@ -36,6 +43,48 @@ def speed_ups(timings: DataFrame, base: str = "normal") -> DataFrame:
     return m.join(m.where(F.col("method") == base).select("setting", F.col("mean_ms").alias("base_ms")), "setting").select("method", "setting", (F.col("base_ms") / F.col("mean_ms")).alias("speed_up"))
 
 
+def difference_of_means(timings: DataFrame, a: str, b: str) -> DataFrame:
+    """setting, mean milliseconds of method ``a`` less those of ``b``; null where one has no times."""
+    m = mean_times(timings).where(F.col("method").isin(a, b)).groupBy("setting").pivot("method", [a, b]).agg(F.first("mean_ms"))
+    return m.select("setting", (F.col(f"`{a}`") - F.col(f"`{b}`")).alias("difference_ms"))
+
+
+def label(column: str, upper: bool = False) -> Column:
+    """How a method is written in a report: K-means, other names with a capital, or all in capitals."""
+    return F.upper(column) if upper else F.when(F.col(column) == "kmeans", "K-means").otherwise(F.initcap(column))
+
+
+def experiment_name(column: str, ending: str = "") -> Column:
+    """area, partitioner, levels, pch (contracted without a partitioning) as a struct of a file name like ``area-kmeans-4_4[-pch].bin``; null for names of another ending or form."""
+    name = F.regexp_replace(F.element_at(F.split(column, "/"), -1), r"\.[^.]*$", "")
+    parts = F.split(F.regexp_replace(name, "-pch$", ""), "-")
+    right = F.col(column).endswith(ending) & (F.size(parts) >= 3)
+    return F.when(right, F.struct(F.concat_ws("-", F.slice(parts, F.lit(1), F.size(parts) - 2)).alias("area"), F.element_at(parts, -2).alias("partitioner"), F.regexp_replace(F.element_at(parts, -1), "_", ", ").alias("levels"), name.endswith("-pch").alias("pch")))
+
+
+def timed(g: Graph, queries: DataFrame, methods: Sequence[str], setting: str) -> DataFrame:
+    """method, setting, id, time (nanoseconds of the search alone), heap_pops, relaxed_edges of each query and method."""
+    runs = [solve(g, queries, m, counters=True).select(F.lit(m).alias("method"), F.lit(setting).alias("setting"), "id", "time", "heap_pops", "relaxed_edges") for m in methods]
+    return reduce(DataFrame.unionByName, runs)
+
+
+def experiment(graphs: dict[str, Graph], queries: DataFrame, methods: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """The times of all methods on all prepared graphs (setting -> graph), and setting, contracted.
+
+    Each graph is one setting of the matrix (area, partitioner, levels); its queries run as one job for each method.
+    """
+    times = cut(reduce(DataFrame.unionByName, [timed(g, queries, methods, name) for name, g in graphs.items()]))
+    shares = [boundary_nodes(g.nodes).select(F.lit(name).alias("setting"), "contracted") for name, g in graphs.items()]
+    return times, reduce(DataFrame.unionByName, shares)
+
+
+def check(g: Graph, queries: DataFrame, method: str, tolerance: float = 1.0) -> DataFrame:
+    """Answers of a method against plain searches, by the costs recomputed along the paths."""
+    q = cut(queries.select("id", "start_id", "end_id", "alpha"))
+    cost = lambda m: path_costs(solve(g, q, m), g.edges, q).withColumnRenamed("path_cost", "cost")
+    return check_buckets(cost(method), cost("normal"), tolerance)
+
+
 def time_quantiles(timings: DataFrame, exact: bool = True) -> DataFrame:
     """method, q1, median, q3; the approximate form merges sketches of bounded size."""
     q = (F.percentile if exact else F.percentile_approx)("time", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))

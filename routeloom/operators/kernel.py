@@ -294,6 +294,58 @@ def tree(g: Graph, source: int, alpha: list[float]) -> DataFrame:
     return g.edges.sparkSession.range(0, 1, 1, 1).mapInArrow(run, "node_id long, cost double")
 
 
+class Resumable:
+    """Searches from one source under one preference that go on where the last one stopped; another source or preference starts anew."""
+
+    def __init__(self, a: Arrays):
+        self.a, self.of, self.settled = a, None, 0
+
+    def find(self, s: int, t: int, alpha: tuple[float, ...]) -> tuple[list[int], list[float]] | None:
+        """Ids of the edges of a best path between two positions, and the sum of their cost vectors."""
+        a = self.a
+        if self.of != (s, alpha):
+            self.of, self.weights = (s, alpha), packed(a.cost @ np.array(alpha, float), "d")
+            self.side, self.settled = Side(s, a.adjacency("normal")[0], a.dst), 0
+        side, w = self.side, self.weights
+        while t not in side.done and side.head() < inf:
+            d, v = heapq.heappop(side.heap)
+            side.done.add(v)
+            self.settled += 1
+            for i in side.lists.get(v):
+                u, c = a.dst[i], d + w[i]
+                if c < side.best.get(u, inf):
+                    side.best[u], side.last[u] = c, i
+                    heapq.heappush(side.heap, (c, u))
+        if t not in side.done:
+            return None
+        path, total = [], np.zeros(a.cost.shape[1])
+        while t != s:
+            i = side.last[t]
+            path.append(int(a.edge_id[i]))
+            total += a.cost[i]
+            t = a.src[i]
+        return path[::-1], total.tolist()
+
+
+def vector_paths(g: Graph, queries: DataFrame) -> DataFrame:
+    """id, path, cost_vector over original edges; queries of one start and preference share a search."""
+    spark = g.edges.sparkSession
+    shared = spark.sparkContext.broadcast(collect(g))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        search_ = Resumable(Arrays(*shared.value))
+        for batch in batches:
+            ids, found = [], []
+            for q in batch.to_pylist():
+                s, t = search_.a.node(q["start_id"]), search_.a.node(q["end_id"])
+                ids.append(q["id"])
+                found.append(search_.find(s, t, tuple(q["alpha"])) if s >= 0 and t >= 0 else None)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([f and f[0] for f in found], pa.list_(pa.int64())), pa.array([f and f[1] for f in found], pa.list_(pa.float64()))], names=["id", "path", "cost_vector"])
+
+    asked = _asked(queries).repartition(spark.sparkContext.defaultParallelism, "start_id", "alpha").sortWithinPartitions("start_id", "alpha", "id")
+    return asked.mapInArrow(run, "id long, path array<long>, cost_vector array<double>")
+
+
 def trace(g: Graph, queries: DataFrame, method: str) -> DataFrame:
     """id, step, kind, value: the nodes settled, edges relaxed and the meeting node of each search, in order."""
     shared = g.edges.sparkSession.sparkContext.broadcast(collect(g))

@@ -111,19 +111,28 @@ def gonzalez(nodes: DataFrame, edges: DataFrame, factors: list[int]) -> tuple[Da
     return cells.withColumnRenamed("cell", "partition"), tuple(factors[::-1])
 
 
-def merge(nodes: DataFrame, edges: DataFrame, sizes: list[int]) -> tuple[DataFrame, tuple[int, ...]]:
+def merge(nodes: DataFrame, edges: DataFrame, sizes: list[int] | None = None, amounts: list[int] | None = None, values: list[float] | None = None) -> tuple[DataFrame, tuple[int, ...]]:
     """Agglomerative cells by rounds in which mutually best neighbours merge.
 
     The priority of a pair grows with the edges between it and shrinks with its size:
     ``edges * (1 + border(a) + border(b) - border(a and b)) / (size(a) * size(b))``, times a
     hashed factor from 1 to 1.01 that settles ties.  sizes: largest cell of each level,
-    ascending; the cells of a level are merged on for the next.
+    ascending; the cells of a level are merged on for the next.  amounts, instead of or beside
+    them: number of cells at which each level ends, descending.  A list given as ``values`` gets
+    the sum of the priorities of all merges.
     """
+    total, stops = 0.0, max(len(sizes or ()), len(amounts or ()))
+    at = lambda limits, k: limits[k] if limits and k < len(limits) else None
     pairs = cut(edges.where("src <> dst").select(F.least("src", "dst").alias("u"), F.greatest("src", "dst").alias("v")).distinct())
     cells = cut(nodes.select("node_id", F.col("node_id").alias("cell")))
     snapshots = []
-    for size in sizes:
+    for level in range(stops):
+        size, amount = at(sizes, level), at(amounts, level)
         while True:
+            if amount is not None:
+                spare = cells.select("cell").distinct().count() - amount
+                if spare <= 0:
+                    break
             n = cut(cells.groupBy("cell").agg(F.count("*").alias("n")))
             between = pairs.join(cells.toDF("u", "a"), "u").join(cells.toDF("v", "b"), "v").where("a <> b")
             sides = F.explode(F.array(F.struct(F.col("a"), F.col("b"), F.col("u")), F.struct(F.col("b").alias("a"), F.col("a").alias("b"), F.col("v").alias("u"))))
@@ -132,16 +141,23 @@ def merge(nodes: DataFrame, edges: DataFrame, sizes: list[int]) -> tuple[DataFra
             cell = directed.groupBy("a").agg(F.countDistinct("u").alias("border")).join(n.toDF("a", "n"), "a")
             sided = directed.groupBy("a", "b").agg(F.countDistinct("u").alias("shared"), F.count("*").alias("conn"))
             one = sided.join(cell, "a").select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"), "conn", "shared", "border", "n")
-            both = one.groupBy("lo", "hi").agg(F.first("conn").alias("conn"), F.sum("shared").alias("shared"), F.sum("border").alias("border"), F.sum("n").alias("size"), F.product("n").alias("product")).where(F.col("size") <= size)
+            both = one.groupBy("lo", "hi").agg(F.first("conn").alias("conn"), F.sum("shared").alias("shared"), F.sum("border").alias("border"), F.sum("n").alias("size"), F.product("n").alias("product"))
+            both = both if size is None else both.where(F.col("size") <= size)
             jitter = 1 + F.pmod(F.xxhash64("lo", "hi", F.lit(SEED)), F.lit(1 << 20)) / F.lit(float(1 << 20)) * 0.01
             ranked = cut(both.select("lo", "hi", F.struct((F.col("conn") * (1 + F.col("border") - F.col("shared")) / F.col("product") * jitter).alias("p"), "lo", "hi").alias("key")))
             best = ranked.select(F.explode(F.array("lo", "hi")).alias("cell"), "key").groupBy("cell").agg(F.max("key").alias("key"))
             # a pair merges if it is the best of both its cells
-            mutual = cut(best.groupBy("key").agg(F.count("*").alias("k")).where("k = 2").select(F.col("key.lo").alias("into"), F.col("key.hi").alias("cell")))
+            mutual = best.groupBy("key").agg(F.count("*").alias("k")).where("k = 2").select(F.col("key.lo").alias("into"), F.col("key.hi").alias("cell"), "key.p")
+            mutual = cut(mutual if amount is None else mutual.orderBy(F.desc("p"), "into").limit(spare))
             if is_empty(mutual):
                 break
+            if values is not None:
+                total += mutual.agg(F.sum("p")).first()[0]
+            mutual = mutual.drop("p")
             cells = cut(cells.join(mutual, "cell", "left").select("node_id", F.coalesce("into", "cell").alias("cell")))
         snapshots.append(cells)
+    if values is not None:
+        values.append(total)
     # ids: number of the child within its parent, composed from the top
     table = snapshots[0].withColumnRenamed("cell", "c0")
     for k, s in enumerate(snapshots[1:], 1):

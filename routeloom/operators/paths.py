@@ -14,6 +14,8 @@ Two ways answer the same questions:
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +25,8 @@ from ..session import cut, is_empty
 from . import kernel
 
 METHODS = ("normal", "bi", "pch", "pcrp", "prp")
+#: Methods of a user's own: name -> (graph, queries) -> id, path, cost.
+OWN: dict[str, Callable[[Graph, DataFrame], DataFrame]] = {}
 #: Steps back along a path between two writes.
 WALK_STEPS = 8
 
@@ -132,8 +136,10 @@ def solve(g: Graph, queries: DataFrame, method: str = "normal", strategy: str =
 
     strategy: ``kernel``, ``relational`` or ``auto``, by the size of the graph's arrays.  Both follow
     the method's rules; ``bi`` is one-way in the relational form, whose rounds serve all queries
-    at once.  Counters belong to the kernel, which refuses a graph that is too large for it.
+    at once.  A name in OWN goes to that function.  Counters belong to the kernel, which refuses a graph that is too large for it.
     """
+    if method in OWN:
+        return OWN[method](g, queries)
     if method not in METHODS:
         raise ValueError(f"method {method!r} is none of {METHODS}")
     if strategy == "auto":

@@ -311,6 +311,38 @@ def path_vector_costs(spark, sf_dir):
     return paths.path_vectors(paths.solve(g, q), g.edges, g.dim).join(q, "id").select("id", dot("cost_vector", "alpha").alias("weighted"))
 
 
+@query("vector_path_costs", BATCH_SQL.replace("dist.cost FROM q LEFT JOIN", "dist.cost AS weighted FROM q JOIN"))
+def vector_path_costs(spark, sf_dir):
+    """Cost vectors of searches that go on from one query to the next, weighted."""
+    g = geo_graph(spark, sf_dir)
+    q = batch(g)
+    return kernel.vector_paths(g, q).where("path is not null").join(q, "id").select("id", dot("cost_vector", "alpha").alias("weighted"))
+
+
+@query("mean_differences", """WITH t AS (SELECT event_type AS method, user_id % 4 AS setting, CAST(floor(value * 1000) AS BIGINT) AS time FROM events), m AS (SELECT method, setting, avg(time) / 1000000 AS ms FROM t GROUP BY 1, 2)
+SELECT setting, max(ms) FILTER (method = 'click') - max(ms) FILTER (method = 'view') AS difference_ms FROM m WHERE method IN ('click', 'view') GROUP BY setting""")
+def mean_differences(spark, sf_dir):
+    return evaluation.difference_of_means(_timings(spark, sf_dir), "click", "view")
+
+
+@query("method_labels", "SELECT event_type, upper(event_type) AS capitals, upper(event_type[1]) || lower(event_type[2:]) AS label, count(*) AS n FROM events GROUP BY event_type")
+def method_labels(spark, sf_dir):
+    return _events(spark, sf_dir).groupBy("event_type").agg(F.count("*").alias("n")).select("event_type", evaluation.label("event_type", upper=True).alias("capitals"), evaluation.label("event_type").alias("label"), "n")
+
+
+@query("least_ranks", with_geo("SELECT 9223372036854775807 AS least"))
+def least_ranks(spark, sf_dir):
+    return adjacency.least_rank_of_level_one(geo_graph(spark, sf_dir))
+
+
+@query("timed_methods", "SELECT method, 'overlay' AS setting, CAST(24 AS BIGINT) AS n FROM (VALUES ('normal'), ('bi'), ('pch'), ('pcrp'), ('prp')) v(method)")
+def timed_methods(spark, sf_dir):
+    """Searches that were timed and counted on the overlay, by method."""
+    g = overlay(spark, sf_dir)
+    t = evaluation.timed(g, batch(g), paths.METHODS, "overlay")
+    return t.where("time > 0 and heap_pops > 0").groupBy("method", "setting").agg(F.count("*").alias("n"))
+
+
 @query("path_node_checks", BATCH_SQL.replace("q.id, dist.cost FROM", "q.id, CASE WHEN dist.cost IS NOT NULL AND s <> t THEN s END AS first_node, CASE WHEN dist.cost IS NOT NULL AND s <> t THEN t END AS last_node, CAST(0 AS BIGINT) AS broken, dist.cost AS least FROM"))
 def path_node_checks(spark, sf_dir):
     """Ends of the node paths, steps that are no edge, and the cost by the cheapest edge of each step."""

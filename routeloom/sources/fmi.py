@@ -19,8 +19,17 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     return numbered(lines, ["file", "block", "k"], "line").select("line", "value")
 
 
-def read_fmi(spark: SparkSession, path: str) -> Graph:
-    lines = cut(numbered_lines(spark, path))
+def read_fmi(spark: SparkSession, path: str, tolerant: bool = False) -> Graph:
+    """The graph of an FMI file; contraction ids other than -1 become ``via``.  ``tolerant`` skips blank and comment lines wherever they stand."""
+    lines = numbered_lines(spark, path)
+    if tolerant:
+        metrics = lines.where("trim(value) rlike '^#\\\\s*metrics:'").orderBy("line").limit(1)
+        plain = numbered(lines.where("trim(value) <> '' and not startswith(ltrim(value), '#')").drop("__l").withColumnRenamed("line", "was"), ["was"], "line")
+        # read on as a strict file: the comment with the metrics, the separator, the rest
+        first = [(0, r["value"].strip()) for r in metrics.collect()]
+        head = spark.createDataFrame([*first, (len(first), "")], "line long, value string")
+        lines = head.unionByName(plain.select((F.col("line") + len(first) + 1).alias("line"), "value"))
+    lines = cut(lines)
     header = lines.where(F.col("line") < 1000).orderBy("line").limit(1000).collect()  # the header; its comments are few
     k, metrics = 0, ()
     while header[k]["value"].startswith("#"):
@@ -33,7 +42,8 @@ def read_fmi(spark: SparkSession, path: str) -> Graph:
     first = header[k]["line"] + 3
     fields = lines.where(F.col("line") >= first).select((F.col("line") - first).alias("at"), F.split(F.trim("value"), r"\s+").alias("f"))
     nodes = fields.where(F.col("at") < n).select(F.col("at").alias("node_id"), F.col("f")[1].cast("long").alias("osm_id"), F.col("f")[2].cast("double").alias("lat"), F.col("f")[3].cast("double").alias("lng"), F.col("f")[2].alias("lat_raw"), F.col("f")[3].alias("lng_raw"), F.col("f")[4].alias("height_raw"))
-    edges = fields.where((F.col("at") >= n) & (F.col("at") < n + m)).select((F.col("at") - n).alias("edge_id"), F.col("f")[0].cast("long").alias("src"), F.col("f")[1].cast("long").alias("dst"), F.array(*[F.col("f")[2 + i].cast("double") for i in range(dim)]).alias("cost"))
+    edges = fields.where((F.col("at") >= n) & (F.col("at") < n + m)).select((F.col("at") - n).alias("edge_id"), F.col("f")[0].cast("long").alias("src"), F.col("f")[1].cast("long").alias("dst"), F.array(*[F.col("f")[2 + i].cast("double") for i in range(dim)]).alias("cost"), *[F.get("f", F.lit(2 + dim + i)).cast("long").alias(n) for i, n in enumerate(("first", "second"))])
+    edges = edges.withColumn("via", F.when((F.col("first") >= 0) & (F.col("second") >= 0), F.struct("first", "second"))).drop("first", "second")
     extra = fields.where((F.col("at") >= n + m) & (F.size("f") > 0) & (F.col("f")[0] != "")).limit(1).count()
     if extra:
         raise ValueError("data after the last edge")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..graph import Graph
@@ -24,6 +24,41 @@ def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
+def write_json_array(df: DataFrame, path: str) -> None:
+    """One file with one array of objects, for readers that take no lines of JSON; its writer is one task."""
+    rows = df.select(F.to_json(F.struct(*df.columns)).alias("value"))
+    one = rows.agg(F.concat(F.lit("["), F.concat_ws(",\n", F.sort_array(F.collect_list("value"))), F.lit("]")).alias("value"))
+    one.write.mode("overwrite").text(path)
+
+
+def read_results(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Result files by their ending: CSV with a header, or JSON as one array or one object a line."""
+    if path.rstrip("/").endswith(".csv"):
+        return spark.read.schema(schema).csv(path, header=True, sep=";")
+    first = spark.read.text(path).where("trim(value) <> ''").first()
+    return spark.read.schema(schema).json(path, multiLine=bool(first) and first[0].lstrip().startswith("["))
+
+
+def sweep_between(g: Graph, start: tuple[float, float], end: tuple[float, float], steps: int) -> DataFrame:
+    """A query for each preference of ``alpha_sweep`` between the nodes nearest to two positions (lat, lng)."""
+    from ..operators.spatial import nearest_exact
+
+    spark = g.nodes.sparkSession
+    at = spark.createDataFrame([("orig_start_id", *map(float, start)), ("orig_end_id", *map(float, end))], "point_id string, lat double, lng double")
+    ends = nearest_exact(at, g.nodes).groupBy(F.lit(0).alias("one")).pivot("point_id", ["orig_start_id", "orig_end_id"]).agg(F.first("node_id")).drop("one")
+    place = g.nodes.select("node_id", F.struct(F.col("lat").alias("latitude"), F.col("lng").alias("longitude")).alias("pos"))
+    ends = ends.join(place.toDF("orig_start_id", "start_pos"), "orig_start_id").join(place.toDF("orig_end_id", "end_pos"), "orig_end_id")
+    sweep = numbered(alpha_sweep(spark, g.dim, steps), ["alpha"], "id")
+    none = F.lit(None).cast("long")
+    return sweep.join(F.broadcast(ends)).select("id", "orig_start_id", "orig_end_id", none.alias("start_id"), none.alias("end_id"), "start_pos", "end_pos", "alpha")  # one row
+
+
+def path_pairs(path_nodes: DataFrame) -> DataFrame:
+    """id, pos, src, dst of consecutive nodes of (id, nodes)."""
+    each = path_nodes.select("id", F.posexplode("nodes").alias("pos", "src"))
+    return each.withColumn("dst", F.lead("src").over(Window.partitionBy("id").orderBy("pos"))).where("dst is not null")
+
+
 def random_queries(g: Graph, n: int, seed: int = 1) -> DataFrame:
     """``n`` uniform pairs of nodes with preferences uniform on the simplex; the same for the same seed."""
     spark = g.nodes.sparkSession
@@ -89,6 +124,11 @@ def export_query(prefix: str, points: DataFrame, visited: DataFrame, coordinates
         df.write.mode("overwrite").text(f"{prefix}-{name}")
 
 
+def write_partition_csv(g: Graph, path: str) -> None:
+    """``partition_csv`` as files with a header, without the node's id, as the analysis reads them."""
+    partition_csv(g).drop("node_id").write.mode("overwrite").csv(path, header=True)
+
+
 def partition_csv(g: Graph) -> DataFrame:
     """lat, lon, the cell at each level and the highest level at which a neighbour's cell differs."""
     from ..functions import partition_id
