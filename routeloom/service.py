@@ -1,6 +1,6 @@
 """Route requests over HTTP, answered by the same batch code as the stream.
 
-POST /shortest_path takes a GeoJSON collection (``streaming/requests.py``) of at most LIMIT
+POST /dijkstra takes a GeoJSON collection (``streaming/requests.py``) of at most LIMIT
 bytes and gives a GeoJSON feature; GET /metrics lists the graph's metrics; other GET paths
 serve the files of a folder, if one is given.  Requests that come while a batch is being
 answered wait and form the next batch, so load makes batches larger instead of jobs more.
@@ -19,7 +19,7 @@ from .graph import Graph
 from .operators.spatial import grid_bounds
 from .streaming.requests import answer
 
-#: Fixed value: bytes of a request.
+#: Bytes of a request, and the routes below.
 LIMIT = 1024
 BATCH = 1000
 
@@ -67,7 +67,7 @@ class Handler(SimpleHTTPRequestHandler):
         self.wfile.write(raw)
 
     def do_POST(self) -> None:
-        if self.path != "/shortest_path":
+        if self.path != "/dijkstra":
             return self.reply(404, "{}")
         size = self.headers.get("Content-Length", "")
         if not size.isdigit():

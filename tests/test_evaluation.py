@@ -118,10 +118,10 @@ def test_service(overlay, tmp_path):
         n = {r["node_id"]: [r["lng"], r["lat"]] for r in overlay.nodes.collect()}
         f = lambda v, p: {"type": "Feature", "geometry": {"type": "LineString", "coordinates": [n[v], n[v]]}} | p
         body = json.dumps({"type": "FeatureCollection", "features": [f(0, {"properties": {"alpha": [0.5, 0.5]}}), f(15, {})]}).encode()
-        assert json.loads(get("/shortest_path", body))["geometry"]["coordinates"][0] == n[0]
+        assert json.loads(get("/dijkstra", body))["geometry"]["coordinates"][0] == n[0]
         for bad, status in ((b"{}", 400), (b"x" * 2000, 413)):
             with pytest.raises(urllib.error.HTTPError) as e:
-                get("/shortest_path", bad)
+                get("/dijkstra", bad)
             assert e.value.code == status
     finally:
         s.shutdown()
