@@ -3,8 +3,8 @@
 Compilation.  The model file is read once on the driver.  Two machines are built from it.
 
 * The normaliser has three states (start, behind text, behind spaces) and arcs over runs of
-  spaces and of other characters; it writes the dummy prefix, U+2581 for spaces, and one for a
-  run if extra spaces are to go.
+  spaces and of other characters; it writes the dummy prefix, and one space for a run if extra
+  spaces are to go.
 * The piece machine reads characters and knows all pieces that end behind each.  An arc of piece
   ``b`` leaves the state that piece ``a`` has led to, reads the characters of ``b`` and writes
   its id.  For a unigram model every such arc exists and costs the negated score.  For a BPE
@@ -21,8 +21,9 @@ positions and the path of least cost in the tropical semiring is taken: costs ar
 position by position.  A position needs one state: in a unigram machine all states behind a
 position have the same arcs, and in a BPE machine a prefix has one path only, the merge
 result of that prefix.  No piece holds a U+2581 after another character, so the lattice falls
-apart at those places; the parts are solved on their own and memoised in a dictionary of
-bounded size.  The parts are local,
+apart at those places.  The distinct parts of a slice of texts are solved on their own, in the
+order of sorting, so that the lattice of a common beginning is relaxed once; parts that came more than once are
+kept in a dictionary of bounded size.  The parts are local,
 hence long texts need no more memory than their result.
 
 Defined results: null and empty texts give no pieces and decode to the empty text; very
@@ -36,7 +37,8 @@ import struct
 import uuid
 from array import array
 from collections import Counter
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -48,6 +50,8 @@ SPACE = "▁"
 #: Piece types of the model format.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: Entries of the memos of parts and of borders, some 300 and 100 bytes each, in one Python worker.
+#: Longer parts are rare and would make the memo of parts unbounded.
+MEMO_CHARS = 64
 PART_ENTRIES, BORDER_ENTRIES = 200_000, 200_000
 #: Cost of the fallback arc of a BPE model, above the cost of any path of pieces.
 FALLBACK_COST = 1e6
@@ -143,21 +147,42 @@ class Memo(dict):
         return value
 
 
+#: Of each position: the machine's node, the least cost, and start and id of the arc that leads there.
+Lattice = tuple[list[int], list[float], list[int], list[int]]
+
+
+def new_lattice() -> Lattice:
+    return [0], [0.0], [0], [-1]
+
+
+def path_of(lattice: Lattice, at: int) -> list[int]:
+    """Ids of the arcs on the best path to a position."""
+    _, _, came, what = lattice
+    out = []
+    while at:
+        out.append(what[at])
+        at = came[at]
+    out.reverse()
+    return out
+
+
 class Normaliser:
-    """The compiled normaliser; arcs: state -> (written before a run of spaces, for each space, once), (written before other characters)."""
+    """The compiled normaliser; arcs: state -> (written before a run of spaces, for each space, next state), (written before other characters).
+
+    It writes spaces; the piece machine reads them as U+2581, so that texts stay as narrow as they are.
+    """
 
     def __init__(self, model: dict):
-        mark = SPACE if model["escape_whitespaces"] else " "
-        prefix = mark if model["add_dummy_prefix"] else ""
+        prefix = " " if model["add_dummy_prefix"] else ""
         if model["remove_extra_whitespaces"]:
             # spaces are written by the text behind them, so those at the end never are
             self.spaces = {START: ("", "", START), BEHIND_TEXT: ("", "", BEHIND_SPACES), BEHIND_SPACES: ("", "", BEHIND_SPACES)}
-            self.text = {START: prefix, BEHIND_TEXT: "", BEHIND_SPACES: mark}
+            self.text = {START: prefix, BEHIND_TEXT: "", BEHIND_SPACES: " "}
         else:
-            self.spaces = {START: (prefix, mark, BEHIND_SPACES), BEHIND_TEXT: ("", mark, BEHIND_SPACES)}
+            self.spaces = {START: (prefix, " ", BEHIND_SPACES), BEHIND_TEXT: ("", " ", BEHIND_SPACES)}
             self.text = {START: prefix, BEHIND_TEXT: "", BEHIND_SPACES: ""}
-            # the states behind the start have the same arcs, so they are one, whose arcs a replacement takes all at once
-            self.run = lambda text: prefix + text.replace(" ", mark) if text else ""
+            # the states behind the start have the same arcs, which write what they read: one step takes them all
+            self.run = lambda text: prefix + text if text else ""
 
     def run(self, text: str) -> str:
         state, out, spaces, before = START, [], self.spaces, self.text
@@ -212,7 +237,8 @@ class Transducer:
         if any(SPACE in t.lstrip(SPACE) for t in self.score):
             raise ValueError("a piece holds a space mark after another character")
         alone = "".join(re.escape(c) for c in "\n\r\t" if c not in inner)
-        self.parts = re.compile(f"{SPACE}+[^{SPACE}{alone}]*|[^{SPACE}{alone}]+" + (f"|[{alone}]" if alone else "")).findall
+        marks = f" {SPACE}" if model["escape_whitespaces"] else SPACE
+        self.parts = re.compile(f"[{marks}]+[^{marks}{alone}]*|[^{marks}{alone}]+" + (f"|[{alone}]" if alone else "")).findall
         self.forget()
         self.piece_bytes = []
         for t, _, k in model["pieces"]:
@@ -248,7 +274,7 @@ class Transducer:
         self.child = [x or none for x in self.child]
 
     def forget(self) -> None:
-        self.memo, self.border = Memo(PART_ENTRIES, self.emit), Memo(BORDER_ENTRIES, self.holds)
+        self.memo, self.border = {}, Memo(BORDER_ENTRIES, self.holds)
 
     def merges(self, text: str, whole: bool = True) -> list[str]:
         """What the merges leave of ``text``: best score first, then leftmost; without ``whole``, before the one that would give all of it."""
@@ -283,78 +309,103 @@ class Transducer:
             else:
                 return True
 
-    def shortest(self, text: str) -> list[int]:
-        """Ids on the path of least cost of ``text`` composed with the machine; -1 stands for the fallback arc of a character in no piece.
+    def _relax(self, text: str, at: int, lattice: Lattice) -> None:
+        """Go on with the lattice of a text whose first ``at`` characters it has been relaxed for.
 
         Costs are relaxed position by position over the arcs that end there.  In a BPE machine one of them leads on a path, so the first that does is the least.
         """
         size, bpe, border, child, fail, ending, unknown = self.size, self.bpe, self.border, self.child, self.fail, self.ending, self.unknown_cost
-        cost, came, what = [0.0], [0], [-1]  # of each position: least cost, start and id of the arc that leads there
-        node = end = 0
-        for c in text:
+        nodes, cost, came, what = lattice
+        node, end = nodes[at], at
+        for c in text[at:]:
             end += 1
             to = child[node].get(c)
             while to is None and node:
                 node = fail[node]
                 to = child[node].get(c)
             node = to or 0
-            least, start, arc = float("inf"), end - 1, -1
             if bpe:
                 for piece, length, more in ending[node]:
-                    at = end - length
-                    last = what[at]
+                    start = end - length
+                    last = what[start]
                     if last < 0 or border[last * size + piece]:
-                        least, start, arc = cost[at] + more, at, piece
+                        cost.append(cost[start] + more)
+                        came.append(start)
+                        what.append(piece)
                         break
                 else:
-                    least = cost[-1] + unknown
+                    cost.append(cost[-1] + unknown)
+                    came.append(end - 1)
+                    what.append(-1)
             else:
-                length = 0
+                least, start, arc, length = float("inf"), end - 1, -1, 0
                 for piece, length, more in ending[node]:
                     if cost[end - length] + more < least:
                         least, start, arc = cost[end - length] + more, end - length, piece
                 if length != 1 and cost[-1] + unknown < least:
                     least, start, arc = cost[-1] + unknown, end - 1, -1
-            cost.append(least)
-            came.append(start)
-            what.append(arc)
-        out, at = [], end
-        while at:
-            out.append(what[at])
-            at = came[at]
-        out.reverse()
-        return out
+                cost.append(least)
+                came.append(start)
+                what.append(arc)
+            nodes.append(node)
 
-    def emit(self, part: str) -> bytes:
-        """The ids of one part as 32-bit integers."""
-        ids = self.shortest(part)
-        if min(ids) < 0 or max(ids) >= len(self.piece_bytes):
+    def shortest(self, text: str) -> list[int]:
+        """Ids on the path of least cost of ``text`` composed with the machine; -1 stands for the fallback arc of a character in no piece."""
+        lattice = new_lattice()
+        self._relax(text, 0, lattice)
+        return path_of(lattice, len(text))
+
+    def _written(self, text: str, ids: list[int]) -> bytes:
+        """Ids as 32-bit integers, with the fallback arcs' bytes."""
+        if ids and (min(ids) < 0 or max(ids) >= len(self.piece_bytes)):
             at, out = 0, []
             for i in ids:
                 if 0 <= i < len(self.piece_bytes):
                     out.append(i)
                     at += len(self.piece[i])
                     continue
-                out += [self.byte_id[b] for b in part[at].encode("utf-8")] if self.byte_id and self.model["byte_fallback"] else [self.unk]
+                out += [self.byte_id[b] for b in text[at].encode("utf-8")] if self.byte_id and self.model["byte_fallback"] else [self.unk]
                 at += 1
             ids = out
         return array("i", ids).tobytes()
 
-    def ids(self, part: str) -> bytes:
-        return self.memo[part] if len(part) <= 64 else self.emit(part)  # longer parts are rare and would make the memo's size unbounded
+    def solve(self, parts: Iterable[str]) -> Iterator[tuple[str, bytes]]:
+        """Each part with its ids.  In the order of sorting neighbours begin alike, and the lattice of what they share is kept."""
+        escaped, before, lattice = self.model["escape_whitespaces"], "", new_lattice()
+        for part in sorted(parts):
+            text = part.replace(" ", SPACE) if escaped else part
+            at = 0
+            for x, y in zip(before, text):
+                if x != y:
+                    break
+                at += 1
+            for column in lattice:
+                del column[at + 1 :]
+            self._relax(text, at, lattice)
+            yield part, self._written(text, path_of(lattice, len(text)))
+            before = text
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as 32-bit integers."""
+        if self.split_user is not None:
+            return [self._around_user_pieces(t) for t in texts]
+        split = [self.parts(self.normalise(t)) for t in texts]
+        times, memo = Counter(chain.from_iterable(split)), self.memo
+        new = [p for p in times if p not in memo]
+        memo.update(self.solve(new))
+        out = [b"".join(map(memo.__getitem__, x)) for x in split]
+        # what came once, or is long, isn't worth its place
+        for p in new if len(memo) > PART_ENTRIES else [p for p in new if times[p] == 1 or len(p) > MEMO_CHARS]:
+            del memo[p]
+        return out
 
-    def encode(self, text: str) -> bytes:
+    def _around_user_pieces(self, text: str) -> bytes:
         plain = self.normalise(text)
-        if self.split_user is not None:
-            between = self.split_user(plain)  # pieces stand at the odd places
-            return b"".join(self.user[x] if i % 2 else self._encode(x) for i, x in enumerate(between))
-        return self._encode(plain)
+        between = self.split_user(plain.replace(" ", SPACE) if self.model["escape_whitespaces"] else plain)  # pieces stand at the odd places
+        return b"".join(self.user[x] if i % 2 else b"".join([dict(self.solve([p]))[p] for p in self.parts(x)]) for i, x in enumerate(between))
 
-    def _encode(self, plain: str) -> bytes:
-        parts = self.parts(plain)
-        if parts and max(map(len, parts)) > 64:
-            return b"".join(map(self.ids, parts))
-        return b"".join(map(self.memo.__getitem__, parts))
+    def encode(self, text: str) -> bytes:
+        return self.encode_all([text])[0]
 
     def decode(self, ids) -> str:
         out = b"".join(map(self.piece_bytes.__getitem__, ids)).decode("utf-8", "replace")
@@ -380,7 +431,7 @@ def encode(docs: DataFrame, model_path: str) -> DataFrame:
             _machines[token] = Transducer(shared.value)
         machine = _machines[token]
         texts = [t or "" for t in batch.column("text").to_pylist()]
-        coded = [machine.encode(t) for t in texts]
+        coded = machine.encode_all(texts)
         flat = np.frombuffer(b"".join(coded), np.int32)
         ends = np.cumsum([0] + [len(c) // 4 for c in coded])
         is_byte = np.zeros(len(machine.piece_bytes) + 1, bool)

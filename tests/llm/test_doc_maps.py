@@ -115,15 +115,20 @@ def test_user_defined_pieces_are_matched_first():
 
 
 def test_compiled_normaliser():
-    for escape in (True, False):
-        for prefix in (True, False):
-            mark = "▁" if escape else " "
-            for text in ("", " ", "a", " a", "a  b ", "  a b   c  ", "\n x"):
-                both = [sentencepiece_fst.Normaliser({"escape_whitespaces": escape, "add_dummy_prefix": prefix, "remove_extra_whitespaces": extra}) for extra in (False, True)]
-                plain = (mark if prefix else "") + text.replace(" ", mark) if text else ""
-                assert both[0].run(text) == plain == sentencepiece_fst.Normaliser.run(both[0], text)
-                words = [w for w in text.split(" ") if w]
-                assert both[1].run(text) == ((mark if prefix else "") + mark.join(words) if words else "")
+    for prefix in (True, False):
+        for text in ("", " ", "a", " a", "a  b ", "  a b   c  ", "\n x"):
+            both = [sentencepiece_fst.Normaliser({"add_dummy_prefix": prefix, "remove_extra_whitespaces": extra}) for extra in (False, True)]
+            plain = (" " if prefix else "") + text if text else ""
+            assert both[0].run(text) == plain == sentencepiece_fst.Normaliser.run(both[0], text)
+            words = [w for w in text.split(" ") if w]
+            assert both[1].run(text) == ((" " if prefix else "") + " ".join(words) if words else "")
+
+
+def test_spaces_and_marks_are_read_alike():
+    pieces = [("<unk>", 0.0, 2), ("a", -9.0, 1), ("▁", -10.0, 1), ("▁a", -1.0, 1), (" ", -11.0, 1)]
+    escaped, plain = (sentencepiece_fst.Transducer(bpe_model(pieces, escape_whitespaces=e)) for e in (True, False))
+    ids = lambda m, t: np.frombuffer(m.encode(t), np.int32).tolist()
+    assert ids(escaped, "a a▁a") == ids(escaped, "a▁a a") == [1, 3, 3] and ids(plain, "a a▁a") == [1, 4, 1, 3]
 
 
 def test_unigram_takes_the_cheapest_path():
