@@ -11,7 +11,7 @@ from .graph import Graph
 from .operators import adjacency, components, contraction, evaluation, kernel, partitioners, spatial
 from .operators.paths import METHODS, path_nodes, solve
 from .service import server
-from .session import cut
+from .session import cut, drop_tables
 from .sources import fmi, queries, store
 
 
@@ -66,6 +66,10 @@ def evaluate(g: Graph, asked: DataFrame, method: str, kind: str, out: str) -> No
 def main(args: list[str] | None = None) -> None:
     a = parser().parse_args(args)
     spark = SparkSession.builder.appName("routeloom").getOrCreate()
+    run(a, spark)
+
+
+def run(a: argparse.Namespace, spark: SparkSession) -> None:
     if a.command == "largest-set":
         g = fmi.read_fmi(spark, a.input)
         nodes, edges = components.largest_set(g.nodes, g.edges)
@@ -97,4 +101,7 @@ def main(args: list[str] | None = None) -> None:
 
 
 if __name__ == "__main__":
-    main()
+    try:
+        main()
+    finally:
+        drop_tables(SparkSession.builder.getOrCreate())

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import dot
+from ..functions import dominates, vector_add
 from ..graph import Graph
 from ..session import numbered
 
@@ -86,10 +86,6 @@ def renumber_edges(edges: DataFrame) -> DataFrame:
     return ids.join(via, "edge_id", "left").drop("edge_id", "via").withColumnsRenamed({"new_id": "edge_id", "new_via": "via"}).select(*edges.columns)
 
 
-def scalarised(edges: DataFrame, alpha: list[float]) -> DataFrame:
-    return edges.withColumn("weight", dot("cost", alpha))
-
-
 def dedup_costs(edges: DataFrame) -> DataFrame:
     """One edge of each (src, dst, cost): the one of the smallest id."""
     return edges.groupBy("src", "dst", "cost").agg(F.min_by(F.struct("edge_id", "level", "via"), "edge_id").alias("x")).select("x.edge_id", "src", "dst", "cost", "x.level", "x.via")
@@ -100,7 +96,7 @@ def shortcut_candidates(edges: DataFrame, contracted: DataFrame) -> DataFrame:
     v = contracted.select(F.col("node_id").alias("v"))
     into = edges.join(v, edges["dst"] == v["v"]).select("v", F.col("src"), F.col("cost").alias("c1"), F.col("edge_id").alias("first"))
     out = edges.join(v, edges["src"] == v["v"]).select("v", F.col("dst"), F.col("cost").alias("c2"), F.col("edge_id").alias("second"))
-    return into.join(out, "v").where("src <> dst and src <> v and dst <> v").select(F.col("v").alias("via_node"), "src", "dst", F.zip_with("c1", "c2", lambda x, y: x + y).alias("cost"), "first", "second")
+    return into.join(out, "v").where("src <> dst and src <> v and dst <> v").select(F.col("v").alias("via_node"), "src", "dst", vector_add(F.col("c1"), F.col("c2")).alias("cost"), "first", "second")
 
 
 def skyline(candidates: DataFrame, tie: str) -> DataFrame:
@@ -110,7 +106,7 @@ def skyline(candidates: DataFrame, tie: str) -> DataFrame:
     """
     rest = [c for c in candidates.columns if c not in ("src", "dst", "cost")]
     listed = candidates.groupBy("src", "dst").agg(F.array_sort(F.collect_list(F.struct("cost", tie, *[c for c in rest if c != tie]))).alias("s"))
-    beats = lambda y, x: F.forall(F.zip_with(y["cost"], x["cost"], lambda a, b: a <= b), lambda t: t) & ((y["cost"] != x["cost"]) | (y[tie] < x[tie]))
+    beats = lambda y, x: dominates(y["cost"], x["cost"]) & ((y["cost"] != x["cost"]) | (y[tie] < x[tie]))
     kept = F.filter("s", lambda x, i: ~F.exists(F.slice(F.col("s"), F.lit(1), i), lambda y: beats(y, x)))
     return listed.select("src", "dst", F.explode(kept).alias("x")).select("src", "dst", "x.cost", *[f"x.{c}" for c in rest])
 

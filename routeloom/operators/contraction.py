@@ -27,10 +27,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import differing_level, partition_id
+from ..functions import differing_level, dominates, partition_id
 from ..graph import UNRANKED, Graph
 from ..session import cut, numbered
-from .adjacency import degrees, shortcut_candidates, skyline
+from .adjacency import dedup_costs, degrees, shortcut_candidates, skyline
 
 #: Ranks of one level lie below this times the level plus one.
 LEVEL_RANKS = 1 << 40
@@ -160,7 +160,7 @@ def _contract_rounds(rows: DataFrame, going: DataFrame, stop_pairs: int | None,
         rest = cut(edges.join(ids.toDF("src"), "src", "left_anti").join(ids.toDF("dst"), "dst", "left_anti").select("cell", "id", "src", "dst", "cost"))
         new = skyline(shortcut_candidates(edges.withColumnRenamed("id", "edge_id"), ids), "via_node")
         witness = rest.groupBy("src", "dst").agg(F.collect_list("cost").alias("known"))
-        beaten = F.exists("known", lambda y: F.forall(F.zip_with(y, "cost", lambda a, b: a <= b), lambda t: t))
+        beaten = F.exists("known", lambda y: dominates(y, F.col("cost")))
         new = new.join(witness, ["src", "dst"], "left").where(F.col("known").isNull() | ~beaten).drop("known").join(taken.select(F.col("node_id").alias("via_node"), "cell"), "via_node")
         new = cut(numbered(new, ["src", "dst", "via_node", "first", "second"], "k").select("cell", (-1 - made_n - F.col("k")).alias("id"), "src", "dst", "cost", "first", "second"))
         made_n += new.count()
@@ -217,7 +217,8 @@ def contract(g: Graph, stop_pairs: int | None = STOP_PAIRS, share: float = 1.0,
         ends = live.drop("g1", "g2").join(goes.withColumn("g1", F.lit(True)).withColumnRenamed("node_id", "src"), "src", "left").join(goes.withColumn("g2", F.lit(True)).withColumnRenamed("node_id", "dst"), "dst", "left").na.fill(False, ["g1", "g2"])
         gone = ends.where("g1 or g2").select("edge_id", "src", "dst", "cost", "level", "via").unionByName(flagged.where("used").drop("used"))
         done = cut(gone if done is None else done.unionByName(gone))
-        live = cut(ends.where("not (g1 or g2)").select("edge_id", "src", "dst", "cost", "level", "via").unionByName(flagged.where("not used").drop("used")))
+        # of shortcuts made alike the first stays
+        live = cut(ends.where("not (g1 or g2)").select("edge_id", "src", "dst", "cost", "level", "via").unionByName(dedup_costs(flagged.where("not used").drop("used"))))
     edges = cut(live.withColumn("level", F.lit(len(levels))).unionByName(done))
     nodes = cut(nodes.drop("rank").join(ranks, "node_id", "left").withColumn("rank", F.coalesce("rank", F.lit(UNRANKED))).select("node_id", "lat", "lng", "rank", "partition", "level"))
     return g.with_(nodes=nodes, edges=edges)

@@ -29,6 +29,12 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_tables(spark: SparkSession) -> None:
+    """Remove the tables that ``cut`` has written for this application; what reads from them can't be used any more."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/routeloom-tables/{spark.sparkContext.applicationId}")
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def is_empty(df: DataFrame) -> bool:
     return df.limit(1).count() == 0
 

@@ -1,12 +1,35 @@
-"""Small graphs with known answers."""
+"""Small graphs, and answers worked out the plain way."""
+
+import random
+from math import inf
 
 from pyspark.sql import functions as F
 
 from routeloom.graph import Graph, edge_table, node_table
 
-TEN = [(0, 1, 1), (1, 2, 1), (2, 3, 1), (3, 4, 20), (0, 5, 5), (5, 6, 1), (6, 4, 20), (6, 3, 20), (5, 7, 5), (7, 8, 1), (8, 9, 1), (9, 4, 1)]
-TWO_DIM = [(0, 1, [9, 1]), (0, 3, [1, 9]), (1, 2, [9, 1]), (2, 5, [9, 1]), (3, 4, [1, 9]), (4, 5, [1, 9])]
-DETOUR = [(0, 1, 9), (1, 2, 9), (0, 3, 1), (3, 4, 1), (4, 5, 1), (5, 2, 1)]
+
+def some_edges(seed, nodes=10, count=22, dim=1):
+    """Random edges with whole costs between nodes 0, 1, ...; one node is left without out-edges."""
+    r = random.Random(seed)
+    return [(r.randrange(nodes - 1), r.randrange(nodes), [float(r.randint(1, 9)) for _ in range(dim)]) for _ in range(count)]
+
+
+#: Two ways from 0 to 5: one is cheap in the first cost, the other in the second.
+FORK = [(0, 1, [1, 5]), (1, 3, [1, 5]), (3, 5, [1, 5]), (0, 2, [4, 1]), (2, 4, [4, 1]), (4, 5, [2, 1])]
+
+
+def distances(edges, start, alpha):
+    """node -> least cost, by relaxing every edge until nothing changes."""
+    best = {start: 0.0}
+    while True:
+        new = dict(best)
+        for a, b, c in edges:
+            w = new.get(a, inf) + sum(x * y for x, y in zip(c, alpha))
+            if w < new.get(b, inf):
+                new[b] = w
+        if new == best:
+            return best
+        best = new
 
 
 def build(spark, edges, partitions=None, levels=(1,), extra_nodes=()):
@@ -25,8 +48,6 @@ def queries(spark, rows):
 
 def grid_graph(spark, side, seed=1, dim=2):
     """A side x side grid both ways with hashed whole costs and cells of 2 x 2 in 4 x 4."""
-    import random
-
     r = random.Random(seed)
     edges, cells = [], {}
     for y in range(side):
@@ -44,4 +65,4 @@ def rows(df, *columns):
     return sorted(tuple(r) for r in df.select(*columns).collect())
 
 
-__all__ = ["DETOUR", "F", "TEN", "TWO_DIM", "build", "grid_graph", "queries", "rows"]
+__all__ = ["F", "FORK", "build", "distances", "grid_graph", "queries", "rows", "some_edges"]

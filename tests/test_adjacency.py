@@ -1,23 +1,29 @@
-from graphs import TEN, build, rows
+from bisect import bisect_left
+
+import pytest
+from graphs import build, rows, some_edges
 from pyspark.sql import functions as F
 
 from routeloom.graph import validate
 from routeloom.operators import adjacency as adj
 
 
-def test_offsets(spark):
-    g = build(spark, TEN)
-    assert [r[1] for r in rows(adj.offsets(g.nodes, g.edges), "node_id", "offset")] == [0, 2, 3, 4, 5, 5, 7, 9, 10, 11]
-    assert [r[1] for r in rows(adj.offsets(g.nodes, g.edges, "dst"), "node_id", "offset")] == [0, 0, 1, 2, 4, 7, 8, 9, 10, 11]
+@pytest.mark.parametrize("end, key", [(0, "src"), (1, "dst")])
+def test_offsets(spark, end, key):
+    e = some_edges(1)
+    g = build(spark, e, extra_nodes=range(10))
+    ends = sorted(x[end] for x in e)
+    assert [r[1] for r in rows(adj.offsets(g.nodes, g.edges, key), "node_id", "offset")] == [bisect_left(ends, v) for v in range(10)]
 
 
-def test_star(spark):
-    g = build(spark, [(0, 1, 1), (2, 1, 1), (1, 3, 1), (1, 5, 1), (1, 4, 1)])
-    of_one = lambda df: [r[1] for r in rows(df.where("node_id = 1"), "node_id", "neighbour")]
-    assert of_one(adj.targets(g.edges)) == [3, 4, 5]
-    assert of_one(adj.sources(g.edges)) == [0, 2]
-    assert of_one(adj.neighbours(g.edges)) == [0, 2, 3, 4, 5]
-    assert rows(adj.degrees(g.nodes, g.edges).where("node_id = 1"), "out_degree", "in_degree", "degree") == [(3, 2, 5)]
+def test_neighbours(spark):
+    e = some_edges(2)
+    g = build(spark, e, extra_nodes=range(10))
+    targets, sources = sorted({(a, b) for a, b, _ in e}), sorted({(b, a) for a, b, _ in e})
+    assert rows(adj.targets(g.edges), "node_id", "neighbour") == targets
+    assert rows(adj.sources(g.edges), "node_id", "neighbour") == sources
+    assert rows(adj.neighbours(g.edges), "node_id", "neighbour") == sorted({*targets, *sources})
+    assert rows(adj.degrees(g.nodes, g.edges), "node_id", "out_degree", "in_degree", "degree") == [(v, o, i, o + i) for v in range(10) for o, i in [(sum(a == v for a, _, _ in e), sum(b == v for _, b, _ in e))]]
 
 
 def test_renumbered_shortcuts_follow(spark):
@@ -32,7 +38,7 @@ def test_dedup_keeps_the_smallest_id(spark):
 
 
 def test_validate(spark):
-    g = build(spark, TEN)
+    g = build(spark, some_edges(3))
     assert validate(g).count() == 0
-    bad = g.with_(edges=g.edges.withColumn("cost", F.when(F.col("edge_id") == 3, F.array(F.lit(-1.0))).otherwise(F.col("cost"))), nodes=g.nodes.where("node_id <> 9"))
+    bad = g.with_(edges=g.edges.withColumn("cost", F.when(F.col("edge_id") == 3, F.array(F.lit(-1.0))).otherwise(F.col("cost"))), nodes=g.nodes.where("node_id <> 2"))
     assert {r[0] for r in rows(validate(bad), "problem")} == {"negative or missing cost", "endpoint"}

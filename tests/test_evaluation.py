@@ -6,7 +6,7 @@ import urllib.error
 import urllib.request
 
 import pytest
-from graphs import TWO_DIM, build, grid_graph, queries, rows
+from graphs import FORK, build, grid_graph, queries, rows
 from pyspark.sql import functions as F
 
 from routeloom import cli, service
@@ -60,7 +60,7 @@ def test_resumed_searches(spark):
 
 def test_own_methods(spark, monkeypatch):
     monkeypatch.setitem(paths.OWN, "nothing", lambda g, q: q.select("id", F.lit(None).cast("array<long>").alias("path"), F.lit(None).cast("double").alias("cost")))
-    g = build(spark, TWO_DIM)
+    g = build(spark, FORK)
     assert paths.solve(g, queries(spark, [(0, 5, [1, 0])]), "nothing").first()["cost"] is None
 
 

@@ -1,6 +1,6 @@
 import json
 
-from graphs import TWO_DIM, build, grid_graph, queries, rows
+from graphs import FORK, build, grid_graph, queries, rows
 from pyspark.sql import functions as F
 
 from routeloom.operators import evaluation, spatial
@@ -14,7 +14,7 @@ def placed(g):
 
 
 def test_fmi_and_mlp_round_trip(spark, tmp_path):
-    g = placed(build(spark, TWO_DIM)).with_(metrics=("time", "gain"))
+    g = placed(build(spark, FORK)).with_(metrics=("time", "gain"))
     fmi.write_fmi(g, str(tmp_path / "g"))
     back = fmi.read_fmi(spark, str(tmp_path / "g"))
     assert back.dim == 2 and back.metrics == ("time", "gain")
@@ -42,7 +42,7 @@ def test_fmi_drops_the_separator_and_rejects_a_tail(spark, tmp_path):
 
 
 def test_store(spark, tmp_path):
-    g = placed(build(spark, TWO_DIM)).with_(metrics=("a", "b"))
+    g = placed(build(spark, FORK)).with_(metrics=("a", "b"))
     store.write_graph(g, str(tmp_path / "s"), 2)
     back = store.read_graph(spark, str(tmp_path / "s"))
     assert rows(back.edges, "edge_id", "cost") == rows(g.edges, "edge_id", "cost")
@@ -50,7 +50,7 @@ def test_store(spark, tmp_path):
 
 
 def test_workloads(spark):
-    g = placed(build(spark, TWO_DIM))
+    g = placed(build(spark, FORK))
     q = io.random_queries(g, 50, seed=3)
     got = q.collect()
     assert len(got) == 50 and all(abs(sum(r["alpha"]) - 1) < 1e-9 and min(r["alpha"]) > 0 for r in got)
@@ -61,7 +61,7 @@ def test_workloads(spark):
 
 
 def test_geojson_and_text(spark):
-    g = placed(build(spark, TWO_DIM))
+    g = placed(build(spark, FORK))
     p = solve(g, queries(spark, [(0, 5, [1, 0]), (5, 0, [1, 0])]))
     lines = io.path_coordinates(path_nodes(p, g.edges), g.nodes)
     out = {r["id"]: json.loads(r["feature"]) for r in io.geojson_feature(p, lines).collect()}
@@ -72,7 +72,7 @@ def test_geojson_and_text(spark):
 
 
 def test_requests(spark):
-    g = placed(build(spark, TWO_DIM))
+    g = placed(build(spark, FORK))
     n = {r["node_id"]: (r["lng"], r["lat"]) for r in g.nodes.collect()}
 
     def body(a, b, alpha, first=True):

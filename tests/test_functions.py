@@ -19,20 +19,25 @@ def test_vectors(spark):
     assert one(spark, normalise_preference(arr(0, 0)))[0] == [0.5, 0.5]
 
 
-@pytest.mark.parametrize("p, ids", [(7, [7, 1, 0, 0]), (17, [17, 4, 1, 0]), (35, [35, 8, 2, 0])])
-def test_partition_ids(spark, p, ids):
-    assert one(spark, all_partition_ids(F.lit(p), [4, 3, 3]))[0] == ids
+FACTORS = [5, 2, 3]
 
 
-@pytest.mark.parametrize("a, b, level", [(27, 27, 0), (26, 27, 1), (26, 35, 2), (17, 29, 3), (0, 35, 3)])
-def test_differing_level(spark, a, b, level):
-    assert one(spark, differing_level(F.lit(a), F.lit(b), [4, 3, 3])) == (level,)
+@pytest.mark.parametrize("p", [0, 4, 5, 13, 29])
+def test_partition_ids(spark, p):
+    assert one(spark, all_partition_ids(F.lit(p), FACTORS))[0] == [p, p // 5, p // 10, p // 30]
+
+
+@pytest.mark.parametrize("a, b", [(8, 8), (5, 9), (4, 5), (9, 10), (3, 28)])
+def test_differing_level(spark, a, b):
+    same = [a // n == b // n for n in (1, 5, 10, 30)]
+    assert one(spark, differing_level(F.lit(a), F.lit(b), FACTORS)) == (same.index(True),)
 
 
 def test_cells(spark):
     b = GridBounds(10.0, 20.0, 10.0, 20.0)
     at = lambda lat, lng: one(spark, cell_id(F.lit(lat), F.lit(lng), b))[0]
-    assert [at(10.1, 10.1), at(10.4, 10.4), at(17.3, 12.7)] == [1, 413, 3634]
+    for lat, lng in ((10.05, 12.25), (13.7, 19.95), (20.0, 10.0)):
+        assert at(lat, lng) == int((lng - 10) / 10 * 99) * 136 + int((lat - 10) / 10 * 135)
     assert at(9.0, 9.0) == 0
     assert one(spark, cell_id(F.lit(1.0), F.lit(1.0), GridBounds(1.0, 1.0, 1.0, 1.0))) == (0,)
 

@@ -1,4 +1,4 @@
-from graphs import TEN, build, grid_graph, rows
+from graphs import build, distances, grid_graph, rows, some_edges
 from pyspark.sql import functions as F
 
 from routeloom.operators import components, contraction, partitioners, spatial
@@ -6,16 +6,23 @@ from routeloom.functions import GridBounds
 
 
 def test_node_levels(spark):
-    edges = [(0, 1), (0, 6), (1, 2), (2, 3), (3, 4), (4, 5), (5, 11), (6, 7), (7, 8), (8, 9), (9, 10), (10, 11), (11, 13), (12, 5)]
-    cells = {i: i % 6 for i in range(12)} | {12: 5, 13: 5}
-    g = build(spark, [(a, b, 1) for a, b in edges], cells, (3, 2))
-    assert [r[1] for r in rows(contraction.node_levels(g), "node_id", "level")] == [1, 1, 2, 2, 1, 1, 1, 1, 2, 2, 1, 1, 0, 0]
+    e = [(v, v + 1, 1) for v in range(12)] + [(2, 9, 1)]
+    cells = {v: v * 12 // 14 for v in range(14)}
+    g = build(spark, e, cells, (2, 3, 2), extra_nodes=range(14))
+    want = dict.fromkeys(range(14), 0)
+    for a, b, _ in e:
+        level = [cells[a] // n == cells[b] // n for n in (1, 2, 6, 12)].index(True)
+        want[a], want[b] = max(want[a], level), max(want[b], level)
+    assert dict(rows(contraction.node_levels(g), "node_id", "level")) == want and len(set(want.values())) > 2
 
 
 def test_independent_set(spark):
-    g = build(spark, [(i, i + 1, 1) for i in range(8)])
-    h = spark.createDataFrame(list(enumerate([2, 3, 0, 3, 6, 5, 3, 1, 7])), "node_id long, h long")
-    assert rows(contraction.independent_set(h, g.edges), "node_id") == [(0,), (2,), (7,)]
+    e = some_edges(7, nodes=12, count=18)
+    g = build(spark, e, extra_nodes=range(12))
+    key = {v: (v * 7 % 4, v) for v in range(12)}
+    h = spark.createDataFrame([(v, k[0]) for v, k in key.items()], "node_id long, h int")
+    near = {v: {b for a, b, _ in e if a == v} | {a for a, b, _ in e if b == v} for v in key}
+    assert rows(contraction.independent_set(h, g.edges), "node_id") == [(v,) for v in sorted(key) if all(key[v] < key[u] for u in near[v] - {v})]
     loops = build(spark, [(0, 0, 1), (0, 1, 1)])
     assert rows(contraction.independent_set(loops.nodes.select("node_id", F.lit(1).alias("h")), loops.edges), "node_id") == [(0,)]
 
@@ -41,10 +48,14 @@ def test_long_chain_is_one_component(spark):
 
 
 def test_hop_bfs(spark):
-    g = build(spark, TEN)
-    cores = spark.createDataFrame([(0, 0), (7, 1)], "node_id long, order int")
+    e = some_edges(8, nodes=12, count=20)
+    g = build(spark, e, extra_nodes=range(12))
+    cores = spark.createDataFrame([(4, 0), (1, 1)], "node_id long, order int")
     got = {r["node_id"]: (r["hop"], r["core"]) for r in components.hop_bfs(g.edges, cores).collect()}
-    assert got[4] == (3, 0) and got[9] == (2, 7) and got[3] == (3, 0) and got[5] == (1, 0) and len(got) == 10
+    hops = {c: distances([(a, b, [1.0]) for a, b, _ in e], c, [1]) for c in (4, 1)}
+    least = {v: min((h[v] for h in hops.values() if v in h), default=None) for v in range(12)}
+    assert {v: h for v, (h, _) in got.items()} == {v: h for v, h in least.items() if h is not None}
+    assert all(hops[c][v] == h for v, (h, c) in got.items()) and got[4] == (0, 4) and got[1] == (0, 1)
 
 
 def test_nearest(spark):
