@@ -434,7 +434,8 @@ def across(members: DataFrame, at: Level) -> DataFrame:
     shell = F.floor(size / F.greatest(F.lit(1.0), 2 * widest * F.pow(F.lit(1 / min(t, 0.99)), F.col("layer") + 1)))
     laid = members.withColumn("size", size).withColumn("layer", layer).withColumn("shell", shell)
     cell = ["pivot", "own", "layer", "shell"]
-    parts = laid.groupBy(*cell).agg(F.greatest(F.ceil(F.count("*") / CHUNK), F.ceil(F.sum("size") / CHUNK_ELEMENTS)).alias("parts"))
+    # behind a cut, so that both sides of the join are plain shuffles, of which Spark can split a large cell
+    parts = compact(laid.groupBy(*cell).agg(F.greatest(F.ceil(F.count("*") / CHUNK), F.ceil(F.sum("size") / CHUNK_ELEMENTS)).alias("parts")))[0]
     dealt = laid.join(parts, cell).withColumn("chunk", F.pmod(F.xxhash64("rep"), F.greatest(F.lit(1), "parts")).cast("int"))
     span = [f(k).alias(f"{f.__name__}_{k}") for k in ("n", "size", "c") for f in (F.min, F.max)]
     # dealt by chunk, else a whole cell would meet in the task that joined it with its number of parts
