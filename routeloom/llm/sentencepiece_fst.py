@@ -53,6 +53,8 @@ NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 MEMO_CHARS = 64
 #: Entries of the memos of parts and of borders, some 300 and 100 bytes each, in one Python worker.
 PART_ENTRIES, BORDER_ENTRIES = 200_000, 200_000
+#: Bytes of text whose parts are held at a time, some 15 bytes for each.
+SLICE_BYTES = 2_000_000
 #: Cost of the fallback arc of a BPE model, above the cost of any path of pieces.
 FALLBACK_COST = 1e6
 #: Fixed value: what the library takes off the least score for an unknown character.
@@ -447,7 +449,7 @@ def encode(docs: DataFrame, model_path: str) -> DataFrame:
         for machine in _machines.values():
             machine.forget()
 
-    return map_text(docs.selectExpr("cast(doc_id as bigint) doc_id", "text"), run, "doc_id long, n_pieces long, n_fallback long, ids array<int>, round_trip boolean", after=forget)
+    return map_text(docs.selectExpr("cast(doc_id as bigint) doc_id", "text"), run, "doc_id long, n_pieces long, n_fallback long, ids array<int>, round_trip boolean", limit=SLICE_BYTES, after=forget)
 
 
 def decode(encoded: DataFrame, model_path: str) -> DataFrame:
