@@ -6,8 +6,9 @@ import pytest
 from graphs import build, grid_graph, queries, rows
 from pyspark.sql import functions as F
 
-from routeloom.operators import adjacency, contraction, kernel
+from routeloom.operators import adjacency, contraction, kernel, paths
 from routeloom.operators.paths import path_costs, solve, sssp
+from routeloom.session import cut
 
 
 def asked(spark, n, count):
@@ -30,6 +31,24 @@ def test_relational_methods_agree(spark, overlay, method):
     assert all(again[i] == c for i, c in want)
 
 
+@pytest.mark.parametrize("method", ["normal"])
+def test_rounds_are_as_many_as_the_blocks_passed(spark, monkeypatch, overlay, method):
+    q, writes = asked(spark, 36, 6), []
+    want = rows(solve(overlay, q), "id", "cost")
+    long = build(spark, [(i, i + 1, [1, 2]) for i in range(150)])
+    far = queries(spark, [(0, 150, [1, 0]), (3, 149, [0, 1]), (150, 0, [1, 0])])
+    monkeypatch.setattr(paths, "cut", lambda df: (writes.append(1), cut(df))[1])
+    chain = {r["id"]: (r["path"], r["cost"]) for r in solve(long, far, method, "relational").collect()} if method == "normal" else {}
+    assert len(writes) < 30 and chain in ({}, {0: (list(range(150)), 150.0), 1: (list(range(3, 149)), 292.0), 2: (None, None)})
+    for name, value in (("BLOCK_NODES", 5), ("TOGETHER", 3), ("WALK_NODES", 10), ("MERGE_ROUNDS", 2), ("UNPACK_STEPS", 1)):
+        monkeypatch.setattr(paths, name, value)
+    writes.clear()
+    found = solve(overlay, q, method, "relational").cache()
+    assert rows(found, "id", "cost") == want and len(writes) > 8
+    again = {r["id"]: r["path_cost"] for r in path_costs(found, overlay.originals(), q).collect()}
+    assert all(again[i] == c for i, c in want)
+
+
 @pytest.mark.parametrize("options", [{"cell_edges": 0}, {"cell_edges": 0, "share": 0.5, "decile": True}, {"share": 0.6, "stop_pairs": None}, {"stop_pairs": 6}])
 def test_contraction_in_rounds_and_in_part(spark, options):
     g = contraction.contract(grid_graph(spark, 5, seed=2), **options)
