@@ -31,7 +31,7 @@ def test_relational_methods_agree(spark, overlay, method):
     assert all(again[i] == c for i, c in want)
 
 
-@pytest.mark.parametrize("method", ["normal"])
+@pytest.mark.parametrize("method", ["normal", "pch"])
 def test_rounds_are_as_many_as_the_blocks_passed(spark, monkeypatch, overlay, method):
     q, writes = asked(spark, 36, 6), []
     want = rows(solve(overlay, q), "id", "cost")
