@@ -282,17 +282,15 @@ class Bloom:
 
 
 def without(docs: DataFrame, removed: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose doc_id is in ``removed``; only rows that pass the filter are shuffled."""
+    """``docs`` without the rows whose doc_id is in ``removed``; only rows that pass the filter are shuffled, and only ids go to Python."""
     shared = docs.sparkSession.sparkContext.broadcast(Bloom.of(removed.select("doc_id")))
 
-    def part(maybe: bool) -> DataFrame:
-        def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                yield batch.filter(pa.array(shared.value.may_hold(batch.column("doc_id")) == maybe))
-
-        return docs.mapInArrow(keep, docs.schema)
+    @F.arrow_udf("boolean")
+    def maybe(ids: pa.Array) -> pa.Array:
+        return pa.array(shared.value.may_hold(ids))
 
-    return part(False).unionByName(part(True).join(removed.select("doc_id").distinct(), "doc_id", "left_anti").select(*[f"`{c}`" for c in docs.columns]))
+    rest = docs.where(maybe("doc_id")).join(removed.select("doc_id").distinct(), "doc_id", "left_anti")
+    return docs.where(~maybe("doc_id")).unionByName(rest.select(*[f"`{c}`" for c in docs.columns]))
 
 
 def may_link(ka: np.ndarray, kb: np.ndarray, na: np.ndarray, nb: np.ndarray, at: Level = CONTRACT) -> np.ndarray:

@@ -3,6 +3,8 @@
 import random
 
 import pytest
+from pyspark.sql import Row
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from routeloom.llm import near_dup
@@ -26,3 +28,13 @@ def test_stage_links_from_080(spark):
     kept = {x["doc_id"] for x in corpus_pipeline.remove_near_duplicates(spark, d, "").collect()}
     assert kept == {i for i, _ in rows if i % 10 != 1}
     assert {x["doc_id"] for x in near_dup.deduplicate(d).collect()} == {i for i, _ in rows}
+
+
+def test_only_ids_go_to_python_when_copies_are_dropped(spark):
+    rows = [(1, "a"), (2, "b"), (2, "b"), (None, "c"), (3, None), (4, "d")]
+    d = spark.createDataFrame(rows, "doc_id long, text string").withColumn("span", F.expr("make_interval(0, 1)"))  # a kind that Arrow can't carry
+    out = near_dup.without(d, spark.createDataFrame([(2,), (4,), (9,)], "doc_id long"))
+    assert out.columns == d.columns
+    assert "MapInArrow" not in out._jdf.queryExecution().executedPlan().toString()
+    left = out.select("doc_id", "text", F.col("span").cast("string")).collect()
+    assert sorted(map(str, left)) == sorted(str(Row(doc_id=i, text=t, span="1 months")) for i, t in rows if i not in (2, 4))
